@@ -187,8 +187,8 @@ def classify_export(spark, sf_dir):
 
 
 @registry.add(
-    """SELECT min(len(embedding)) AS min_width, max(len(embedding)) AS max_width,
-              count(embedding) AS n_vectors FROM embeddings"""
+    """SELECT CAST(min(len(embedding)) AS INTEGER) AS min_width,
+              CAST(max(len(embedding)) AS INTEGER) AS max_width, count(embedding) AS n_vectors FROM embeddings"""
 )
 def vector_width_check(spark, sf_dir):
     """Smallest and largest vector length, after the check against the class list."""

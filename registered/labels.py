@@ -102,7 +102,7 @@ NAME_CODES_SQL = """name_codes AS (
 
 def code_labels(spark, sf_dir):
     part = b.table(spark, sf_dir, "part")
-    return part.where(F.substring("p_brand", 7, 9).cast("int") < 9).select(F.col("p_brand").alias("label")).distinct()
+    return part.where(F.substring("p_brand", 7, 9).try_cast("int") < 9).select(F.col("p_brand").alias("label")).distinct()
 
 
 def name_codes(spark, sf_dir):
@@ -186,7 +186,7 @@ def mappings(spark, sf_dir):
     part = b.table(spark, sf_dir, "part")
     low, high = valid(spark, sf_dir).agg(F.min("label"), F.max("label")).first()
     names = part.where((F.col("p_name") >= "m") & (F.col("p_name") < "s"))
-    brands = part.where(F.substring("p_brand", 7, 9).cast("int") < 9)
+    brands = part.where(F.substring("p_brand", 7, 9).try_cast("int") < 9)
 
     def rows(df, mapping, target, src, dst):
         return df.select(
