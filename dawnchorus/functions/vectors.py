@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dawnchorus.checks import require_none
 
 
 def feature_names(n: int) -> list[str]:
@@ -108,20 +107,26 @@ def uniform_width(df: DataFrame, column: str) -> int:
 def widen(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """One float column per vector element, after the other columns.
 
-    Pass ``n`` when the width is known. Without it one aggregate over the
-    column measures the width and rejects ragged vectors; with it, vectors of
-    another length are rejected.
+    Without ``n`` the width of one vector is taken. A vector of another length
+    fails the job that evaluates the result, and with it the write; scanning
+    all vectors beforehand would read the largest column twice.
     """
     if n is None:
-        n = uniform_width(df, column)
-    else:
-        require_none(
-            df.where(F.size(column) != n).select(F.size(column).alias("width")),
-            f"{column} holds vectors whose length isn't {n}",
-        )
+        n = first_width(df, column)
     rest = [F.col(f"`{c}`") for c in df.columns if c != column]
-    cells = [F.get(F.col(column), i).cast("float").alias(name) for i, name in enumerate(feature_names(n))]
-    return df.select(*rest, *cells)
+    cells = [F.get(F.col("__v"), F.lit(i)).cast("float").alias(name) for i, name in enumerate(feature_names(n))]
+    checked = df.withColumn("__v", of_width(F.col(column), n, f"{column} has a vector of another length than {n}"))
+    return checked.select(*rest, *cells)
+
+
+def of_width(v: Column, n: int, message: str) -> Column:
+    """The vector itself; one of another length fails the running job."""
+    return F.when(F.size(v) == n, v).when(v.isNotNull(), F.raise_error(F.lit(message)).cast("array<float>"))
+
+
+def first_width(df: DataFrame, column: str) -> int:
+    row = df.where(F.col(column).isNotNull()).select(F.size(column).alias("n")).first()
+    return row["n"] if row else 0
 
 
 def narrow(df: DataFrame, metadata=("channel", "offset"), into: str = "embeddings") -> DataFrame:

@@ -42,12 +42,14 @@ def top_classes(
     threshold: float = DEFAULT_THRESHOLD,
     top_n: int | None = DEFAULT_TOP_N,
     allowed: list[int] | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Best classes of each window, for logits held as one array per row.
 
     Works inside the row: no shuffle, no sort over rows. Windows whose best
     class misses the threshold are dropped first by one pass over the array.
-    Ties go to the higher class index.
+    Ties go to the higher class index. With ``width`` a logit vector of
+    another length fails the job, at no extra pass over the logits.
     """
     keep = [c for c in windows.columns if c != column]
     logits = F.col(column)
@@ -63,6 +65,10 @@ def top_classes(
     else:
         positions = F.array(*[F.lit(int(i)) for i in sorted(set(allowed))])
         hopeful = passes_max(column, threshold)
+    if width is not None:
+        message = f"logit width doesn't match the {width} class names"
+        matching = F.when(F.size(logits) == width, hopeful)
+        hopeful = matching.when(logits.isNotNull(), F.raise_error(F.lit(message)).cast("boolean"))
     hits = F.filter(positions, lambda i: F.coalesce(passes(score(i), threshold), F.lit(False)))
     ranked = F.sort_array(
         F.transform(hits, lambda i: F.struct(score(i).alias("score"), i.alias("class_idx"))),
@@ -160,7 +166,10 @@ def name_classes(detections: DataFrame, classes: DataFrame, class_key: str = "cl
 
 
 def require_matching_width(windows: DataFrame, classes: DataFrame, column: str = "logits") -> None:
-    """Every logit vector must be as long as the class list."""
+    """Every logit vector must be as long as the class list.
+
+    Reads all logits; inside a job rather pass ``width`` to :func:`top_classes`.
+    """
     n = classes.count()
     size = F.size(column)
     low, high = windows.where(F.col(column).isNotNull()).agg(F.min(size), F.max(size)).first()
@@ -249,7 +258,7 @@ def classify_table(
     extras = [c for c in sources.columns if c not in ("recording_id", "source", "mapped_source")]
     keep_channel = "channel" in detections.columns and not flatten_channel
     channel = F.col("channel") if keep_channel else F.lit(0)
-    joined = detections.join(broadcast_if_small(sources), "recording_id")
+    joined = detections.join(sources, "recording_id")
     return joined.select(
         F.col("source").alias("__origin"),
         F.col("mapped_source").alias("source"),

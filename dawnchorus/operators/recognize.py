@@ -19,7 +19,9 @@ WEIGHT_COLUMNS = ("classifier_name", "class_idx", "label", "beta", "bias")
 def require_compatible(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding") -> None:
     """Every vector length must fit every recognizer; all misfits in one error.
 
-    Both sides shrink to their distinct lengths first.
+    Both sides shrink to their distinct lengths first. Reads the whole vector
+    column: a job over a large store leaves it to :func:`score`, which fails on
+    a misfit before anything is published.
     """
     lengths = windows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("width")).distinct()
     wanted = recognizers.select("classifier_name", F.size("beta").alias("beta_width")).distinct()
@@ -87,6 +89,9 @@ def score(
 
 
 def _scorer(rows, keep, vector, min_score, activation):
+    widths = {r["classifier_name"]: len(r["beta"]) for r in rows}
+    if len(set(widths.values())) != 1:
+        raise ValueError("; ".join(f"{n}: recognizer has dimension {d}" for n, d in sorted(widths.items())))
     beta = np.array([r["beta"] for r in rows], dtype="float64").T.copy()
     bias = np.array([r["bias"] for r in rows], dtype="float64")
     names = [r["classifier_name"] for r in rows]
@@ -100,6 +105,14 @@ def _scorer(rows, keep, vector, min_score, activation):
         n_classes = len(names)
         rows_at_once = max(1, 4_000_000 // max(n_classes, 1))
         for whole in batches:
+            sizes = np.unique(whole.column(vector).value_lengths().to_numpy(zero_copy_only=False))
+            if any(sizes != beta.shape[0]):
+                raise ValueError(
+                    "; ".join(
+                        f"{n}: recognizer has dimension {beta.shape[0]}, embeddings have {sizes.tolist()}"
+                        for n in sorted(set(names))
+                    )
+                )
             for at in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(at, rows_at_once)
                 vectors = batch.column(vector)

@@ -10,7 +10,6 @@ from pyspark.sql.utils import AnalysisException
 
 from dawnchorus.checks import require_none
 from dawnchorus.functions.text import path_parts
-from dawnchorus.sizing import broadcast_if_small
 
 WINDOW_KEY = ("recording_id", "window_idx", "channel")
 
@@ -49,7 +48,7 @@ def windows_by_source(windows: DataFrame, recordings: DataFrame) -> DataFrame:
     """Windows with the source of their recording; run the integrity check first."""
     names = recordings.select("recording_id", *[c for c in recordings.columns
                                                 if c != "recording_id" and c not in windows.columns])
-    return windows.join(broadcast_if_small(names), "recording_id")
+    return windows.join(names, "recording_id")
 
 
 def require_known_recordings(windows: DataFrame, recordings: DataFrame) -> None:

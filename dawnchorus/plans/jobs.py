@@ -1,7 +1,8 @@
 """Whole jobs: embedding export, classification, recognizers, and all in one.
 
 Each job is one lazy plan to a routed table (``*_rows``) plus a function that
-checks the sources and publishes it.
+checks the sources and publishes it. The checks read source columns only, never
+vectors or logits.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnchorus.functions.vectors import as_float32, pack, uniform_width, widen
+from dawnchorus.functions.vectors import as_float32, first_width, pack, widen
 from dawnchorus.operators import classify, publish, recognize, routing, store
 from dawnchorus.operators.framing import HOP_S, WINDOW_S, shard_recordings, spread_shards
 from dawnchorus.operators.inference import infer
@@ -25,7 +26,7 @@ from dawnchorus.operators.sourcemap import (
     require_mapped,
     require_pattern_for_many,
 )
-from dawnchorus.sizing import broadcast_if_small, written
+from dawnchorus.sizing import written
 
 
 @dataclass(frozen=True)
@@ -51,10 +52,6 @@ def mapped_recordings(recordings: DataFrame, smap: SourceMap | None, extra=EXTRA
     return mapped.drop(*[n for n in names if n not in present])
 
 
-def _with_sources(rows: DataFrame, mapped: DataFrame) -> DataFrame:
-    return rows.join(broadcast_if_small(mapped), "recording_id")
-
-
 # --- embeddings -----------------------------------------------------------
 
 
@@ -65,23 +62,26 @@ def embedding_rows(
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "parquet",
     flatten_channel: bool = False,
-    width: int | None = None,
 ) -> DataFrame:
-    """dest, source, channel, offset and the vector, packed or as columns."""
-    if table_format not in ("serialized", "columns"):
-        raise ValueError("table_format must be 'serialized' or 'columns'")
+    """dest, source, channel, offset and the vector as an array."""
     channel = F.lit(0) if flatten_channel else F.col("channel").cast("int")
-    named = _with_sources(windows.select("recording_id", "channel", "offset_s", "embedding"), mapped)
-    rows = named.select(
+    named = windows.select("recording_id", "channel", "offset_s", "embedding").join(mapped, "recording_id")
+    return named.select(
         routing.destination(F.col("source"), template, "embeddings", filetype, table_format).alias("dest"),
         F.col("mapped_source").alias("source"),
         channel.alias("channel"),
         F.col("offset_s").alias("offset"),
         as_float32(F.col("embedding")).alias("embedding"),
     )
+
+
+def format_vectors(rows: DataFrame, table_format: str = "serialized", width: int | None = None) -> DataFrame:
+    """The vector packed as text (``serialized``) or as one column per element (``columns``)."""
     if table_format == "serialized":
         return pack(rows, "embedding", "embeddings").drop("embedding")
-    return widen(rows, "embedding", width if width is not None else uniform_width(windows, "embedding"))
+    if table_format == "columns":
+        return widen(rows, "embedding", width)
+    raise ValueError("table_format must be 'serialized' or 'columns'")
 
 
 def export_embeddings(
@@ -92,12 +92,25 @@ def export_embeddings(
     smap: SourceMap | None = None,
     flatten_channel: bool = False,
 ) -> None:
+    """Publish the embeddings table.
+
+    Vectors stay arrays through the one shuffle and take their output form
+    after it.
+    """
     mapped = mapped_recordings(recordings, smap, ())
     _check_sources(windows, mapped, smap)
     rows = embedding_rows(
         windows, mapped, table_format, output.path_template, output.filetype, flatten_channel
     )
-    publish.publish(rows, output.root, output.filetype, output.provenance)
+    width = first_width(windows, "embedding") if table_format == "columns" else None
+    publish.publish(
+        rows,
+        output.root,
+        output.filetype,
+        output.provenance,
+        dedupe_key=("source", "channel", "offset"),
+        finish=lambda df: format_vectors(df, table_format, width),
+    )
 
 
 # --- classification -------------------------------------------------------
@@ -110,14 +123,15 @@ def detections(
     top_n: int | None = classify.DEFAULT_TOP_N,
     species: DataFrame | None = None,
 ) -> DataFrame:
-    """Staged detections from windows with a logit array: one plan, no staging file."""
+    """Staged detections from windows with a logit array, in one pass over the logits."""
+    width = classes.count()
     kept = windows.select("recording_id", "channel", "offset_s", "logits")
     if species is None:
-        found = classify.top_classes(kept, "logits", threshold, top_n)
+        found = classify.top_classes(kept, "logits", threshold, top_n, width=width)
     else:
         allowed = classify.allowed_positions(classes, species)
         if allowed is not None:
-            found = classify.top_classes(kept, "logits", threshold, top_n, allowed)
+            found = classify.top_classes(kept, "logits", threshold, top_n, allowed, width)
         else:
             long = classify.explode_logits(kept)
             found = classify.top_classes_long(
@@ -150,7 +164,12 @@ def export_classification(
     smap: SourceMap | None = None,
     flatten_channel: bool = False,
 ) -> None:
-    """Publish staged detections. Only sources with detections take part in the checks."""
+    """Publish detections. Only sources with detections take part in the checks.
+
+    Detections are few against logits: they are staged once, and the checks and
+    the export read that table instead of the logits.
+    """
+    found = written(found)
     sources = classify.detection_sources(found, recordings)
     mapped = mapped_recordings(sources, smap)
     routing.require_safe(mapped)
@@ -181,7 +200,7 @@ def recognizer_rows(
     scored = recognize.score(windows, recognizers, keep, "embedding", min_score, activation)
     extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
     channel = F.lit(0) if flatten_channel else F.col("channel").cast("int")
-    named = _with_sources(scored, mapped)
+    named = scored.join(mapped, "recording_id")
     dest = routing.destination(
         F.col("source"), template, "recognizer", filetype, classifier_name=F.col("classifier_name")
     )
@@ -207,7 +226,6 @@ def run_recognizers(
     activation: Callable | None = None,
 ) -> None:
     recognize.require_unique_names(recognizers)
-    recognize.require_compatible(windows, recognizers)
     mapped = mapped_recordings(recordings, smap)
     _check_sources(windows, mapped, smap)
     rows = recognizer_rows(
@@ -303,7 +321,6 @@ def analyze(
     if recognition is not None:
         run_recognizers(everything, everyone, recognizers, recognition, smap)
     if classification is not None:
-        classify.require_matching_width(run, classes)
         found = detections(run, classes, threshold, top_n, species)
         export_classification(found, everyone, classification, smap)
     audio_s = recordings.agg(F.coalesce(F.sum("duration_s"), F.lit(0.0))).first()[0]

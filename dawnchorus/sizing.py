@@ -39,8 +39,10 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Mark a join side for broadcast only after counting it.
 
-    Past the bound the frame is returned unmarked: the join then shuffles, and
-    adaptive execution splits a skewed key.
+    Meant for lists that come with the job (classes, species). Past the bound
+    the frame is returned unmarked: the join then shuffles, and adaptive
+    execution splits a skewed key. Tables that grow with the recordings are
+    joined without a mark, so that Spark decides by the size it sees.
     """
     rows, size = measured(df, max_rows)
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
@@ -49,11 +51,12 @@ def broadcast_if_small(
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names none, which is
-    the case in tests.
+    Only a local session may go without that setting; it gets a temporary one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="dawnchorus-")
     return os.path.join(root, f"scratch-{uuid.uuid4().hex}")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dawnchorus.operators import classify, store
 from dawnchorus.operators.sourcemap import SourceMap
 from dawnchorus.plans import jobs
+from dawnchorus.sizing import written
 
 from . import bindings as b
 from .bindings import Registry, with_ctes
@@ -179,7 +180,7 @@ def classify_export(spark, sf_dir):
     """Detections as they are published: mapped source, extra column, destination."""
     smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
     wide = _logit_windows(spark, sf_dir)
-    found = jobs.detections(wide, b.classes(spark, sf_dir), THRESHOLD, TOP)
+    found = written(jobs.detections(wide, b.classes(spark, sf_dir), THRESHOLD, TOP))
     sources = classify.detection_sources(found, b.recordings(spark, sf_dir))
     mapped = jobs.mapped_recordings(sources, smap)
     rows = jobs.detection_rows(found, mapped, "{parents}/{analysis}{ext}", "csv")

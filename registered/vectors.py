@@ -35,7 +35,8 @@ def packed_sql(column: str) -> str:
 def embeddings_serialized(spark, sf_dir):
     """Embedding export, vectors packed as text."""
     mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), None, ())
-    return jobs.embedding_rows(b.windows(spark, sf_dir), mapped, "serialized")
+    rows = jobs.embedding_rows(b.windows(spark, sf_dir), mapped, "serialized")
+    return jobs.format_vectors(rows, "serialized")
 
 
 @registry.add(
@@ -50,9 +51,10 @@ def embeddings_serialized(spark, sf_dir):
 def embeddings_columns(spark, sf_dir):
     """Embedding export, one column per element, one destination per recording."""
     mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), None, ())
-    return jobs.embedding_rows(
+    rows = jobs.embedding_rows(
         b.windows(spark, sf_dir), mapped, "columns", "{embeddings_table_format}/{filestem}{ext}"
     )
+    return jobs.format_vectors(rows, "columns")
 
 
 @registry.add(
