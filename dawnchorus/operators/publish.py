@@ -116,8 +116,12 @@ def _write_facts(spark: SparkSession, root: str, facts: dict[str, str] | None) -
 def read_published(
     spark: SparkSession, root: str, filetype: str = "parquet", schema: str | T.StructType | None = None
 ) -> DataFrame:
-    """Published rows with their destination, typed by ``schema`` for CSV (no guessing)."""
-    reader = spark.read.option("header", True)
+    """Published rows with their destination, typed by ``schema`` for CSV (no guessing).
+
+    The CSV null mark is one no field can hold, so that ``""`` stays an empty
+    text and only a missing field is null.
+    """
+    reader = spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "")
     if schema is not None:
         if isinstance(schema, str):
             schema = T.StructType.fromDDL(schema)

@@ -1,0 +1,171 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from dawnchorus.functions.vectors import unpack
+from dawnchorus.operators import publish, store
+from dawnchorus.operators.sourcemap import SourceMap
+from dawnchorus.plans import jobs
+from dawnchorus.plans.jobs import Output
+
+NAMES = ["north/20210428T100000Z_Dry-A_101.flac", "north/20210428T110000Z_Dry-A_102.flac", "20210428T120000Z_Wet_103.flac"]
+
+
+@pytest.fixture(scope="module")
+def recs(spark):
+    df = spark.createDataFrame([(n, d) for n, d in zip(NAMES, (100.0, 61.0, 7.0))], "source string, duration_s double")
+    return store.with_recordings(df, "search_set")
+
+
+def samples(shards):
+    """Two values per window: the offset and 1."""
+    n = F.greatest(F.lit(1), F.floor(F.col("shard_len_s") / 5).cast("int"))
+    return shards.withColumn(
+        "samples",
+        F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.array((F.col("shard_offset_s") + t * 5).cast("float"), F.lit(1.0).cast("float")))),
+    )
+
+
+def loader():
+    def load():
+        import numpy as np
+
+        def model(x):
+            frames = x.reshape(-1, 1, 2)
+            logits = np.concatenate([frames[:, 0], frames[:, 0, :1] * 0 + 11], axis=1)
+            return frames, {"label": logits.astype("float32")}
+
+        return model
+
+    return load
+
+
+@pytest.fixture(scope="module")
+def windows(spark, recs):
+    return jobs.model_windows(recs, samples, loader(), True)
+
+
+@pytest.fixture(scope="module")
+def classes(spark):
+    return spark.createDataFrame([(0, "Late"), (1, "Never"), (2, "Always")], "class_idx int, label string")
+
+
+@pytest.fixture(scope="module")
+def recognizers(spark):
+    return spark.createDataFrame(
+        [("late", 0, "Late call", [1.0, 0.0], -50.0), ("const", 0, "Const", [0.0, 2.0], 0.5)],
+        "classifier_name string, class_idx int, label string, beta array<float>, bias float",
+    )
+
+
+def test_model_windows(windows):
+    got = windows.groupBy("recording_id").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 13, 20]
+    assert windows.where(F.col("offset_s") != F.col("embedding")[0]).isEmpty()
+    assert windows.where(F.col("offset_s") != F.col("window_idx") * 5.0).isEmpty()
+
+
+def test_everything_at_once(spark, tmp_path, recs, windows, classes, recognizers):
+    out = {k: str(tmp_path / k) for k in ("emb", "cls", "rec")}
+    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
+    summary = jobs.analyze(
+        spark, recs, windows,
+        embed=Output(out["emb"], "parquet", "{parents}/{filestem}/{analysis}{ext}", provenance={"version": "1"}),
+        classification=Output(out["cls"], "csv", layout="nested"),
+        classes=classes,
+        top_n=1,
+        recognition=Output(out["rec"], "csv", "{classifier_name}{ext}"),
+        recognizers=recognizers,
+        smap=smap,
+    )
+    row = summary.first()
+    assert row["windows"] == 34 and row["audio_s"] == 168.0 and row["elapsed_s"] > 0
+
+    emb = publish.read_published(spark, out["emb"])
+    assert emb.count() == 34 and emb.columns == ["source", "channel", "offset", "embeddings", "dest"]
+    assert {r[0] for r in emb.select("dest").distinct().collect()} == {
+        os.path.splitext(n)[0] + "/embeddings.parquet" for n in NAMES
+    }
+    assert publish.read_provenance(emb) == {"version": "1"}
+    back = unpack(emb, "embeddings", "v")
+    assert back.where(F.col("v")[0] != F.col("offset")).isEmpty()
+    assert back.where(F.col("source") == "https://api.ecosounds.org/audio_recordings/101/original").count() == 20
+
+    fields = "source string, channel int, offset double, label string, score double, audio_recording_id string"
+    cls = publish.read_published(spark, out["cls"], "csv", fields)
+    # Offsets above 11 outscore the constant 11; below them the constant class wins.
+    assert cls.count() == 34
+    assert cls.where("label = 'Always'").agg(F.max("offset")).first()[0] == 10.0
+    assert {r[0] for r in cls.select("dest").distinct().collect()} == {"north/classify_results.csv", "classify_results.csv"}
+    assert {r[0] for r in cls.select("audio_recording_id").distinct().collect()} == {"101", "102", "103"}
+
+    rec = publish.read_published(spark, out["rec"], "csv", fields)
+    assert rec.count() == 68
+    assert {r[0] for r in rec.select("dest").distinct().collect()} == {"late.csv", "const.csv"}
+    assert rec.where("label = 'Const' AND score <> 2.5").isEmpty()
+    assert rec.where("label = 'Late call' AND score <> `offset` - 50").isEmpty()
+
+
+def test_columns_format(spark, tmp_path, recs, windows):
+    out = str(tmp_path / "emb")
+    jobs.export_embeddings(windows, recs, Output(out, "csv"), "columns")
+    back = publish.read_published(spark, out, "csv", "source string, channel int, offset double, f0000 float, f0001 float")
+    assert back.count() == 34 and back.where("f0000 <> `offset` OR f0001 <> 1").isEmpty()
+    with pytest.raises(ValueError, match="table_format"):
+        jobs.export_embeddings(windows, recs, Output(out), "other")
+
+
+def test_store_accumulates_but_classification_covers_the_run(spark, tmp_path, recs, windows, classes):
+    root, cls, emb = (str(tmp_path / n) for n in ("store", "cls", "emb"))
+    first = recs.where(F.col("source") != NAMES[2])
+    jobs.analyze(spark, first, windows.join(first.select("recording_id"), "recording_id"), embed=Output(emb), store_root=root)
+    second = recs.where(F.col("source") == NAMES[2])
+    jobs.analyze(
+        spark, second, windows.join(second.select("recording_id"), "recording_id"),
+        embed=Output(emb), classification=Output(cls, "parquet"), classes=classes, store_root=root,
+    )
+    assert publish.read_published(spark, emb).count() == 34
+    assert {r[0] for r in publish.read_published(spark, cls).select("source").distinct().collect()} == {NAMES[2]}
+    with pytest.raises(ValueError, match="already in the store"):
+        jobs.analyze(spark, second, windows.join(second.select("recording_id"), "recording_id"), embed=Output(emb), store_root=root)
+
+
+def test_two_channels_kept_or_flattened(spark, tmp_path, recs, windows):
+    two = windows.unionByName(windows.withColumn("channel", F.lit(1)))
+    kept, flat = str(tmp_path / "kept"), str(tmp_path / "flat")
+    jobs.export_embeddings(two, recs, Output(kept))
+    jobs.export_embeddings(two, recs, Output(flat), flatten_channel=True)
+    assert publish.read_published(spark, kept).count() == 68
+    assert publish.read_published(spark, flat).count() == 34
+
+
+def test_nothing_found_publishes_nothing(spark, tmp_path, recs, windows, classes):
+    found = jobs.detections(windows, classes, threshold=1e6)
+    jobs.export_classification(found, recs, Output(str(tmp_path / "cls"), "parquet"))
+    assert not any(n.startswith("dest=") for n in os.listdir(tmp_path / "cls"))
+
+
+def test_species_filter(windows, classes, spark):
+    species = spark.createDataFrame([("ALWAYS",)], "raw string")
+    assert {r[0] for r in jobs.detections(windows, classes, species=species).select("species").distinct().collect()} == {"Always"}
+    none = spark.createDataFrame([("nobody",)], "raw string")
+    assert jobs.detections(windows, classes, species=none).count() == 0
+
+
+def test_guards(spark, recs, windows, classes, tmp_path):
+    out = Output(str(tmp_path / "o"))
+    with pytest.raises(ValueError, match="nothing to do"):
+        jobs.analyze(spark, recs, windows)
+    with pytest.raises(ValueError, match="class list"):
+        jobs.analyze(spark, recs, windows, classification=out)
+    with pytest.raises(ValueError, match="recognizers"):
+        jobs.analyze(spark, recs, windows, recognition=out)
+    with pytest.raises(ValueError, match="without a pattern"):
+        jobs.analyze(spark, recs, windows, embed=out, smap=SourceMap.build(template="https://x/1"))
+    with pytest.raises(ValueError, match="collision"):
+        jobs.export_embeddings(windows, recs, out, smap=SourceMap.build(template="https://x/1"))
+    with pytest.raises(Exception, match="class names"):
+        jobs.detections(windows, classes.limit(2)).collect()
+    with pytest.raises(KeyError):
+        jobs.export_embeddings(windows, recs.limit(1), out)
