@@ -43,18 +43,35 @@ def candidate_labels(c: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(whole), halves), lambda x: x != ""))
 
 
-def path_parts(c: Column) -> Column:
-    """Components of a relative path, without empty and ``.`` ones."""
-    return F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+def clean_path(c: Column) -> Column:
+    """A relative path without empty and ``.`` components.
+
+    Most paths need no cleaning; one compiled test keeps them as they are.
+    """
+    inner = F.regexp_replace(c, r"(?<=^|/)(?:\.?/)+", "")
+    cleaned = F.regexp_replace(inner, r"(?:(?<=^|/)\.|/)\z", "")
+    return F.when(c.rlike(r"(?:^|/)\.?(?:/|\z)"), F.rtrim(cleaned, F.lit("/"))).otherwise(c)
+
+
+def path_depth(c: Column) -> Column:
+    """Number of components."""
+    path = clean_path(c)
+    slashes = F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit("")))
+    return F.when(path == "", F.lit(0)).otherwise(slashes + 1)
 
 
 def base_name(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(path_parts(c), F.lit(-1)), F.lit(""))
+    return F.substring_index(clean_path(c), "/", -1)
+
+
+def first_folder(c: Column) -> Column:
+    """First component of a path that has a folder, else null."""
+    path = clean_path(c)
+    return F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1))
 
 
 def parent_path(c: Column) -> Column:
-    parts = path_parts(c)
-    return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    return F.regexp_replace(clean_path(c), r"(?s)(?:^|/)[^/]*\z", "")
 
 
 def file_stem(c: Column) -> Column:

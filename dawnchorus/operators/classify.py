@@ -260,7 +260,6 @@ def classify_table(
     channel = F.col("channel") if keep_channel else F.lit(0)
     joined = detections.join(sources, "recording_id")
     return joined.select(
-        F.col("source").alias("__origin"),
         F.col("mapped_source").alias("source"),
         channel.cast("int").alias("channel"),
         F.col("offset_s").alias("offset"),

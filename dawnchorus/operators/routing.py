@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.checks import require_none
 from dawnchorus.functions.patterns import fill_template
-from dawnchorus.functions.text import file_stem, file_suffix, parent_path, path_parts
+from dawnchorus.functions.text import clean_path, file_stem, file_suffix, parent_path
 
 # Layout presets, the tokens each output allows, the analysis names.
 LAYOUTS = {
@@ -97,7 +97,7 @@ def destination(
     slashed = F.regexp_replace(F.regexp_replace(raw, r"\\", "/"), "/+", "/")
     relative = F.ltrim(slashed, F.lit("/"))
     full = F.when(file_suffix(relative) == ext, relative).otherwise(F.concat(relative, F.lit(ext)))
-    return F.array_join(path_parts(full), "/")
+    return clean_path(full)
 
 
 def _warn_on_fixed_suffix(template: str, ext: str) -> None:
@@ -120,9 +120,8 @@ def require_safe(paths: DataFrame, column: str = "source") -> None:
     require_none(unsafe(paths, column), "paths must be relative and free of '..'")
 
 
-def route_counts(routed: DataFrame) -> DataFrame:
-    """Rows and sources per destination."""
-    per_source = routed.groupBy("dest", "source").agg(F.count(F.lit(1)).alias("n"))
-    return per_source.groupBy("dest").agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_sources")
+def route_counts(rows_per_source: DataFrame) -> DataFrame:
+    """Rows and sources per destination, from one row per destination and source (``n_rows``)."""
+    return rows_per_source.groupBy("dest").agg(
+        F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_sources")
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.checks import require_none
+from dawnchorus.checks import SHOWN
 from dawnchorus.functions.patterns import NamePattern, fill_template, template_tokens
 from dawnchorus.functions.text import base_name
 
@@ -134,17 +134,30 @@ def unresolved(mapped: DataFrame) -> DataFrame:
 
 
 def require_mapped(mapped: DataFrame, smap: SourceMap | None) -> None:
-    """Stop on a missing value, a leftover brace or two sources with one value."""
+    """Stop on a missing value, a leftover brace or two sources with one value.
+
+    One aggregation by published value shows all three; it keeps two sources
+    per value, however many share it.
+    """
     smap = smap or SourceMap()
     if smap.template is None:
         return
-    require_none(unresolved(mapped), "missing token value for the source template in sources")
-    if isinstance(smap.template, str):
-        braces = mapped.where(F.col("mapped_source").rlike("[{}]")).select("mapped_source")
-        require_none(braces, "unsupported brace syntax in the rendered source")
-    require_none(
-        collision_summary(mapped), "source map collision: several sources map to the same value"
-    )
+    value = F.col("mapped_source")
+    per_value = mapped.groupBy(value).agg(F.min("source").alias("first_source"), F.max("source").alias("last_source"))
+    braces = value.rlike("[{}]") if isinstance(smap.template, str) else F.lit(False)
+    bad = per_value.where(value.isNull() | braces | (F.col("first_source") != F.col("last_source")))
+    rows = bad.limit(SHOWN).collect()
+    for r in rows:
+        if r["mapped_source"] is None:
+            raise ValueError(
+                f"missing token value for the source template, e.g. in {r['first_source']!r}, {r['last_source']!r}"
+            )
+    for r in rows:
+        if isinstance(smap.template, str) and set(r["mapped_source"]) & set("{}"):
+            raise ValueError(f"unsupported brace syntax in the rendered source {r['mapped_source']!r}")
+    if rows:
+        shared = {r["mapped_source"]: [r["first_source"], r["last_source"]] for r in rows}
+        raise ValueError(f"source map collision: several sources map to the same value: {shared}")
 
 
 def require_pattern_for_many(n_inputs: int, smap: SourceMap | None) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from dawnchorus.checks import require_none
-from dawnchorus.functions.text import path_parts
+from dawnchorus.functions.text import first_folder
 
 WINDOW_KEY = ("recording_id", "window_idx", "channel")
 
@@ -20,11 +20,10 @@ def with_recordings(files: DataFrame, dataset: str) -> DataFrame:
     The deployment is the first folder, or the dataset for a file at the root.
     Ids are hashes, so that a rerun gives the same ones.
     """
-    parts = path_parts(F.col("source"))
     return files.select(
         F.xxhash64("source").alias("recording_id"),
         "*",
-        F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(F.lit(dataset)).alias("deployment"),
+        F.coalesce(first_folder(F.col("source")), F.lit(dataset)).alias("deployment"),
         F.lit(dataset).alias("dataset"),
     )
 

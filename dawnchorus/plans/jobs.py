@@ -63,11 +63,16 @@ def embedding_rows(
     filetype: str = "parquet",
     flatten_channel: bool = False,
 ) -> DataFrame:
-    """dest, source, channel, offset and the vector as an array."""
+    """dest, source, channel, offset and the vector as an array.
+
+    The destination is rendered once per recording, not once per window.
+    """
     channel = F.lit(0) if flatten_channel else F.col("channel").cast("int")
-    named = windows.select("recording_id", "channel", "offset_s", "embedding").join(mapped, "recording_id")
+    dest = routing.destination(F.col("source"), template, "embeddings", filetype, table_format)
+    routed = mapped.select("recording_id", "mapped_source", dest.alias("dest"))
+    named = windows.select("recording_id", "channel", "offset_s", "embedding").join(routed, "recording_id")
     return named.select(
-        routing.destination(F.col("source"), template, "embeddings", filetype, table_format).alias("dest"),
+        "dest",
         F.col("mapped_source").alias("source"),
         channel.alias("channel"),
         F.col("offset_s").alias("offset"),
@@ -152,9 +157,8 @@ def detection_rows(
     filetype: str = "csv",
     flatten_channel: bool = False,
 ) -> DataFrame:
-    rows = classify.classify_table(found, mapped, flatten_channel)
-    dest = routing.destination(F.col("__origin"), template, "classify", filetype)
-    return rows.withColumn("dest", dest).drop("__origin")
+    dest = routing.destination(F.col("source"), template, "classify", filetype)
+    return classify.classify_table(found, mapped.withColumn("dest", dest), flatten_channel)
 
 
 def export_classification(
@@ -200,12 +204,15 @@ def recognizer_rows(
     scored = recognize.score(windows, recognizers, keep, "embedding", min_score, activation)
     extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
     channel = F.lit(0) if flatten_channel else F.col("channel").cast("int")
-    named = scored.join(mapped, "recording_id")
     dest = routing.destination(
         F.col("source"), template, "recognizer", filetype, classifier_name=F.col("classifier_name")
     )
+    if "{classifier_name}" in template:
+        named = scored.join(mapped, "recording_id").withColumn("dest", dest)
+    else:
+        named = scored.join(mapped.withColumn("dest", dest), "recording_id")
     return named.select(
-        dest.alias("dest"),
+        "dest",
         F.col("mapped_source").alias("source"),
         channel.alias("channel"),
         F.col("offset_s").alias("offset"),

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dawnchorus.functions.text import base_name, file_suffix, path_parts
+from dawnchorus.functions.text import base_name, file_suffix, path_depth
 
 # Recognised audio extensions.
 AUDIO_EXTENSIONS = (".wav", ".flac", ".mp3", ".ogg")
@@ -44,7 +44,7 @@ def audio_only(files: DataFrame, column: str = "source") -> DataFrame:
 
 
 def with_depth(files: DataFrame, column: str = "source") -> DataFrame:
-    return files.withColumn("depth", F.size(path_parts(F.col(column))))
+    return files.withColumn("depth", path_depth(F.col(column)))
 
 
 def depth_summary(files: DataFrame) -> DataFrame:

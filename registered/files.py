@@ -429,10 +429,11 @@ def path_unsafe(spark, sf_dir):
 )
 def route_counts(spark, sf_dir):
     """Rows and sources merged into each destination."""
-    rows = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("recording_id"))
-    named = rows.join(b.audio_files(spark, sf_dir).select("recording_id", "source"), "recording_id")
+    rows = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("recording_id"))
+    files = b.audio_files(spark, sf_dir).select("recording_id", "source")
+    named = rows.agg(F.count(F.lit(1)).alias("n_rows")).join(files, "recording_id")
     dest = routing.destination(F.col("source"), routing.LAYOUTS["nested"], "recognizer", "csv")
-    return routing.route_counts(named.withColumn("dest", dest))
+    return routing.route_counts(named.select(dest.alias("dest"), "source", "n_rows"))
 
 
 # Result rows with repeated (order, line) pairs.
