@@ -245,19 +245,16 @@ def detection_sources(detections: DataFrame, recordings: DataFrame) -> DataFrame
     return known.join(ids, "recording_id", "left_semi")
 
 
-def classify_table(
-    detections: DataFrame, sources: DataFrame, flatten_channel: bool = False
-) -> DataFrame:
+def classify_table(detections: DataFrame, sources: DataFrame) -> DataFrame:
     """Staged detections in the published column order.
 
-    ``sources`` maps recording_id and source to ``mapped_source`` and the extra
-    columns. Rows without a recording id are left out. ``flatten_channel``
-    writes channel 0 everywhere; otherwise a known channel is kept.
+    ``sources`` maps recording_id to ``mapped_source`` and the extra columns.
+    Rows without a recording id are left out. A staged table without channels
+    gets channel 0.
     """
     require_columns(detections, STAGED_REQUIRED, "staged detections")
     extras = [c for c in sources.columns if c not in ("recording_id", "source", "mapped_source")]
-    keep_channel = "channel" in detections.columns and not flatten_channel
-    channel = F.col("channel") if keep_channel else F.lit(0)
+    channel = F.col("channel") if "channel" in detections.columns else F.lit(0)
     joined = detections.join(sources, "recording_id")
     return joined.select(
         F.col("mapped_source").alias("source"),

@@ -14,20 +14,23 @@ PROVENANCE = "provenance"
 
 
 def deduplicate(rows: DataFrame, key: tuple[str, ...] | None = None) -> DataFrame:
-    """Whole-row distinct within each destination.
+    """Whole-row distinct.
 
     Copies collapse in the map-side half of the aggregate, so a row repeated
     very often doesn't travel. With ``key``, columns that tell most rows apart,
     the key columns alone are counted first: where none repeats no two rows can
     be equal, and wide rows are spared that shuffle.
     """
-    if key is not None:
-        again = rows.groupBy("dest", *key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if again.isEmpty():
-            return rows
+    if key is not None and unique(rows, key):
+        return rows
     return rows.dropDuplicates()
 
 
+def unique(rows: DataFrame, key: tuple[str, ...]) -> bool:
+    """Whether no two rows agree in ``key``; reads those columns only."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def sort_keys(rows: DataFrame) -> list:
     """Destination, source and offset, then the columns that make the order total."""
     names = [c for c in ("dest", *SORT_FIRST) if c in rows.columns]
@@ -42,18 +45,19 @@ def sort_keys(rows: DataFrame) -> list:
 def arrange(
     rows: DataFrame,
     partitions: int | None = None,
-    finish: Callable[[DataFrame], DataFrame] | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Range-partition by destination and sort key, then sort inside each partition.
 
     Small destinations share a task and give one file each; a destination (or a
     source) that holds most rows is split over many tasks, and its files follow
-    each other in key order. ``finish`` runs between the shuffle and the sort,
-    so that sampling for the ranges doesn't run it too.
+    each other in key order. Spark samples the input to find the ranges, so it
+    should be a stored table or follow a shuffle; ``encode`` runs behind the
+    shuffle, out of the sampling's way.
     """
     keys = sort_keys(rows)
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return (finish(ranged) if finish else ranged).sortWithinPartitions(*keys)
+    return (encode(ranged) if encode else ranged).sortWithinPartitions(*keys)
 
 
 def with_provenance(rows: DataFrame, facts: dict[str, str] | None) -> DataFrame:
@@ -78,20 +82,25 @@ def publish(
     filetype: str = "parquet",
     provenance: dict[str, str] | None = None,
     dedupe: bool = True,
-    dedupe_key: tuple[str, ...] | None = None,
-    finish: Callable[[DataFrame], DataFrame] | None = None,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
+    project: Callable[[DataFrame], DataFrame] | None = None,
     partitions: int | None = None,
     max_records_per_file: int = 0,
 ) -> None:
     """Write ``rows`` (with a ``dest`` column) below ``root``, one folder per destination.
 
+    ``encode`` may call Python and runs before the final sort, ``project`` only
+    selects column expressions and runs after it.
+
     Only destinations present in ``rows`` are replaced: files are staged by the
     commit protocol and swapped in when the job commits, so a lost task or a
     failed run leaves the former output.
     """
     if filetype not in ("parquet", "csv"):
         raise ValueError(f"unsupported file type {filetype!r}")
-    out = arrange(deduplicate(rows, dedupe_key) if dedupe else rows, partitions, finish)
+    out = arrange(deduplicate(rows) if dedupe else rows, partitions, encode)
+    if project is not None:
+        out = project(out)
     writer = (
         with_provenance(out, provenance)
         .write.mode("overwrite")

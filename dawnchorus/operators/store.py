@@ -37,6 +37,12 @@ def require_unique_ids(recordings: DataFrame) -> None:
     require_none(shared.where("n > 1"), "recording ids shared by several sources")
 
 
+def one_id_per_source(recordings: DataFrame) -> bool:
+    """Whether no source is listed under two ids."""
+    per_source = recordings.groupBy("source").agg(F.min("recording_id").alias("a"), F.max("recording_id").alias("b"))
+    return per_source.where("a <> b").isEmpty()
+
+
 def unknown_recordings(windows: DataFrame, recordings: DataFrame) -> DataFrame:
     """Ids used by windows but absent from the recordings, with their window count."""
     counts = windows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_windows"))

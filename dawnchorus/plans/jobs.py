@@ -52,6 +52,22 @@ def mapped_recordings(recordings: DataFrame, smap: SourceMap | None, extra=EXTRA
     return mapped.drop(*[n for n in names if n not in present])
 
 
+def _flatten(rows: DataFrame, flatten_channel: bool) -> DataFrame:
+    return rows.withColumn("channel", F.lit(0)) if flatten_channel else rows
+
+
+def _distinct_before_join(rows: DataFrame, mapped: DataFrame, key=None) -> tuple[DataFrame, bool]:
+    """Distinct rows while they carry an id instead of paths and links.
+
+    The published columns follow from the recording, and no two sources share
+    a published value (checked), so equal published rows are equal here. Only
+    if a source has two ids must the distinct wait for the published rows.
+    """
+    if not store.one_id_per_source(mapped):
+        return rows, False
+    return publish.deduplicate(rows, key), True
+
+
 # --- embeddings -----------------------------------------------------------
 
 
@@ -61,20 +77,18 @@ def embedding_rows(
     table_format: str = "serialized",
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "parquet",
-    flatten_channel: bool = False,
 ) -> DataFrame:
     """dest, source, channel, offset and the vector as an array.
 
     The destination is rendered once per recording, not once per window.
     """
-    channel = F.lit(0) if flatten_channel else F.col("channel").cast("int")
     dest = routing.destination(F.col("source"), template, "embeddings", filetype, table_format)
     routed = mapped.select("recording_id", "mapped_source", dest.alias("dest"))
     named = windows.select("recording_id", "channel", "offset_s", "embedding").join(routed, "recording_id")
     return named.select(
         "dest",
         F.col("mapped_source").alias("source"),
-        channel.alias("channel"),
+        F.col("channel").cast("int").alias("channel"),
         F.col("offset_s").alias("offset"),
         as_float32(F.col("embedding")).alias("embedding"),
     )
@@ -99,23 +113,20 @@ def export_embeddings(
 ) -> None:
     """Publish the embeddings table.
 
-    Vectors stay arrays through the one shuffle and take their output form
-    after it.
+    Vectors stay arrays through the shuffle and the sort and take their output
+    form late: text before the last sort, columns after it.
     """
     mapped = mapped_recordings(recordings, smap, ())
     _check_sources(windows, mapped, smap)
-    rows = embedding_rows(
-        windows, mapped, table_format, output.path_template, output.filetype, flatten_channel
-    )
-    width = first_width(windows, "embedding") if table_format == "columns" else None
-    publish.publish(
-        rows,
-        output.root,
-        output.filetype,
-        output.provenance,
-        dedupe_key=("source", "channel", "offset"),
-        finish=lambda df: format_vectors(df, table_format, width),
-    )
+    narrow = _flatten(windows.select("recording_id", "channel", "offset_s", "embedding"), flatten_channel)
+    narrow, done = _distinct_before_join(narrow, mapped, ("recording_id", "channel", "offset_s"))
+    rows = embedding_rows(narrow, mapped, table_format, output.path_template, output.filetype)
+    if table_format == "serialized":
+        late = {"encode": lambda df: format_vectors(df, "serialized")}
+    else:
+        width = first_width(windows, "embedding")
+        late = {"project": lambda df: format_vectors(df, table_format, width)}
+    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done, **late)
 
 
 # --- classification -------------------------------------------------------
@@ -155,10 +166,9 @@ def detection_rows(
     mapped: DataFrame,
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "csv",
-    flatten_channel: bool = False,
 ) -> DataFrame:
     dest = routing.destination(F.col("source"), template, "classify", filetype)
-    return classify.classify_table(found, mapped.withColumn("dest", dest), flatten_channel)
+    return classify.classify_table(found, mapped.withColumn("dest", dest))
 
 
 def export_classification(
@@ -178,32 +188,28 @@ def export_classification(
     mapped = mapped_recordings(sources, smap)
     routing.require_safe(mapped)
     require_mapped(mapped, smap)
-    rows = detection_rows(found, mapped, output.path_template, output.filetype, flatten_channel)
-    publish.publish(rows, output.root, output.filetype, output.provenance)
+    if flatten_channel or "channel" not in found.columns:
+        found = found.withColumn("channel", F.lit(0))
+    narrow = found.select("recording_id", "channel", "offset_s", "species", "score")
+    narrow, done = _distinct_before_join(narrow, mapped)
+    rows = detection_rows(narrow, mapped, output.path_template, output.filetype)
+    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
 
 
 # --- recognizers ----------------------------------------------------------
 
 
+SCORE_KEYS = ("recording_id", "channel", "offset_s")
+
+
 def recognizer_rows(
-    windows: DataFrame,
+    scored: DataFrame,
     mapped: DataFrame,
-    recognizers: DataFrame,
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "csv",
-    flatten_channel: bool = False,
-    min_score: float | None = None,
-    activation: Callable | None = None,
 ) -> DataFrame:
-    """dest, source, channel, offset, label, score and the extra columns.
-
-    Scoring comes before the join with the sources, so that only scores, not
-    vectors, pass through it.
-    """
-    keep = ["recording_id", "channel", "offset_s"]
-    scored = recognize.score(windows, recognizers, keep, "embedding", min_score, activation)
+    """dest, source, channel, offset, label, score and the extra columns of scored windows."""
     extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
-    channel = F.lit(0) if flatten_channel else F.col("channel").cast("int")
     dest = routing.destination(
         F.col("source"), template, "recognizer", filetype, classifier_name=F.col("classifier_name")
     )
@@ -214,7 +220,7 @@ def recognizer_rows(
     return named.select(
         "dest",
         F.col("mapped_source").alias("source"),
-        channel.alias("channel"),
+        F.col("channel").cast("int").alias("channel"),
         F.col("offset_s").alias("offset"),
         "label",
         "score",
@@ -232,14 +238,27 @@ def run_recognizers(
     min_score: float | None = None,
     activation: Callable | None = None,
 ) -> None:
+    """Publish the scores of all recognizers.
+
+    Vectors are read and multiplied once: scores are staged as narrow rows, and
+    the sampling for the sort and the join run on those. A misfitting recognizer
+    fails that first step, before anything is published. Scores are distinct if
+    windows and labels are, which is far cheaper to see than on the scores.
+    """
     recognize.require_unique_names(recognizers)
     mapped = mapped_recordings(recordings, smap)
     _check_sources(windows, mapped, smap)
-    rows = recognizer_rows(
-        windows, mapped, recognizers, output.path_template, output.filetype,
-        flatten_channel, min_score, activation,
-    )
-    publish.publish(rows, output.root, output.filetype, output.provenance)
+    scored = recognize.score(windows, recognizers, list(SCORE_KEYS), "embedding", min_score, activation)
+    narrow, visible = _flatten(written(scored), flatten_channel), ("classifier_name", "label")
+    if "{classifier_name}" not in output.path_template:
+        narrow, visible = narrow.withColumn("classifier_name", F.lit(None).cast("string")), ("label",)
+    surely = publish.unique(recognizers, visible) and publish.unique(_flatten(windows, flatten_channel), SCORE_KEYS)
+    if surely and store.one_id_per_source(mapped):
+        done = True
+    else:
+        narrow, done = _distinct_before_join(narrow, mapped)
+    rows = recognizer_rows(narrow, mapped, output.path_template, output.filetype)
+    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
 
 
 def _check_sources(windows: DataFrame, mapped: DataFrame, smap: SourceMap | None) -> None:

@@ -124,7 +124,7 @@ def recognizer_scores_above(spark, sf_dir):
 
 @registry.add(
     with_ctes(
-        """SELECT DISTINCT 'https://api.acousticsobservatory.org.au/audio_recordings/' || (9000 + recording_id)
+        """SELECT 'https://api.acousticsobservatory.org.au/audio_recordings/' || (9000 + recording_id)
                     || '/original' AS source,
                   channel, offset_s AS "offset", label, round(score, 6) AS score,
                   CAST(9000 + recording_id AS VARCHAR) AS audio_recording_id,
@@ -137,10 +137,8 @@ def recognizer_export(spark, sf_dir):
     """Recognizer results as they are published, a destination per recognizer."""
     smap = SourceMap.build(preset="a2o_original", pattern="canonical_filename")
     mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), smap)
-    recs = b.recognizers(spark, sf_dir)
-    rows = jobs.recognizer_rows(
-        b.windows(spark, sf_dir), mapped, recs, "{classifier_name}/{analysis}{ext}", "csv"
-    )
+    scored = recognize.score(b.windows(spark, sf_dir), b.recognizers(spark, sf_dir), list(jobs.SCORE_KEYS))
+    rows = jobs.recognizer_rows(scored, mapped, "{classifier_name}/{analysis}{ext}", "csv")
     return rows.withColumn("score", F.round("score", 6))
 
 

@@ -169,3 +169,47 @@ def test_guards(spark, recs, windows, classes, tmp_path):
         jobs.detections(windows, classes.limit(2)).collect()
     with pytest.raises(KeyError):
         jobs.export_embeddings(windows, recs.limit(1), out)
+
+
+def test_repeated_windows_and_labels_are_published_once(spark, tmp_path, recs, windows, recognizers):
+    one, twice, named = (str(tmp_path / n) for n in ("one", "twice", "named"))
+    jobs.run_recognizers(windows.unionByName(windows), recs, recognizers, Output(one))
+    assert publish.read_published(spark, one).count() == 68
+    same = recognizers.unionByName(recognizers.withColumn("classifier_name", F.concat("classifier_name", F.lit("2"))))
+    jobs.run_recognizers(windows, recs, same, Output(twice))
+    assert publish.read_published(spark, twice).count() == 68
+    jobs.run_recognizers(windows, recs, same, Output(named, template="{classifier_name}{ext}"))
+    assert publish.read_published(spark, named).count() == 136
+
+
+def test_a_source_under_two_ids(spark, tmp_path, recs, windows):
+    out = str(tmp_path / "emb")
+    again = recs.withColumn("recording_id", F.col("recording_id") + 1)
+    both = windows.unionByName(windows.withColumn("recording_id", F.col("recording_id") + 1))
+    jobs.export_embeddings(both, recs.unionByName(again), Output(out))
+    assert publish.read_published(spark, out).count() == 34
+
+
+def test_misfit_publishes_nothing(spark, tmp_path, recs, windows, recognizers):
+    out = str(tmp_path / "rec")
+    wide = recognizers.withColumn("beta", F.concat("beta", "beta"))
+    with pytest.raises(Exception, match="recognizer has dimension 4"):
+        jobs.run_recognizers(windows, recs, wide, Output(out))
+    assert not os.path.exists(out)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_results_dont_depend_on_partitions(spark, tmp_path, recs, windows, recognizers, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        out = str(tmp_path / "rec")
+        jobs.run_recognizers(windows.repartition(partitions), recs, recognizers, Output(out))
+        rows = publish.read_published(spark, out)
+        assert rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()[0] == SEEN.setdefault(
+            "sum", rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()[0]
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+SEEN = {}

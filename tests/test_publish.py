@@ -73,7 +73,7 @@ def test_failed_job_keeps_the_former_output(spark, tmp_path):
 def test_key_check_spares_the_wide_distinct(spark):
     df = rows(spark, 100)
     unique = df.dropDuplicates()
-    key = ("source", "channel", "offset")
+    key = ("dest", "source", "channel", "offset")
     assert p.deduplicate(unique, key) is unique
     assert p.deduplicate(df, key).count() == 100
     # same key, different vectors: both rows stay
