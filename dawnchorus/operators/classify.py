@@ -245,22 +245,25 @@ def detection_sources(detections: DataFrame, recordings: DataFrame) -> DataFrame
     return known.join(ids, "recording_id", "left_semi")
 
 
-def classify_table(detections: DataFrame, sources: DataFrame) -> DataFrame:
-    """Staged detections in the published column order.
+def result_table(rows: DataFrame, label: str) -> DataFrame:
+    """Placed rows in the published column order: the fixed columns, then the extra ones.
 
-    ``sources`` maps recording_id to ``mapped_source`` and the extra columns.
-    Rows without a recording id are left out. A staged table without channels
-    gets channel 0.
+    A table without channels gets channel 0.
     """
-    require_columns(detections, STAGED_REQUIRED, "staged detections")
-    extras = [c for c in sources.columns if c not in ("recording_id", "source", "mapped_source")]
-    channel = F.col("channel") if "channel" in detections.columns else F.lit(0)
-    joined = detections.join(sources, "recording_id")
-    return joined.select(
+    fixed = {"dest", "mapped_source", "recording_id", "channel", "offset_s", label, "score", "class_idx",
+             "classifier_name", "window_id", "window_idx", "source"}
+    channel = F.col("channel") if "channel" in rows.columns else F.lit(0)
+    return rows.select(
+        "dest",
         F.col("mapped_source").alias("source"),
         channel.cast("int").alias("channel"),
         F.col("offset_s").alias("offset"),
-        F.col("species").alias("label"),
+        F.col(label).alias("label"),
         "score",
-        *extras,
+        *[c for c in rows.columns if c not in fixed],
     )
+
+
+def classify_table(placed: DataFrame) -> DataFrame:
+    """Staged detections, placed, in the published column order."""
+    return result_table(require_columns(placed, STAGED_REQUIRED, "staged detections"), "species")

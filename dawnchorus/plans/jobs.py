@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.vectors import as_float32, first_width, pack, widen
@@ -44,6 +44,9 @@ class Output:
         return routing.resolve_layout(self.template, self.layout)
 
 
+WINDOW_KEY = ("recording_id", "channel", "offset_s")
+
+
 def mapped_recordings(recordings: DataFrame, smap: SourceMap | None, extra=EXTRA_COLUMNS) -> DataFrame:
     """recording_id, source, mapped_source and those extra columns any source has."""
     mapped = map_sources(recordings.select("recording_id", "source"), smap, extra)
@@ -68,23 +71,49 @@ def _distinct_before_join(rows: DataFrame, mapped: DataFrame, key=None) -> tuple
     return publish.deduplicate(rows, key), True
 
 
+def _carried(df: DataFrame, *columns: str) -> list[str]:
+    """The named columns, and ``source`` where the rows carry it."""
+    return [*columns, *(["source"] if "source" in df.columns and "source" not in columns else [])]
+
+
+def place(
+    rows: DataFrame, mapped: DataFrame, smap: SourceMap | None, dest_of: Callable[[Column], Column]
+) -> DataFrame:
+    """Add ``dest``, ``mapped_source`` and the extra columns; drop the plain source.
+
+    Rows that carry their source need no join: the columns are expressions of
+    it, and vectors aren't shuffled to meet the recordings. Other rows are
+    joined by recording id, with everything rendered once per recording before.
+    """
+    extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
+    source = F.col("source")
+    if "source" in rows.columns:
+        smap = smap or SourceMap()
+        found = smap.extra_columns(source, extras)
+        columns = {"mapped_source": smap.mapped(source), "dest": dest_of(source)}
+        return rows.withColumns(columns | {n: found[n] for n in extras}).drop("source")
+    if "classifier_name" in rows.columns:
+        return rows.join(mapped, "recording_id").withColumn("dest", dest_of(source)).drop("source")
+    return rows.join(mapped.withColumn("dest", dest_of(source)).drop("source"), "recording_id")
+
+
 # --- embeddings -----------------------------------------------------------
 
 
 def embedding_rows(
     windows: DataFrame,
     mapped: DataFrame,
+    smap: SourceMap | None = None,
     table_format: str = "serialized",
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "parquet",
 ) -> DataFrame:
-    """dest, source, channel, offset and the vector as an array.
-
-    The destination is rendered once per recording, not once per window.
-    """
-    dest = routing.destination(F.col("source"), template, "embeddings", filetype, table_format)
-    routed = mapped.select("recording_id", "mapped_source", dest.alias("dest"))
-    named = windows.select("recording_id", "channel", "offset_s", "embedding").join(routed, "recording_id")
+    """dest, source, channel, offset and the vector as an array."""
+    narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding"))
+    named = place(
+        narrow, mapped, smap,
+        lambda source: routing.destination(source, template, "embeddings", filetype, table_format),
+    )
     return named.select(
         "dest",
         F.col("mapped_source").alias("source"),
@@ -118,9 +147,9 @@ def export_embeddings(
     """
     mapped = mapped_recordings(recordings, smap, ())
     _check_sources(windows, mapped, smap)
-    narrow = _flatten(windows.select("recording_id", "channel", "offset_s", "embedding"), flatten_channel)
-    narrow, done = _distinct_before_join(narrow, mapped, ("recording_id", "channel", "offset_s"))
-    rows = embedding_rows(narrow, mapped, table_format, output.path_template, output.filetype)
+    narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding"))
+    narrow, done = _distinct_before_join(_flatten(narrow, flatten_channel), mapped, WINDOW_KEY)
+    rows = embedding_rows(narrow, mapped, smap, table_format, output.path_template, output.filetype)
     if table_format == "serialized":
         late = {"encode": lambda df: format_vectors(df, "serialized")}
     else:
@@ -141,7 +170,7 @@ def detections(
 ) -> DataFrame:
     """Staged detections from windows with a logit array, in one pass over the logits."""
     width = classes.count()
-    kept = windows.select("recording_id", "channel", "offset_s", "logits")
+    kept = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "logits"))
     if species is None:
         found = classify.top_classes(kept, "logits", threshold, top_n, width=width)
     else:
@@ -152,7 +181,7 @@ def detections(
             long = classify.explode_logits(kept)
             found = classify.top_classes_long(
                 long,
-                ["recording_id", "channel", "offset_s"],
+                list(WINDOW_KEY),
                 threshold,
                 top_n,
                 classify.allowed_classes(classes, species),
@@ -164,11 +193,14 @@ def detections(
 def detection_rows(
     found: DataFrame,
     mapped: DataFrame,
+    smap: SourceMap | None = None,
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "csv",
 ) -> DataFrame:
-    dest = routing.destination(F.col("source"), template, "classify", filetype)
-    return classify.classify_table(found, mapped.withColumn("dest", dest))
+    """dest, source, channel, offset, label, score and the extra columns."""
+    known = found.where(F.col("recording_id").isNotNull())
+    named = place(known, mapped, smap, lambda source: routing.destination(source, template, "classify", filetype))
+    return classify.classify_table(named)
 
 
 def export_classification(
@@ -190,42 +222,32 @@ def export_classification(
     require_mapped(mapped, smap)
     if flatten_channel or "channel" not in found.columns:
         found = found.withColumn("channel", F.lit(0))
-    narrow = found.select("recording_id", "channel", "offset_s", "species", "score")
+    narrow = found.select(*_carried(found, "recording_id", "channel", "offset_s", "species", "score"))
     narrow, done = _distinct_before_join(narrow, mapped)
-    rows = detection_rows(narrow, mapped, output.path_template, output.filetype)
+    rows = detection_rows(narrow, mapped, smap, output.path_template, output.filetype)
     publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
 
 
 # --- recognizers ----------------------------------------------------------
 
 
-SCORE_KEYS = ("recording_id", "channel", "offset_s")
-
-
 def recognizer_rows(
     scored: DataFrame,
     mapped: DataFrame,
+    smap: SourceMap | None = None,
     template: str = routing.LAYOUTS["flat"],
     filetype: str = "csv",
 ) -> DataFrame:
     """dest, source, channel, offset, label, score and the extra columns of scored windows."""
-    extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
-    dest = routing.destination(
-        F.col("source"), template, "recognizer", filetype, classifier_name=F.col("classifier_name")
-    )
-    if "{classifier_name}" in template:
-        named = scored.join(mapped, "recording_id").withColumn("dest", dest)
-    else:
-        named = scored.join(mapped.withColumn("dest", dest), "recording_id")
-    return named.select(
-        "dest",
-        F.col("mapped_source").alias("source"),
-        F.col("channel").cast("int").alias("channel"),
-        F.col("offset_s").alias("offset"),
-        "label",
-        "score",
-        *extras,
-    )
+    if "{classifier_name}" not in template:
+        scored = scored.drop("classifier_name")
+
+    def dest_of(source):
+        return routing.destination(
+            source, template, "recognizer", filetype, classifier_name=F.col("classifier_name")
+        )
+
+    return classify.result_table(place(scored, mapped, smap, dest_of), "label")
 
 
 def run_recognizers(
@@ -248,16 +270,17 @@ def run_recognizers(
     recognize.require_unique_names(recognizers)
     mapped = mapped_recordings(recordings, smap)
     _check_sources(windows, mapped, smap)
-    scored = recognize.score(windows, recognizers, list(SCORE_KEYS), "embedding", min_score, activation)
+    keep = _carried(windows, *WINDOW_KEY)
+    scored = recognize.score(windows, recognizers, keep, "embedding", min_score, activation)
     narrow, visible = _flatten(written(scored), flatten_channel), ("classifier_name", "label")
     if "{classifier_name}" not in output.path_template:
-        narrow, visible = narrow.withColumn("classifier_name", F.lit(None).cast("string")), ("label",)
-    surely = publish.unique(recognizers, visible) and publish.unique(_flatten(windows, flatten_channel), SCORE_KEYS)
+        narrow, visible = narrow.drop("classifier_name"), ("label",)
+    surely = publish.unique(recognizers, visible) and publish.unique(_flatten(windows, flatten_channel), WINDOW_KEY)
     if surely and store.one_id_per_source(mapped):
         done = True
     else:
         narrow, done = _distinct_before_join(narrow, mapped)
-    rows = recognizer_rows(narrow, mapped, output.path_template, output.filetype)
+    rows = recognizer_rows(narrow, mapped, smap, output.path_template, output.filetype)
     publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
 
 
@@ -279,19 +302,20 @@ def model_windows(
     hop_s: float = HOP_S,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Recordings to windows with vectors.
+    """Recordings to windows with vectors, each carrying its source.
 
     ``shard_samples`` adds a ``samples array<float>`` column to a table of
     shards (decoding audio is the caller's). The shuffle happens on the small
     shard rows, before samples exist.
     """
     shards = spread_shards(shard_recordings(recordings), partitions)
-    keys = ["recording_id", "deployment", "shard_idx", "shard_offset_s"]
+    keys = ["recording_id", "source", "deployment", "shard_idx", "shard_offset_s"]
     rows = infer(shard_samples(shards).select(*keys, "samples"), load_model, "samples", keys, with_logits)
     per_shard = max(1, -int(-60.0 // hop_s))
     start = F.col("shard_offset_s") + F.col("t") * F.lit(float(hop_s))
     return rows.select(
         "recording_id",
+        "source",
         "deployment",
         (F.col("shard_idx") * per_shard + F.col("t")).cast("int").alias("window_idx"),
         "channel",

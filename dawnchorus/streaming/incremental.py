@@ -25,7 +25,7 @@ def add_arrivals(
     def take(batch: DataFrame, _epoch: int) -> None:
         info = [c for c in ("recording_id", "source", "deployment", "dataset", "duration_s") if c in batch.columns]
         recordings = batch.select(*info).dropDuplicates(["recording_id"])
-        drop = [c for c in ("source", "dataset", "duration_s") if c in batch.columns]
+        drop = [c for c in ("dataset", "duration_s") if c in batch.columns]
         WindowStore(batch.sparkSession, store_root).add(recordings, batch.drop(*drop), duplicates)
 
     stream = spark.readStream.schema(schema).parquet(arrivals)

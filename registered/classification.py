@@ -183,7 +183,7 @@ def classify_export(spark, sf_dir):
     found = written(jobs.detections(wide, b.classes(spark, sf_dir), THRESHOLD, TOP))
     sources = classify.detection_sources(found, b.recordings(spark, sf_dir))
     mapped = jobs.mapped_recordings(sources, smap)
-    rows = jobs.detection_rows(found, mapped, "{parents}/{analysis}{ext}", "csv")
+    rows = jobs.detection_rows(found, mapped, smap, "{parents}/{analysis}{ext}", "csv")
     return rows.withColumn("score", F.round("score", 6))
 
 

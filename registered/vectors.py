@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dawnchorus.functions import vectors as v
-from dawnchorus.operators import framing, recognize
+from dawnchorus.operators import framing, recognize, store
 from dawnchorus.operators.inference import infer
 from dawnchorus.operators.sourcemap import SourceMap
 from dawnchorus.plans import jobs
@@ -35,7 +35,7 @@ def packed_sql(column: str) -> str:
 def embeddings_serialized(spark, sf_dir):
     """Embedding export, vectors packed as text."""
     mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), None, ())
-    rows = jobs.embedding_rows(b.windows(spark, sf_dir), mapped, "serialized")
+    rows = jobs.embedding_rows(b.windows(spark, sf_dir), mapped)
     return jobs.format_vectors(rows, "serialized")
 
 
@@ -50,10 +50,10 @@ def embeddings_serialized(spark, sf_dir):
 )
 def embeddings_columns(spark, sf_dir):
     """Embedding export, one column per element, one destination per recording."""
-    mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), None, ())
-    rows = jobs.embedding_rows(
-        b.windows(spark, sf_dir), mapped, "columns", "{embeddings_table_format}/{filestem}{ext}"
-    )
+    recordings = b.recordings(spark, sf_dir)
+    windows = store.windows_by_source(b.windows(spark, sf_dir), recordings)
+    mapped = jobs.mapped_recordings(recordings, None, ())
+    rows = jobs.embedding_rows(windows, mapped, None, "columns", "{embeddings_table_format}/{filestem}{ext}")
     return jobs.format_vectors(rows, "columns")
 
 
@@ -137,8 +137,8 @@ def recognizer_export(spark, sf_dir):
     """Recognizer results as they are published, a destination per recognizer."""
     smap = SourceMap.build(preset="a2o_original", pattern="canonical_filename")
     mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), smap)
-    scored = recognize.score(b.windows(spark, sf_dir), b.recognizers(spark, sf_dir), list(jobs.SCORE_KEYS))
-    rows = jobs.recognizer_rows(scored, mapped, "{classifier_name}/{analysis}{ext}", "csv")
+    scored = recognize.score(b.windows(spark, sf_dir), b.recognizers(spark, sf_dir), list(jobs.WINDOW_KEY))
+    rows = jobs.recognizer_rows(scored, mapped, smap, "{classifier_name}/{analysis}{ext}", "csv")
     return rows.withColumn("score", F.round("score", 6))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.vectors import unpack
-from dawnchorus.operators import publish, store
+from dawnchorus.operators import publish, recognize, store
 from dawnchorus.operators.sourcemap import SourceMap
 from dawnchorus.plans import jobs
 from dawnchorus.plans.jobs import Output
@@ -107,6 +107,25 @@ def test_everything_at_once(spark, tmp_path, recs, windows, classes, recognizers
     assert rec.where("label = 'Late call' AND score <> `offset` - 50").isEmpty()
 
 
+def test_rows_that_carry_their_source_need_no_join(spark, recs, windows, classes, recognizers):
+    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
+    mapped = jobs.mapped_recordings(recs, smap)
+    bare = windows.drop("source")
+    assert "audio_recording_id" in mapped.columns
+    for made in (
+        lambda w: jobs.embedding_rows(w, mapped, smap, "serialized", "{parents}/{filestem}{ext}"),
+        lambda w: jobs.detection_rows(jobs.detections(w, classes), mapped, smap, "{parents}/{analysis}{ext}"),
+        lambda w: jobs.recognizer_rows(
+            recognize.score(w, recognizers, jobs._carried(w, *jobs.WINDOW_KEY)), mapped, smap, "{classifier_name}{ext}"
+        ),
+    ):
+        one, other = made(windows), made(bare)
+        assert one.columns == other.columns
+        assert one.count() > 0 and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    text = jobs.embedding_rows(windows, mapped, smap)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text
+
+
 def test_columns_format(spark, tmp_path, recs, windows):
     out = str(tmp_path / "emb")
     jobs.export_embeddings(windows, recs, Output(out, "csv"), "columns")
