@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.sizing import parquet_options
+
 SORT_FIRST = ("source", "offset")
 PROVENANCE = "provenance"
 
@@ -109,7 +111,7 @@ def publish(
         .partitionBy("dest")
     )
     if filetype == "parquet":
-        writer.option("compression", "snappy").parquet(root)
+        writer.options(**parquet_options(out)).option("compression", "snappy").parquet(root)
     else:
         writer.option("header", True).csv(root)
         _write_facts(rows.sparkSession, root, provenance)

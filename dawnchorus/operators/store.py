@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from dawnchorus.checks import require_none
 from dawnchorus.functions.text import first_folder
+from dawnchorus.sizing import parquet_options
 
 WINDOW_KEY = ("recording_id", "window_idx", "channel")
 
@@ -124,7 +125,8 @@ class WindowStore:
         if held_recordings is not None:
             fresh = fresh.join(held_recordings.select("recording_id"), "recording_id", "left_anti")
         # Windows first: a recording is listed only once its windows are there.
-        windows.write.mode("append").partitionBy("deployment").parquet(self._path("windows"))
+        writer = windows.write.options(**parquet_options(windows)).mode("append")
+        writer.partitionBy("deployment").parquet(self._path("windows"))
         fresh.write.mode("append").parquet(self._path("recordings"))
 
 

@@ -171,21 +171,12 @@ def detections(
     """Staged detections from windows with a logit array, in one pass over the logits."""
     width = classes.count()
     kept = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "logits"))
-    if species is None:
-        found = classify.top_classes(kept, "logits", threshold, top_n, width=width)
-    else:
+    allowed = None
+    if species is not None:
         allowed = classify.allowed_positions(classes, species)
-        if allowed is not None:
-            found = classify.top_classes(kept, "logits", threshold, top_n, allowed, width)
-        else:
-            long = classify.explode_logits(kept)
-            found = classify.top_classes_long(
-                long,
-                list(WINDOW_KEY),
-                threshold,
-                top_n,
-                classify.allowed_classes(classes, species),
-            )
+        if allowed is None:
+            allowed = classify.allowed_classes(classes, species)
+    found = classify.top_classes(kept, "logits", threshold, top_n, allowed, width)
     named = classify.name_classes(found, classes)
     return named.withColumnRenamed("label", "species")
 

@@ -104,12 +104,33 @@ def test_one_window_with_a_third_of_all_rows(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_array_form_needs_no_shuffle(spark, sf_dir):
+def test_array_form_shuffles_best_rows_only(spark, sf_dir):
     from registered import bindings as b
 
-    df = b.windows(spark, sf_dir).withColumnRenamed("embedding", "logits")
+    df = b.windows(spark, sf_dir).drop("label").withColumnRenamed("embedding", "logits")
     plan = c.top_classes(df, "logits", -10.0, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Window" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
+    below = plan[plan.index("Exchange"):]
+    assert "WindowGroupLimit" in below and "posexplode" in below and "logits" not in plan[: plan.index("Exchange")]
+
+
+def test_brute_force_with_repeated_windows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    vectors = [rng.normal(10.5, 1.0, size=40).astype("float32") for _ in range(30)]
+    vectors[3][5] = np.nan
+    # Window 1 twice alike; window 2 twice with different logits.
+    keys = [*range(30), 1, 2]
+    all_vectors = [*vectors, vectors[1], vectors[7]]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, all_vectors)], "w int, logits array<float>")
+    want = []
+    for k, v in zip(keys, all_vectors):
+        score = v.astype("float64") * 0.97 - 10
+        order = sorted((i for i in range(40) if score[i] >= 0.0), key=lambda i: (-score[i], -i))
+        want += [(k, i) for i in order[:4]]
+    got = [(r["w"], r["class_idx"]) for r in c.top_classes(df.repartition(5), "logits", 0.0, 4).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def pairs(spark, *rows):
