@@ -40,8 +40,7 @@ def infer(
         columns = [*keys, "t", "channel", "embedding"] + (["logits"] if with_logits else [])
         for batch in batches:
             rows = []
-            for rec in batch.itertuples(index=False):
-                samples = getattr(rec, audio)
+            for *head, samples in batch.itertuples(index=False, name=None):
                 outcome = None if samples is None else model(np.asarray(samples, dtype="float32"))
                 if outcome is None or outcome[0] is None:
                     continue
@@ -51,7 +50,6 @@ def infer(
                     logits = logit_sets.get(logits_key)
                     if logits is None:
                         logits = next(iter(logit_sets.values()))
-                head = [getattr(rec, k) for k in keys]
                 for t, per_channel in enumerate(vectors):
                     for ch, vector in enumerate(per_channel):
                         row = [*head, t, ch, np.asarray(vector, dtype="float32")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.checks import SHOWN
 from dawnchorus.functions.text import candidate_labels, casefold, normalized_items, split_items, strip
+from dawnchorus.sizing import broadcast_if_small, written
 
 
 def split_list(items: DataFrame, text: str = "raw", order: str = "item_ord") -> DataFrame:
@@ -184,6 +185,10 @@ def require_all_known(matched: DataFrame, label_space: str) -> None:
 def harmonize(
     facts: DataFrame, column: str, translation: DataFrame, into: str = "label"
 ) -> DataFrame:
-    """Add the translated label to any table with a label column."""
-    found = translation.select(F.col("raw").alias(column), F.col("label").alias(into))
-    return facts.join(found, column, "left")
+    """Add the translated label to any table with a label column.
+
+    The translation of the distinct labels is written once; if it is small, and
+    only then, the facts meet it without a shuffle.
+    """
+    found = written(translation.select(F.col("raw").alias(column), F.col("label").alias(into)))
+    return facts.join(broadcast_if_small(found), column, "left")

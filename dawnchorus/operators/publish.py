@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dawnchorus.sizing import parquet_options
+from dawnchorus.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measured, parquet_options, written
 
 SORT_FIRST = ("source", "offset")
 PROVENANCE = "provenance"
@@ -20,17 +22,32 @@ def deduplicate(rows: DataFrame, key: tuple[str, ...] | None = None) -> DataFram
 
     Copies collapse in the map-side half of the aggregate, so a row repeated
     very often doesn't travel. With ``key``, columns that tell most rows apart,
-    the key columns alone are counted first: where none repeats no two rows can
-    be equal, and wide rows are spared that shuffle.
+    the key columns alone are counted first: rows whose key doesn't repeat
+    can't have an equal and are spared that shuffle. If too many keys repeat to
+    be broadcast, all rows take part in the distinct.
     """
-    if key is not None and unique(rows, key):
+    if key is None:
+        return rows.dropDuplicates()
+    again = repeated(rows, key)
+    if again.isEmpty():
         return rows
-    return rows.dropDuplicates()
+    again = written(again)
+    n, size = measured(again)
+    if n > BROADCAST_ROWS or size > BROADCAST_BYTES:
+        return rows.dropDuplicates()
+    left, right = rows.alias("l"), F.broadcast(again).alias("r")
+    same = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key])
+    single = left.join(right, same, "left_anti")
+    return single.unionByName(left.join(right, same, "left_semi").dropDuplicates())
+
+
+def repeated(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Keys that occur more than once; reads those columns only."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
 
 
 def unique(rows: DataFrame, key: tuple[str, ...]) -> bool:
-    """Whether no two rows agree in ``key``; reads those columns only."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return repeated(rows, key).isEmpty()
 
 
 def sort_keys(rows: DataFrame) -> list:

@@ -333,14 +333,16 @@ def analyze(
     smap: SourceMap | None = None,
     store_root: str | None = None,
     duplicates: str = "error",
+    stage: bool = True,
 ) -> DataFrame:
     """Any of the three exports over one window table; returns the run summary.
 
     ``windows`` may come straight from :func:`model_windows`: it is written
-    once, into the store if ``store_root`` is given and else into a scratch
-    table, and every export reads its own columns from there. With a store
-    that already exists the embedding and recognizer tables cover all of it,
-    the classification only the windows of this run.
+    once into a scratch table, so that the model runs once, and every export
+    reads its own columns from there. Pass ``stage=False`` for windows that
+    are a stored table already. With ``store_root`` the windows are added to
+    that store; the embedding and recognizer tables then cover all of it, the
+    classification only the windows of this run.
     """
     if embed is None and classification is None and recognition is None:
         raise ValueError("nothing to do: ask for embeddings, classification or recognizers")
@@ -351,7 +353,7 @@ def analyze(
     began = time.monotonic()
     require_pattern_for_many(recordings.limit(2).count(), smap)
     store.require_unique_ids(recordings)
-    run = written(windows)
+    run = written(windows) if stage else windows
     everything, everyone = run, recordings
     if store_root is not None:
         kept = store.WindowStore(spark, store_root)

@@ -80,6 +80,15 @@ def test_key_check_spares_the_wide_distinct(spark):
     two = spark.createDataFrame([("d", "s", 0, 0.0, [1.0]), ("d", "s", 0, 0.0, [2.0]), ("d", "s", 0, 0.0, [2.0])],
                                 "dest string, source string, channel int, offset double, e array<float>")
     assert p.deduplicate(two, key).count() == 2
+    nulls = spark.createDataFrame([(None, 1, 2.0)] * 3 + [("a", None, 2.0)] * 2 + [("b", 1, 1.0)],
+                                  "dest string, channel int, v double")
+    assert p.deduplicate(nulls, ("dest", "channel")).count() == 3
+
+
+def test_many_repeated_keys_take_the_full_distinct(spark, monkeypatch):
+    monkeypatch.setattr(p, "BROADCAST_ROWS", 10)
+    df = rows(spark, 100)
+    assert p.deduplicate(df, ("dest", "source", "channel", "offset")).count() == 100
 
 
 def test_csv_nulls_text_and_types(spark, tmp_path):
