@@ -200,15 +200,15 @@ def vector_width_check(spark, sf_dir):
     return widths(wide, "embedding")
 
 
-# Class codes s<k>; odd ones have a species code c<k>; names exist for multiples of 3,
-# an empty name for multiples of 5.
+# Class codes s<k>; suppliers in credit have a species code c<k>; names exist for some nations,
+# under the class code for suppliers in debt or rich ones, and empty where the balance is middling.
 CODES_SQL = """codes AS (SELECT CAST(s_suppkey AS INTEGER) AS class_idx, 's' || s_suppkey AS label FROM supplier)"""
 TO_CODE_SQL = """to_code AS (
-  SELECT s_suppkey AS ord, 's' || s_suppkey AS src, 'c' || s_suppkey AS dst FROM supplier WHERE s_suppkey % 2 = 1)"""
+  SELECT s_suppkey AS ord, 's' || s_suppkey AS src, 'c' || s_suppkey AS dst FROM supplier WHERE s_acctbal > 0)"""
 TO_NAME_SQL = """to_name AS (
-  SELECT s_suppkey AS ord, (CASE WHEN s_suppkey % 4 = 3 THEN 's' ELSE 'c' END) || s_suppkey AS src,
-         CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS dst
-  FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 5 = 0)"""
+  SELECT s_suppkey AS ord, (CASE WHEN s_acctbal > 8000 OR s_acctbal < 0 THEN 's' ELSE 'c' END) || s_suppkey AS src,
+         CASE WHEN s_acctbal BETWEEN 4000 AND 6000 THEN '' ELSE s_name END AS dst
+  FROM supplier WHERE s_nationkey < 20)"""
 
 
 @registry.add(
@@ -227,13 +227,14 @@ def class_name_resolution(spark, sf_dir):
     key = F.col("s_suppkey")
     text = key.cast("string")
     codes = s.select(key.cast("int").alias("class_idx"), F.concat(F.lit("s"), text).alias("label"))
-    to_code = s.where(key % 2 == 1).select(
+    to_code = s.where("s_acctbal > 0").select(
         key.alias("ord"), F.concat(F.lit("s"), text).alias("src"), F.concat(F.lit("c"), text).alias("dst")
     )
-    to_name = s.where((key % 3 == 0) | (key % 5 == 0)).select(
+    balance = F.col("s_acctbal")
+    to_name = s.where("s_nationkey < 20").select(
         key.alias("ord"),
-        F.concat(F.when(key % 4 == 3, "s").otherwise("c"), text).alias("src"),
-        F.when(key % 5 == 0, "").otherwise(F.col("s_name")).alias("dst"),
+        F.concat(F.when((balance > 8000) | (balance < 0), "s").otherwise("c"), text).alias("src"),
+        F.when(balance.between(4000, 6000), "").otherwise(F.col("s_name")).alias("dst"),
     )
     return classify.resolve_class_names(codes, to_name, to_code).select("class_idx", "label")
 

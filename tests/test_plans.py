@@ -55,3 +55,36 @@ def test_publishing_ranges_by_destination_and_key(spark, sf_dir):
 def test_framing_doesnt_shuffle(spark, sf_dir):
     for name in ("frame_windows", "frame_shards", "recognizer_scores_above", "channels_expanded"):
         assert "Exchange" not in plan(entry.queries()[name](spark, sf_dir)), name
+
+
+def test_skewed_recording_is_split(spark):
+    """A recording with a third of all windows, joined to recordings too large to broadcast."""
+    from pyspark.sql import functions as F
+
+    from dawnchorus.operators import store
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        windows = spark.range(0, 300_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("recording_id"),
+            F.sha2(F.col("id").cast("string"), 512).alias("payload"),
+        )
+        recordings = spark.range(300_000).select(
+            F.col("id").alias("recording_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source")
+        )
+        joined = store.windows_by_source(windows, recordings)
+        joined.collect()
+        text = plan(joined)
+        assert "skew=true" in text
+        assert joined.count() == 300_000
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
