@@ -46,11 +46,16 @@ def shard_recordings(
 def spread_shards(shards: DataFrame, partitions: int | None = None) -> DataFrame:
     """Even out shards over tasks before the costly step that follows.
 
-    Shard rows are small, so this shuffle is cheap; hashing on the recording
-    *and* the shard splits a recording that holds a large part of the audio.
+    Shard rows are small, so this shuffle is cheap. Ranges of deployment,
+    recording and shard split a recording that holds much of the audio, and
+    leave each task with few deployments, hence few files in the store. The
+    number of tasks is fixed: by their bytes the rows would be merged into a
+    handful of tasks, although the work behind each is large.
     """
-    keys = ["recording_id", "shard_idx"]
-    return shards.repartition(partitions, *keys) if partitions else shards.repartition(*keys)
+    if partitions is None:
+        partitions = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c for c in ("deployment", "recording_id", "shard_idx") if c in shards.columns]
+    return shards.repartitionByRange(partitions, *keys)
 
 
 def window_count(length_s: Column, window_s: float, hop_s: float, partial: str) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dawnchorus.operators import classify, store
+from dawnchorus.operators import classify, publish, store
 from dawnchorus.operators.sourcemap import SourceMap
 from dawnchorus.plans import jobs
-from dawnchorus.sizing import written
+from dawnchorus.schemas import RESULTS
+from dawnchorus.sizing import scratch_folder, written
 
 from . import bindings as b
 from .bindings import Registry, with_ctes
@@ -251,3 +252,44 @@ def mapping_reversed(spark, sf_dir):
         F.col("c_custkey").alias("ord"),
     )
     return classify.reverse_mapping(pairs)
+
+
+@registry.add(
+    with_ctes(
+        """SELECT 'embeddings' AS output, dest, count(*) AS n_rows, count(DISTINCT source) AS n_sources
+           FROM (SELECT source, regexp_replace(source, '\\.flac$', '.parquet') AS dest
+                 FROM windows JOIN recordings USING (recording_id)) GROUP BY dest
+           UNION ALL
+           SELECT 'classification', 'site' || (recording_id % 3) || '/classify_results.csv', count(*), count(DISTINCT source)
+           FROM top_rows JOIN recordings USING (recording_id) GROUP BY 2
+           UNION ALL
+           SELECT 'recognizers', classifier_name || '.csv', count(*), count(DISTINCT source)
+           FROM recognizers CROSS JOIN windows JOIN recordings USING (recording_id) GROUP BY 2""",
+        b.WINDOWS_SQL, b.RECORDINGS_SQL, b.RECOGNIZERS_SQL, EXPLODED, TOP_ROWS,
+    )
+)
+def analyze_outputs(spark, sf_dir):
+    """All three exports of one run, written and read back: rows and sources per destination."""
+    recs = b.recordings(spark, sf_dir).withColumn("duration_s", F.lit(100.0))
+    windows = store.windows_by_source(b.windows(spark, sf_dir).drop("label"), recs.drop("duration_s"))
+    root = scratch_folder(spark)
+    outputs = {
+        "embeddings": jobs.Output(f"{root}/emb", "parquet", layout="nested_filestem"),
+        "classification": jobs.Output(f"{root}/cls", "csv", layout="nested"),
+        "recognizers": jobs.Output(f"{root}/rec", "csv", "{classifier_name}{ext}"),
+    }
+    jobs.analyze(
+        spark, recs, windows.withColumn("logits", F.col("embedding")),
+        embed=outputs["embeddings"],
+        classification=outputs["classification"], classes=b.classes(spark, sf_dir), threshold=THRESHOLD, top_n=TOP,
+        recognition=outputs["recognizers"], recognizers=b.recognizers(spark, sf_dir),
+        smap=SourceMap.build(preset="ecosounds_original", pattern="canonical_filename"),
+    )
+    counted = None
+    for name, out in outputs.items():
+        rows = publish.read_published(spark, out.root, out.filetype, RESULTS if out.filetype == "csv" else None)
+        per_dest = rows.groupBy("dest").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source").alias("n_sources")
+        ).select(F.lit(name).alias("output"), "dest", "n_rows", "n_sources")
+        counted = per_dest if counted is None else counted.unionByName(per_dest)
+    return counted

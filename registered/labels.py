@@ -8,6 +8,7 @@ from dawnchorus.functions.text import candidate_labels
 from dawnchorus.operators import labels, store
 from dawnchorus.operators.store import WindowStore
 from dawnchorus.sizing import scratch_folder
+from dawnchorus.streaming.incremental import add_arrivals
 
 from . import bindings as b
 from .bindings import Registry, with_ctes
@@ -379,3 +380,26 @@ def window_store(spark, sf_dir):
     return kept.windows.select(
         "deployment", "recording_id", "window_idx", "offset_s", F.round(total, 6).alias("vector_sum")
     )
+
+
+@registry.add(
+    with_ctes(
+        """SELECT 'site' || (recording_id % 3) AS deployment, source, window_idx, offset_s,
+                  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vector_sum
+           FROM windows JOIN recordings USING (recording_id)""",
+        b.WINDOWS_SQL, b.RECORDINGS_SQL,
+    )
+)
+def window_stream(spark, sf_dir):
+    """The store filled from arriving window files, called again with nothing new."""
+    recs = b.recordings(spark, sf_dir).withColumn("deployment", F.split("source", "/")[0])
+    rows = store.windows_by_source(b.windows(spark, sf_dir).drop("label"), recs)
+    folder = scratch_folder(spark)
+    arrivals = f"{folder}/arrivals"
+    rows.write.parquet(arrivals)
+    for _ in range(2):
+        add_arrivals(spark, arrivals, rows.schema, f"{folder}/store", f"{folder}/mark")
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return WindowStore(spark, f"{folder}/store").windows.select(
+        "deployment", "source", "window_idx", "offset_s", F.round(total, 6).alias("vector_sum")
+    )

@@ -52,6 +52,13 @@ def test_spread_keeps_rows(spark):
     assert f.spread_shards(s, 4).exceptAll(s).isEmpty()
 
 
+def test_long_recording_is_spread_over_fixed_tasks(spark):
+    s = f.spread_shards(shards(spark, 60.0 * 900, *[60.0] * 30), 6)
+    s = s.withColumn("task", F.spark_partition_id())
+    assert s.select("task").distinct().count() == 6
+    assert s.where("recording_id = 0").select("task").distinct().count() >= 5
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("a/b.wav", 5.0), ("c.wav", 12345.0)], "s string, o double")
     assert [r[0] for r in df.select(window_key(F.col("s"), F.col("o"))).collect()] == ["a/b.wav_5.0", "c.wav_12345.0"]
