@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -138,7 +137,3 @@ def fill_template(template: str, values: dict[str, Column], token: re.Pattern =
     if at < len(template) or not pieces:
         pieces.append(F.lit(template[at:]))
     return F.concat(*pieces) if len(pieces) > 1 else pieces[0]
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -13,29 +13,35 @@ from dawnchorus.checks import require_none
 from dawnchorus.schemas import require_columns
 from dawnchorus.sizing import BROADCAST_BYTES, row_bytes
 
+MAX_WIDTHS = 50  # lengths and misfits quoted in an error
 WEIGHT_COLUMNS = ("classifier_name", "class_idx", "label", "beta", "bias")
 
 
-def require_compatible(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding") -> None:
-    """Every vector length must fit every recognizer; all misfits in one error.
+def misfits(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Recognizers whose dimension differs from a vector length: (classifier_name, dimension, width).
 
     Both sides shrink to their distinct lengths first. Reads the whole vector
-    column: a job over a large store leaves it to :func:`score`, which fails on
-    a misfit before anything is published.
+    column: a job over a large store leaves the check to :func:`score`, which
+    fails on a misfit before anything is published.
     """
-    lengths = windows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("width")).distinct()
-    wanted = recognizers.select("classifier_name", F.size("beta").alias("beta_width")).distinct()
-    found = [r["width"] for r in lengths.limit(11).collect()]
-    if not found:
-        return
-    misfit = wanted.where(F.array_size(F.array_remove(F.array(*map(F.lit, found)), F.col("beta_width"))) > 0)
-    text = F.concat_ws(
-        "", F.col("classifier_name"), F.lit(": recognizer has dimension "), F.col("beta_width"),
-        F.lit(f", embeddings have {sorted(found)}"),
-    )
-    rows = misfit.select(text.alias("m")).orderBy("m").limit(50).collect()
+    sized = windows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("width"))
+    found = [r["width"] for r in sized.distinct().orderBy("width").limit(MAX_WIDTHS).collect()]
+    wanted = recognizers.select("classifier_name", F.size("beta").alias("dimension")).distinct()
+    widths = F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
+    return wanted.withColumn("width", F.explode(widths)).where("width <> dimension")
+
+
+def require_compatible(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding") -> None:
+    """Every vector length must fit every recognizer; all misfits in one error."""
+    bad = misfits(windows, recognizers, vector)
+    rows = bad.orderBy("classifier_name", "width").limit(MAX_WIDTHS).collect()
     if rows:
-        raise RuntimeError("; ".join(r["m"] for r in rows))
+        raise RuntimeError(
+            "; ".join(
+                f"{r['classifier_name']}: recognizer has dimension {r['dimension']}, embeddings have {r['width']}"
+                for r in rows
+            )
+        )
 
 
 def weight_blocks(recognizers: DataFrame, block_bytes: int = BROADCAST_BYTES):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dawnchorus.functions.text import window_key
 from dawnchorus.operators import classify, publish, store
 from dawnchorus.operators.sourcemap import SourceMap
 from dawnchorus.plans import jobs
 from dawnchorus.schemas import RESULTS
 from dawnchorus.sizing import scratch_folder, written
+from dawnchorus.sources.tables import staged_detections
 
 from . import bindings as b
 from .bindings import Registry, with_ctes
@@ -188,6 +190,42 @@ def classify_export(spark, sf_dir):
     return rows.withColumn("score", F.round("score", 6))
 
 
+@registry.add(
+    with_ctes(
+        """SELECT DISTINCT 'https://example.org/audio_recordings/' || window_id || '/original' AS source, 0 AS channel,
+                  l_linenumber * 5.0::DOUBLE AS "offset", label, round(score, 6) AS score,
+                  CAST(window_id AS VARCHAR) AS audio_recording_id,
+                  CASE WHEN strpos(source, '/') > 0 THEN split_part(source, '/', 1) || '/' ELSE '' END
+                    || 'classify_results.parquet' AS dest
+           FROM top_rows JOIN long_classes USING (class_idx) JOIN audio_files ON recording_id = window_id""",
+        b.LONG_LOGITS_SQL, b.LONG_CLASSES_SQL, b.AUDIO_FILES_SQL, LONG_SCORED, _long_top(3, "scored"),
+    )
+)
+def staged_export(spark, sf_dir):
+    """Detections staged as a table with text ids, read back, checked and published as rows."""
+    found = classify.top_classes_long(
+        b.long_logits(spark, sf_dir), ["window_id"], 0.0, 3, tie_keys=("l_partkey", "l_linenumber")
+    )
+    offset = F.col("l_linenumber") * F.lit(5.0)
+    staged = classify.name_classes(found, b.long_classes(spark, sf_dir)).select(
+        window_key(F.col("window_id").cast("string"), offset).alias("window_id"),
+        F.col("window_id").cast("string").alias("recording_id"),
+        offset.alias("offset_s"),
+        F.col("label").alias("species"),
+        "score",
+    )
+    folder = scratch_folder(spark)
+    staged.write.parquet(folder)
+    rows = staged_detections(spark, folder)
+    smap = SourceMap.build(
+        preset="baw_original", pattern="canonical_filename", static={"domain": "https://example.org"}
+    )
+    sources = classify.detection_sources(rows, b.audio_files(spark, sf_dir).select("recording_id", "source"))
+    mapped = jobs.mapped_recordings(sources, smap)
+    out = jobs.detection_rows(publish.deduplicate(rows.drop("window_id")), mapped, smap, "{parents}/{analysis}{ext}", "parquet")
+    return out.withColumn("score", F.round("score", 6))
+
+
 @registry.add(
     """SELECT CAST(min(len(embedding)) AS INTEGER) AS min_width,
               CAST(max(len(embedding)) AS INTEGER) AS max_width, count(embedding) AS n_vectors FROM embeddings"""

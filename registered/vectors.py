@@ -172,6 +172,20 @@ def recognizer_decoded(spark, sf_dir):
     )
 
 
+@registry.add(
+    with_ctes(
+        """SELECT classifier_name, 32 AS dimension, 64 AS width FROM recognizers
+           WHERE classifier_name >= 'rec_5'""",
+        b.RECOGNIZERS_SQL,
+    )
+)
+def recognizer_misfits(spark, sf_dir):
+    """Recognizers whose dimension isn't that of the vectors."""
+    half = F.when(F.col("classifier_name") >= "rec_5", F.slice("beta", 1, 32)).otherwise(F.col("beta"))
+    recs = b.recognizers(spark, sf_dir).withColumn("beta", half)
+    return recognize.misfits(b.windows(spark, sf_dir), recs)
+
+
 # A vector of 64 as two channels of 32.
 @registry.add(
     """SELECT vec_id, CAST(c AS INTEGER) AS channel,

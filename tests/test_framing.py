@@ -94,3 +94,14 @@ def test_model_batches(spark, kind, logits):
     assert [r["embedding"] for r in got] == [[1.0, 2.0], [10.0, 20.0], [3.0, 4.0], [30.0, 40.0]]
     assert [r["logits"] for r in got] == logits
     assert "logits" not in infer(df, model_loader(kind), "samples", ["id"]).columns
+
+
+def test_batches_without_any_result(spark):
+    df = spark.createDataFrame([(2, [-1.0, 0.0, 0.0, 0.0]), (3, None)], "id long, samples array<float>")
+    assert infer(df, model_loader("flat"), "samples", ["id"], with_logits=True).count() == 0
+
+
+def test_key_names_need_not_be_identifiers(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "`my id` long, samples array<float>")
+    got = infer(df, model_loader("deep"), "samples", ["my id"]).collect()
+    assert [r["my id"] for r in got] == [1] * 4
