@@ -46,18 +46,18 @@ def candidate_labels(c: Column) -> Column:
 def clean_path(c: Column) -> Column:
     """A relative path without empty and ``.`` components.
 
-    Most paths need no cleaning; one compiled test keeps them as they are.
+    Most paths are clean, which two searches for literals show; only the others
+    meet the pattern.
     """
-    inner = F.regexp_replace(c, r"(?<=^|/)(?:\.?/)+", "")
-    cleaned = F.regexp_replace(inner, r"(?:(?<=^|/)\.|/)\z", "")
-    return F.when(c.rlike(r"(?:^|/)\.?(?:/|\z)"), F.rtrim(cleaned, F.lit("/"))).otherwise(c)
+    framed = F.concat(F.lit("/"), c, F.lit("/"))
+    unclean = F.contains(framed, F.lit("//")) | F.contains(framed, F.lit("/./"))
+    cleaned = F.rtrim(F.regexp_replace(c, r"(^|/)(?:\.?/)+(?:\.\z)?|(?:/\.?|^\.)\z", "$1"), F.lit("/"))
+    return F.when(unclean, cleaned).otherwise(c)
 
 
 def path_depth(c: Column) -> Column:
     """Number of components."""
-    path = clean_path(c)
-    slashes = F.char_length(path) - F.char_length(F.replace(path, F.lit("/"), F.lit("")))
-    return F.when(path == "", F.lit(0)).otherwise(slashes + 1)
+    return F.regexp_count(clean_path(c), F.lit("[^/]+"))
 
 
 def base_name(c: Column) -> Column:
@@ -66,12 +66,12 @@ def base_name(c: Column) -> Column:
 
 def first_folder(c: Column) -> Column:
     """First component of a path that has a folder, else null."""
-    path = clean_path(c)
-    return F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1))
+    return F.nullif(F.regexp_extract(clean_path(c), "^([^/]+)/", 1), F.lit(""))
 
 
 def parent_path(c: Column) -> Column:
-    return F.regexp_replace(clean_path(c), r"(?s)(?:^|/)[^/]*\z", "")
+    path = clean_path(c)
+    return F.left(path, F.char_length(path) - F.char_length(F.substring_index(path, "/", -1)) - 1)
 
 
 def file_stem(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.checks import require_none
 from dawnchorus.functions.patterns import fill_template
-from dawnchorus.functions.text import clean_path, file_stem, file_suffix, parent_path
+from dawnchorus.functions.text import clean_path, file_stem, parent_path
 
 # Layout presets, the tokens each output allows, the analysis names.
 LAYOUTS = {
@@ -94,9 +94,12 @@ def destination(
         raise ValueError(f"no value for path tokens {missing}")
     _warn_on_fixed_suffix(template, ext)
     raw = fill_template(template, values, _ANY_TOKEN)
-    slashed = F.regexp_replace(F.regexp_replace(raw, r"\\", "/"), "/+", "/")
-    relative = F.ltrim(slashed, F.lit("/"))
-    full = F.when(file_suffix(relative) == ext, relative).otherwise(F.concat(relative, F.lit(ext)))
+    slashed = F.replace(raw, F.lit("\\"), F.lit("/"))
+    has_ext = F.endswith(slashed, F.lit(ext)) & ~F.endswith(slashed, F.lit("/" + ext)) & (slashed != ext)
+    # A trailing separator hides an extension before it.
+    trailing = F.endswith(slashed, F.lit("/")) | F.endswith(slashed, F.lit("/."))
+    bare = F.regexp_replace(slashed, rf"(?<=[^/]){re.escape(ext)}(?:/+\.?)*\z", "")
+    full = F.when(has_ext, slashed).otherwise(F.concat(F.when(trailing, bare).otherwise(slashed), F.lit(ext)))
     return clean_path(full)
 
 
