@@ -51,7 +51,7 @@ def top_classes(
     the array. The others are exploded and cut at the threshold in one compiled
     stage, and each task keeps N rows per window before the shuffle, which thus
     moves N short rows per window and no logits. (Sorting inside the row with
-    array functions needs no shuffle but was 2 to 5 times slower, as lambdas
+    array functions needs no shuffle but was 1.5 to 3 times slower, as lambdas
     aren't compiled.)
 
     Each row is its own window: a hash of the logits tells apart rows that
