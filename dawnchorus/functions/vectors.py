@@ -58,6 +58,8 @@ def _unpacker():
         import pyarrow as pa
 
         blobs = [None if t is None else base64.b64decode(t) for t in texts.to_pylist()]
+        if any(b is not None and len(b) % 4 for b in blobs):
+            raise ValueError("a packed vector isn't a whole number of float32 values")
         values = np.frombuffer(b"".join(b for b in blobs if b is not None), dtype="<f4")
         offsets, at = [], 0
         for b in blobs:

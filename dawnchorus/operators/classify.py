@@ -19,7 +19,6 @@ DEFAULT_TOP_N = 10
 # Above this N the optimizer no longer limits groups before the shuffle.
 GROUP_LIMIT_BOUND = 1000
 SALTS = 64
-MAX_ALLOWED_LITERAL = 20_000
 
 
 def calibrate(logit: Column) -> Column:
@@ -143,16 +142,6 @@ def allowed_classes(classes: DataFrame, species: DataFrame, name: str = "raw") -
     return folded.join(wanted, "__fold", "left_semi").drop("__fold")
 
 
-def allowed_positions(classes: DataFrame, species: DataFrame, name: str = "raw") -> list[int] | None:
-    """Allowed class positions for :func:`top_classes`.
-
-    None when the list is too long to sit in the plan; use the long form then.
-    """
-    found = allowed_classes(classes, species, name).select("class_idx")
-    rows = found.limit(MAX_ALLOWED_LITERAL + 1).collect()
-    return None if len(rows) > MAX_ALLOWED_LITERAL else sorted(r[0] for r in rows)
-
-
 def name_classes(detections: DataFrame, classes: DataFrame, class_key: str = "class_idx") -> DataFrame:
     """Add ``label`` by class position."""
     names = broadcast_if_small(classes.select(class_key, "label"))

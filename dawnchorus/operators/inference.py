@@ -33,33 +33,50 @@ def infer(
         schema += ", logits array<float>"
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
-
         model = load_model()
-        columns = [*keys, "t", "channel", "embedding"] + (["logits"] if with_logits else [])
         for batch in batches:
-            rows = []
-            for *head, samples in batch.itertuples(index=False, name=None):
-                outcome = None if samples is None else model(np.asarray(samples, dtype="float32"))
-                if outcome is None or outcome[0] is None:
+            samples = batch.column(audio)
+            for at in range(batch.num_rows):
+                if not samples[at].is_valid:
                     continue
-                vectors, logit_sets = outcome
-                logits = None
-                if with_logits and logit_sets:
-                    logits = logit_sets.get(logits_key)
-                    if logits is None:
-                        logits = next(iter(logit_sets.values()))
-                for t, per_channel in enumerate(vectors):
-                    for ch, vector in enumerate(per_channel):
-                        row = [*head, t, ch, np.asarray(vector, dtype="float32")]
-                        if with_logits:
-                            found = None
-                            if logits is not None:
-                                found = logits[t, ch] if logits.ndim >= 3 else logits[t]
-                                found = np.asarray(found, dtype="float32")
-                            row.append(found)
-                        rows.append(row)
-            yield pd.DataFrame(rows, columns=columns)
+                heard = samples[at].values.to_numpy(zero_copy_only=False).astype("float32")
+                outcome = model(heard)
+                if outcome is not None and outcome[0] is not None:
+                    head = [batch.column(k).slice(at, 1) for k in keys]
+                    yield _rows_of(head, keys, *outcome, logits_key if with_logits else None)
+
+    return shards.select(*keys, audio).mapInArrow(run, schema)
+
+
+def _lists(grid):
+    """The last axis of an array as an Arrow list column, one list per cell of the other axes."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.ascontiguousarray(grid, dtype="float32").reshape(-1)
+    cells = flat.size // grid.shape[-1] if grid.shape[-1] else int(np.prod(grid.shape[:-1]))
+    borders = np.arange(cells + 1, dtype="int32") * grid.shape[-1]
+    return pa.ListArray.from_arrays(pa.array(borders), pa.array(flat))
+
+
+def _rows_of(head, keys, embeddings, logit_sets, logits_key):
+    """One shard's output as a record batch: time by time, within it channel by channel."""
+    import numpy as np
+    import pyarrow as pa
 
-    return shards.select(*keys, audio).mapInPandas(run, schema)
+    grid = np.asarray(embeddings, dtype="float32")
+    times, channels = grid.shape[:2]
+    t, channel = np.divmod(np.arange(times * channels, dtype="int32"), max(channels, 1))
+    origin = pa.array(np.zeros(times * channels, dtype="int64"))
+    columns = [*[h.take(origin) for h in head], pa.array(t), pa.array(channel), _lists(grid)]
+    names = [*keys, "t", "channel", "embedding"]
+    if logits_key is not None:
+        names.append("logits")
+        if logit_sets:
+            scores = np.asarray(logit_sets.get(logits_key, next(iter(logit_sets.values()))), dtype="float32")
+            if scores.ndim == 2:  # one row of logits for all channels of a time
+                scores = np.broadcast_to(scores[:, None], (times, channels, scores.shape[-1]))
+            columns.append(_lists(scores))
+        else:
+            columns.append(pa.nulls(times * channels, pa.list_(pa.float32())))
+    return pa.RecordBatch.from_arrays(columns, names)

@@ -13,7 +13,6 @@ from dawnchorus.checks import require_none
 from dawnchorus.schemas import require_columns
 from dawnchorus.sizing import BROADCAST_BYTES, row_bytes
 
-MAX_WIDTHS = 50  # lengths and misfits quoted in an error
 WEIGHT_COLUMNS = ("classifier_name", "class_idx", "label", "beta", "bias")
 
 
@@ -25,16 +24,14 @@ def misfits(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding
     fails on a misfit before anything is published.
     """
     sized = windows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("width"))
-    found = [r["width"] for r in sized.distinct().orderBy("width").limit(MAX_WIDTHS).collect()]
     wanted = recognizers.select("classifier_name", F.size("beta").alias("dimension")).distinct()
-    widths = F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
-    return wanted.withColumn("width", F.explode(widths)).where("width <> dimension")
+    return wanted.join(sized.distinct(), F.col("width") != F.col("dimension"))
 
 
 def require_compatible(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding") -> None:
     """Every vector length must fit every recognizer; all misfits in one error."""
     bad = misfits(windows, recognizers, vector)
-    rows = bad.orderBy("classifier_name", "width").limit(MAX_WIDTHS).collect()
+    rows = bad.orderBy("classifier_name", "width").collect()
     if rows:
         raise RuntimeError(
             "; ".join(

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from dawnchorus.checks import require_none
@@ -88,7 +89,10 @@ class WindowStore:
 
     def _read(self, table: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self._path(table))
+            found = self.spark.read.parquet(self._path(table)).schema
+            # partition values are text: a guessed type would turn 007 into 7
+            fields = [T.StructField(f.name, T.StringType() if f.name == "deployment" else f.dataType) for f in found]
+            return self.spark.read.schema(T.StructType(fields)).parquet(self._path(table))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -115,19 +119,29 @@ class WindowStore:
         if duplicates not in ("error", "skip", "allow"):
             raise ValueError("duplicates must be 'error', 'skip' or 'allow'")
         held, held_recordings = self.windows, self.recordings
-        if held is not None and duplicates != "allow":
-            if duplicates == "error":
-                again = known_windows(windows.select(*WINDOW_KEY), held)
-                require_none(again, "windows already in the store")
-            else:
-                windows = new_windows(windows, held)
+        if duplicates == "error":
+            twins = windows.groupBy(*WINDOW_KEY).count().where("count > 1").select(*WINDOW_KEY)
+            require_none(twins, "windows repeated in the addition")
+        elif duplicates == "skip":
+            windows = windows.dropDuplicates(list(WINDOW_KEY))
+        if held is not None and held_recordings is not None and duplicates != "allow":
+            ids = windows.select("recording_id").distinct()
+            known = ids.join(held_recordings.select("recording_id"), "recording_id", "left_semi")
+            if not known.isEmpty():  # stored windows are read only for recordings that come again
+                of_known = held.join(known, "recording_id", "left_semi")
+                if duplicates == "error":
+                    again = known_windows(windows.select(*WINDOW_KEY), of_known)
+                    require_none(again, "windows already in the store")
+                else:
+                    windows = new_windows(windows, of_known)
         fresh = recordings.dropDuplicates(["recording_id"])
         if held_recordings is not None:
             fresh = fresh.join(held_recordings.select("recording_id"), "recording_id", "left_anti")
-        # Windows first: a recording is listed only once its windows are there.
+        # Recordings first: after a failure between the two, the next attempt compares windows.
+        fresh.write.mode("append").parquet(self._path("recordings"))
+        windows = windows.repartitionByRange("deployment", "recording_id")  # few files per deployment
         writer = windows.write.options(**parquet_options(windows)).mode("append")
         writer.partitionBy("deployment").parquet(self._path("windows"))
-        fresh.write.mode("append").parquet(self._path("recordings"))
 
 
 def run_summary(windows: DataFrame, audio_s: float, elapsed_s: float) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.vectors import as_float32, first_width, pack, widen
-from dawnchorus.operators import classify, publish, recognize, routing, store
+from dawnchorus.operators import classify, labels, publish, recognize, routing, store
 from dawnchorus.operators.framing import HOP_S, WINDOW_S, shard_recordings, spread_shards
 from dawnchorus.operators.inference import infer
 from dawnchorus.operators.sourcemap import (
@@ -161,6 +161,17 @@ def export_embeddings(
 # --- classification -------------------------------------------------------
 
 
+def known_species(species: DataFrame, classes: DataFrame) -> DataFrame:
+    """The species list (raw, item_ord) itself; blank lists and names that no class has are errors."""
+    listed = species.where(F.length(F.trim("raw")) > 0)
+    if listed.isEmpty():
+        raise ValueError("the species list is empty")
+    ordered = listed if "item_ord" in listed.columns else listed.withColumn("item_ord", F.lit(0))
+    names = classes.select("label", F.col("class_idx").alias("ord"))
+    labels.require_all_known(labels.canonicalize(ordered, names), "classes")
+    return listed
+
+
 def detections(
     windows: DataFrame,
     classes: DataFrame,
@@ -173,9 +184,7 @@ def detections(
     kept = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "logits"))
     allowed = None
     if species is not None:
-        allowed = classify.allowed_positions(classes, species)
-        if allowed is None:
-            allowed = classify.allowed_classes(classes, species)
+        allowed = classify.allowed_classes(classes, known_species(species, classes))
     found = classify.top_classes(kept, "logits", threshold, top_n, allowed, width)
     named = classify.name_classes(found, classes)
     return named.withColumnRenamed("label", "species")

@@ -42,17 +42,30 @@ def recognizer_definitions(spark: SparkSession, paths: str | list[str]) -> DataF
 
 
 def decode_definitions(definitions: DataFrame) -> DataFrame:
-    """Packed definitions to (classifier_name, class_idx, label, beta, bias, embedding_dim)."""
+    """Packed definitions to (classifier_name, class_idx, label, beta, bias, embedding_dim).
+
+    A definition without classes, or whose weights or biases don't number
+    classes x dimension and classes, fails the read.
+    """
     decoded = unpack(unpack(definitions, "beta", "__weights"), "beta_bias", "__bias")
     n = F.size("classes")
     dim = F.col("model_config.embedding_dim")
+    weights = F.size("__weights")
+    fits = (n > 0) & (F.size("__bias") == n) & (weights > 0) & (weights == n * F.coalesce(dim, F.floor(weights / n)))
+    misfit = F.concat(
+        F.lit("recognizer "), F.coalesce("name", F.lit("without a name")),
+        F.lit(": classes, weights, biases and embedding_dim don't fit together"),
+    )
+    classes = F.when(F.coalesce(fits, F.lit(False)), F.col("classes")).otherwise(
+        F.raise_error(misfit).cast("array<string>")
+    )
     rows = decoded.select(
         F.col("name").alias("classifier_name"),
         dim.alias("embedding_dim"),
         n.alias("__n"),
         "__weights",
         "__bias",
-        F.posexplode("classes").alias("class_idx", "label"),
+        F.posexplode(classes).alias("class_idx", "label"),
     )
     beta = F.transform(
         F.sequence(F.lit(0), F.coalesce(F.col("embedding_dim"), (F.size("__weights") / F.col("__n")).cast("int")) - 1),

@@ -134,7 +134,7 @@ def classify_all_above_threshold(spark, sf_dir):
 def classify_species_filter(spark, sf_dir):
     """The species list limits the classes before the best ones are taken."""
     names = b.classes(spark, sf_dir)
-    allowed = classify.allowed_positions(names, b.species(spark, sf_dir))
+    allowed = classify.allowed_classes(names, b.species(spark, sf_dir))
     found = classify.top_classes(_logit_windows(spark, sf_dir), "logits", THRESHOLD, TOP, allowed)
     return classify.name_classes(found, names).select("recording_id", "window_idx", "label", b.score6())
 

@@ -168,8 +168,10 @@ def test_nothing_found_publishes_nothing(spark, tmp_path, recs, windows, classes
 def test_species_filter(windows, classes, spark):
     species = spark.createDataFrame([("ALWAYS",)], "raw string")
     assert {r[0] for r in jobs.detections(windows, classes, species=species).select("species").distinct().collect()} == {"Always"}
-    none = spark.createDataFrame([("nobody",)], "raw string")
-    assert jobs.detections(windows, classes, species=none).count() == 0
+    with pytest.raises(ValueError, match="nobody"):
+        jobs.detections(windows, classes, species=spark.createDataFrame([("nobody",), ("Always",)], "raw string"))
+    with pytest.raises(ValueError, match="empty"):
+        jobs.detections(windows, classes, species=spark.createDataFrame([("  ",)], "raw string"))
 
 
 def test_guards(spark, recs, windows, classes, tmp_path):
