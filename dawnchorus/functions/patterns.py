@@ -19,8 +19,8 @@ PATTERN_PRESETS = {"canonical_filename": CANONICAL_FILENAME}
 
 TOKEN = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)\}")
 
-# Python syntax the JVM engine lacks or reads differently.
-_ONLY_PYTHON = re.compile(r"\(\?P=|\(\?P>|\(\?\(|\(\?[a-zA-Z]*[xaLu]|\\[ZN0-9]|\{,|\[[^\]]*(\[|&&)")
+# Python syntax the JVM engine lacks or reads differently (word borders follow another idea of a word).
+_ONLY_PYTHON = re.compile(r"\(\?P=|\(\?P>|\(\?\(|\(\?[a-zA-Z]*[xaLu]|\\[ZNbB0-9]|\{,|\[[^\]]*(\[|&&)")
 _NAMED_OPEN = re.compile(r"(?<!\\)((?:\\\\)*)\(\?P<\w+>")
 
 
@@ -76,7 +76,46 @@ def _for_jvm(pattern: str) -> str | None:
                 return None
         except re.error:
             return None
-    return "(?Ud)" + _NAMED_OPEN.sub(r"\1(", pattern)
+    translated = _python_classes(_NAMED_OPEN.sub(r"\1(", pattern))
+    return None if translated is None else "(?Ud)" + translated
+
+
+# What Python's \w and \s match, as members of a JVM character class.
+_MEMBERS = {"w": r"\p{L}\p{N}_", "s": r"\s\x1c-\x1f"}
+
+
+def _python_classes(pattern: str) -> str | None:
+    """``\\w``, ``\\s`` and their negations spelled out: the JVM counts marks as word characters.
+
+    None for a negation inside a class, where the engines nest differently.
+    """
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two[0] == "\\" and len(two) == 2:
+            members = _MEMBERS.get(two[1].lower())
+            if members is None:
+                out.append(two)
+            elif two[1].islower():
+                out.append(members if inside else f"[{members}]")
+            elif inside:
+                return None
+            else:
+                out.append(f"[^{members}]")
+            i += 2
+            continue
+        if two[0] == "[" and not inside:
+            inside = True
+            first = i + (2 if two == "[^" else 1)
+            if pattern[first : first + 1] == "]":  # a bracket in first place is a member
+                out.append(pattern[i:first] + "\\]")
+                i = first + 1
+                continue
+        elif two[0] == "]":
+            inside = False
+        out.append(two[0])
+        i += 1
+    return "".join(out)
 
 
 def _group_body(pattern: str, start: int) -> str | None:
@@ -119,15 +158,16 @@ def _python_search(pattern: str, positions: list[int]):
     return search
 
 
-def template_tokens(template: str, token: re.Pattern = TOKEN) -> list[str]:
-    return token.findall(template)
-
-
 def fill_template(template: str, values: dict[str, Column], token: re.Pattern = TOKEN) -> Column:
     """Concatenate the literal pieces and token values of a template.
 
     A value is never scanned for tokens again; a null value makes the result null.
     """
+    missing = sorted(set(token.findall(template)) - set(values))
+    if missing:
+        raise ValueError(f"no value for template tokens {missing}")
+    if not template.strip():
+        raise ValueError("a template can't be empty")
     pieces, at = [], 0
     for m in token.finditer(template):
         if m.start() > at:

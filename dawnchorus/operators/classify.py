@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dawnchorus.checks import require_none
 from dawnchorus.functions.text import casefold, strip
@@ -47,16 +49,14 @@ def top_classes(
     """Best classes of each window, for logits held as one array per row.
 
     Windows whose best class misses the threshold are dropped by one pass over
-    the array. The others are exploded and cut at the threshold in one compiled
-    stage, and each task keeps N rows per window before the shuffle, which thus
-    moves N short rows per window and no logits. (Sorting inside the row with
-    array functions needs no shuffle but was 1.5 to 3 times slower, as lambdas
-    aren't compiled.)
-
-    Each row is its own window: a hash of the logits tells apart rows that
-    agree in all other columns, and equal rows are ranked alike. Ties go to the
-    higher class index. With ``width`` a logit vector of another length fails
-    the job, at no extra pass over the logits.
+    the array. All classes of a window are in one row, so the others are cut,
+    ranked and shortened where they are, in Arrow batches: nothing is shuffled.
+    Only the classes that pass are sorted.
+
+    Each row is its own window. Ties go to the higher class index. With
+    ``width`` a logit vector of another length fails the job, at no extra pass
+    over the logits. ``allowed`` are class positions, or a table of them: a
+    list that comes with the job, no longer than one logit vector.
     """
     keep = [c for c in windows.columns if c != column]
     logits = F.col(column)
@@ -65,23 +65,48 @@ def top_classes(
         message = f"logit width doesn't match the {width} class names"
         matching = F.when(F.size(logits) == width, hopeful)
         hopeful = matching.when(logits.isNotNull(), F.raise_error(F.lit(message)).cast("boolean"))
-    rows = windows.where(hopeful)
-    if top_n is not None:
-        rows = rows.withColumn("__twin", F.xxhash64(column))
-    scored = explode_logits(rows, column).withColumn("score", calibrate(F.col("logit"))).drop("logit")
-    scored = scored.where(passes(F.col("score"), threshold))
-    if isinstance(allowed, DataFrame):
-        scored = allowed_only(scored, allowed)
-    elif allowed is not None:
-        scored = scored.where(F.col("class_idx").isin(*allowed) if allowed else F.lit(False))
+    rows = windows.where(hopeful).select(*keep, column)
     if top_n is None:
-        return scored
-    keys = [*keep, "__twin"]
-    order = [F.desc("score"), F.desc("class_idx")]
-    if top_n > GROUP_LIMIT_BOUND:
-        salted = scored.withColumn("__salt", F.pmod("class_idx", F.lit(SALTS)))
-        scored = _ranked(salted, [*keys, "__salt"], order, top_n, F.dense_rank()).drop("__salt")
-    return _ranked(scored, keys, order, top_n, F.dense_rank()).drop("__twin")
+        scored = explode_logits(rows, column).withColumn("score", calibrate(F.col("logit"))).drop("logit")
+        scored = scored.where(passes(F.col("score"), threshold))
+        if isinstance(allowed, DataFrame):
+            return allowed_only(scored, allowed)
+        return scored if allowed is None else scored.where(F.col("class_idx").isin(*allowed) if allowed else F.lit(False))
+    if isinstance(allowed, DataFrame):
+        allowed = [r[0] for r in allowed.select("class_idx").where("class_idx >= 0").distinct().collect()]
+    fields = T.StructType([*rows.drop(column).schema, T.StructField("class_idx", T.IntegerType()),
+                           T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_best(keep, column, float(threshold), top_n, allowed), fields)
+
+
+def _best(keep: list[str], column: str, threshold: float, top_n: int, allowed: list[int] | None):
+    positions = None if allowed is None else np.unique(np.asarray(allowed, dtype=np.int64))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            vectors = batch.column(column)
+            ends = np.cumsum(vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+            scores = flat * LOGIT_SCALE + LOGIT_SHIFT
+            hits = np.flatnonzero(scores >= threshold)  # false for NaN and null
+            row = np.searchsorted(ends, hits, side="right")
+            cls = hits - (ends - np.diff(ends, prepend=0))[row]
+            if positions is not None:
+                wanted = np.isin(cls, positions)
+                hits, row, cls = hits[wanted], row[wanted], cls[wanted]
+            order = np.lexsort((-cls, -scores[hits], row))
+            hits, row, cls = hits[order], row[order], cls[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            best = rank < top_n
+            take = pa.array(row[best])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k).take(take) for k in keep], pa.array(cls[best], pa.int32()), pa.array(scores[hits[best]])],
+                names=[*keep, "class_idx", "score"],
+            )
+
+    return run
 
 
 def passes_max(column: str, threshold: float) -> Column:
@@ -121,8 +146,8 @@ def top_classes_long(
     return _ranked(scored, window_keys, order, top_n)
 
 
-def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int, by: Column | None = None) -> DataFrame:
-    rank = (F.row_number() if by is None else by).over(Window.partitionBy(*keys).orderBy(*order))
+def _ranked(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 

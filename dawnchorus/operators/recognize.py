@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,21 +43,12 @@ def require_compatible(windows: DataFrame, recognizers: DataFrame, vector: str =
 
 
 def weight_blocks(recognizers: DataFrame, block_bytes: int = BROADCAST_BYTES):
-    """Recognizer rows as driver-side blocks, each below a byte bound.
-
-    Definitions are configuration and normally one block. A larger table is
-    split by a hash of the class, and one block at a time is fetched.
-    """
+    """Recognizer rows in blocks below a byte bound, one fetched at a time."""
     rows, size = recognizers.agg(F.count(F.lit(1)), F.sum(row_bytes(recognizers))).first()
-    if not rows:
-        return
-    n = max(1, math.ceil(size / block_bytes))
-    numbered = recognizers.select(*WEIGHT_COLUMNS)
-    for k in range(n):
-        block = numbered
-        if n > 1:
-            slot = F.pmod(F.xxhash64("classifier_name", "class_idx", "label"), F.lit(n))
-            block = numbered.where(slot == k)
+    n = max(1, math.ceil((size or 0) / block_bytes))
+    slot = F.pmod(F.xxhash64("classifier_name", "class_idx", "label"), F.lit(n))
+    for k in range(n if rows else 0):
+        block = recognizers.select(*WEIGHT_COLUMNS).where(slot == k)
         got = block.orderBy("classifier_name", "class_idx").collect()
         if got:
             yield got
@@ -73,68 +65,68 @@ def score(
 ) -> DataFrame:
     """``embedding . beta + bias`` for each window and recognizer class.
 
-    One matrix product per Arrow batch scores all recognizers in a single pass
-    over the windows; only ``keep`` and the vector leave the JVM. No rows are
-    paired by a join and nothing is shuffled. Windows without a vector give no
-    row. The result has ``keep``, classifier_name, label and score.
+    A matrix product per Arrow batch and block of weights scores all
+    recognizers in one scan of the windows; only ``keep`` and the vector leave
+    the JVM. No rows are paired by a join and nothing is shuffled. Without
+    ``min_score`` there is a row for every window and class, as many as the
+    caller asks for. Windows without a vector give no row. Blocks are broadcast
+    one by one; the driver holds one of them, a task all. Recognizers of
+    several dimensions are an error before anything runs. The result has
+    ``keep``, classifier_name, label and score.
     """
     require_columns(windows, [*keep, vector], "windows")
     fields = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keep)
     schema = f"{fields}, classifier_name string, label string, score double"
-    narrow = windows.where(F.col(vector).isNotNull()).select(*keep, vector)
-    out = None
-    for rows in weight_blocks(recognizers, block_bytes):
-        part = narrow.mapInArrow(_scorer(rows, keep, vector, min_score, activation), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    sizes = recognizers.select("classifier_name", F.size("beta").alias("dimension")).distinct()
+    low, high = sizes.agg(F.min("dimension"), F.max("dimension")).first()
+    if low is None:
         return windows.sparkSession.createDataFrame([], schema)
-    return out
+    if low != high:
+        found = sorted((r["classifier_name"], r["dimension"]) for r in sizes.collect())
+        raise ValueError("; ".join(f"{n}: recognizer has dimension {d}" for n, d in found))
+    context = windows.sparkSession.sparkContext
+    blocks = [context.broadcast(_block(rows)) for rows in weight_blocks(recognizers, block_bytes)]
+    narrow = windows.where(F.col(vector).isNotNull()).select(*keep, vector)
+    return narrow.mapInArrow(_scorer(blocks, low, keep, vector, min_score, activation), schema)
 
 
-def _scorer(rows, keep, vector, min_score, activation):
-    widths = {r["classifier_name"]: len(r["beta"]) for r in rows}
-    if len(set(widths.values())) != 1:
-        raise ValueError("; ".join(f"{n}: recognizer has dimension {d}" for n, d in sorted(widths.items())))
+def _block(rows) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
     beta = np.array([r["beta"] for r in rows], dtype="float64").T.copy()
     bias = np.array([r["bias"] for r in rows], dtype="float64")
-    names = [r["classifier_name"] for r in rows]
-    labels = [r["label"] for r in rows]
+    return beta, bias, [r["classifier_name"] for r in rows], [r["label"] for r in rows]
+
+
+ROWS_OUT = 4_000_000  # scores held at once
+
+
+def _scorer(blocks, dimension, keep, vector, min_score, activation):
+    def fitting(batch):
+        sizes = np.unique(batch.column(vector).value_lengths().to_numpy(zero_copy_only=False))
+        if any(sizes != dimension):
+            names = sorted({n for b in blocks for n in b.value[2]})
+            wrong = f"recognizer has dimension {dimension}, embeddings have {sizes.tolist()}"
+            raise ValueError("; ".join(f"{n}: {wrong}" for n in names))
+
+    def scored(batch, beta, bias, names, labels):
+        flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
+        scores = flat.astype("float64").reshape(batch.num_rows, dimension) @ beta + bias
+        if activation is not None:
+            scores = activation(scores)
+        window, cls = np.nonzero(np.ones(scores.shape, bool) if min_score is None else scores >= min_score)
+        take, pick = pa.array(window), pa.array(cls)
+        arrays = [batch.column(k).take(take) for k in keep]
+        arrays += [pa.array(names, pa.string()).take(pick), pa.array(labels, pa.string()).take(pick)]
+        return pa.RecordBatch.from_arrays(
+            [*arrays, pa.array(scores[window, cls])], names=[*keep, "classifier_name", "label", "score"]
+        )
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        name_dict, label_dict = pa.array(names, pa.string()), pa.array(labels, pa.string())
-        n_classes = len(names)
-        rows_at_once = max(1, 4_000_000 // max(n_classes, 1))
-        for whole in batches:
-            sizes = np.unique(whole.column(vector).value_lengths().to_numpy(zero_copy_only=False))
-            if any(sizes != beta.shape[0]):
-                raise ValueError(
-                    "; ".join(
-                        f"{n}: recognizer has dimension {beta.shape[0]}, embeddings have {sizes.tolist()}"
-                        for n in sorted(set(names))
-                    )
-                )
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                vectors = batch.column(vector)
-                flat = vectors.flatten().to_numpy(zero_copy_only=False)
-                matrix = flat.astype("float64").reshape(batch.num_rows, beta.shape[0])
-                scores = matrix @ beta + bias
-                if activation is not None:
-                    scores = activation(scores)
-                if min_score is None:
-                    window = np.repeat(np.arange(batch.num_rows), n_classes)
-                    cls = np.tile(np.arange(n_classes), batch.num_rows)
-                else:
-                    window, cls = np.nonzero(scores >= min_score)
-                take, pick = pa.array(window), pa.array(cls)
-                arrays = [batch.column(k).take(take) for k in keep]
-                arrays += [name_dict.take(pick), label_dict.take(pick), pa.array(scores[window, cls])]
-                yield pa.RecordBatch.from_arrays(
-                    arrays, names=[*keep, "classifier_name", "label", "score"]
-                )
+        for batch in batches:
+            fitting(batch)
+            for block in blocks:
+                step = max(1, ROWS_OUT // len(block.value[2]))
+                for at in range(0, batch.num_rows, step):
+                    yield scored(batch.slice(at, step), *block.value)
 
     return run
 

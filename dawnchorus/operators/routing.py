@@ -95,9 +95,6 @@ def destination(
         values["embeddings_table_format"] = F.lit(table_format)
     if classifier_name is not None:
         values["classifier_name"] = classifier_name
-    missing = [t for t in _ANY_TOKEN.findall(template) if t not in values]
-    if missing:
-        raise ValueError(f"no value for path tokens {missing}")
     _warn_on_fixed_suffix(template, ext)
     raw = fill_template(template, values, _ANY_TOKEN)
     slashed = F.replace(raw, F.lit("\\"), F.lit("/"))

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dawnchorus.checks import SHOWN
-from dawnchorus.functions.patterns import NamePattern, fill_template, template_tokens
+from dawnchorus.functions.patterns import NamePattern, fill_template
 from dawnchorus.functions.text import base_name
+from dawnchorus.sizing import write_scratch
 
 # Named destination templates.
 SOURCE_TEMPLATES = {
@@ -28,38 +28,30 @@ class SourceMap:
 
     ``static`` values hold for every file; a named group of ``pattern``,
     searched in the base name, overrides them where it matched. ``template``
-    and ``extra`` may instead be functions Column -> Column and
-    Column -> {name: Column}.
+    may be one of ``SOURCE_TEMPLATES`` or any other text with ``{tokens}``;
+    ``template`` and ``extra`` may instead be functions Column -> Column and
+    Column -> {name: Column}. A token that nothing defines, or a bad pattern,
+    is an error as soon as a plan is made.
     """
 
     template: str | Callable[[Column], Column] | None = None
-    static: Mapping[str, str] = field(default_factory=dict)
-    pattern: NamePattern | None = None
+    static: Mapping[str, object] = field(default_factory=dict)
+    pattern: NamePattern | str | None = None
     extra: Callable[[Column], dict[str, Column]] | None = None
 
-    @classmethod
-    def build(cls, preset=None, template=None, static=None, pattern=None, extra=None) -> "SourceMap":
-        if preset and template is not None:
-            raise ValueError("give a preset or a template, not both")
-        if preset:
-            if preset not in SOURCE_TEMPLATES:
-                raise ValueError(f"unknown source template {preset!r}; known: {sorted(SOURCE_TEMPLATES)}")
-            template = SOURCE_TEMPLATES[preset]
-        if isinstance(template, str) and not template.strip():
-            raise ValueError("template must be a non-empty string")
-        static = {k: str(v) for k, v in (static or {}).items()}
-        compiled = NamePattern.compile(pattern) if pattern is not None else None
-        if isinstance(template, str):
-            known = set(static) | set(compiled.names if compiled else [])
-            unknown = sorted(set(template_tokens(template)) - known)
-            if unknown:
-                raise ValueError(f"no value for template tokens {unknown}")
-        return cls(template, static, compiled, extra)
+    @property
+    def name_pattern(self) -> NamePattern | None:
+        return NamePattern.compile(self.pattern) if isinstance(self.pattern, str) else self.pattern
+
+    @property
+    def compiled(self) -> bool:
+        """Whether all columns are JVM expressions, cheap enough for every window."""
+        return self.pattern is None or self.name_pattern.jvm_text is not None
 
     def metadata(self, source: Column) -> dict[str, Column]:
         """Static values overridden by what the pattern finds; null where neither has one."""
-        found = self.pattern.extract(base_name(source)) if self.pattern else {}
-        merged = {k: F.lit(v) for k, v in self.static.items()}
+        found = self.name_pattern.extract(base_name(source)) if self.pattern else {}
+        merged = {k: F.lit(str(v)) for k, v in self.static.items()}
         for name, value in found.items():
             merged[name] = F.coalesce(value, merged[name]) if name in merged else value
         return merged
@@ -136,28 +128,38 @@ def unresolved(mapped: DataFrame) -> DataFrame:
 def require_mapped(mapped: DataFrame, smap: SourceMap | None) -> None:
     """Stop on a missing value, a leftover brace or two sources with one value.
 
-    One aggregation by published value shows all three; it keeps two sources
-    per value, however many share it.
+    One aggregation by published value counts all three kinds. They are
+    reported in that order, with the total, an example and the folder of the
+    whole list.
     """
     smap = smap or SourceMap()
     if smap.template is None:
         return
     value = F.col("mapped_source")
-    per_value = mapped.groupBy(value).agg(F.min("source").alias("first_source"), F.max("source").alias("last_source"))
+    per_value = mapped.groupBy(value).agg(
+        F.count(F.lit(1)).alias("n"), F.min("source").alias("low"), F.max("source").alias("high")
+    )
+    missing = value.isNull()
     braces = value.rlike("[{}]") if isinstance(smap.template, str) else F.lit(False)
-    bad = per_value.where(value.isNull() | braces | (F.col("first_source") != F.col("last_source")))
-    rows = bad.limit(SHOWN).collect()
-    for r in rows:
-        if r["mapped_source"] is None:
-            raise ValueError(
-                f"missing token value for the source template, e.g. in {r['first_source']!r}, {r['last_source']!r}"
-            )
-    for r in rows:
-        if isinstance(smap.template, str) and set(r["mapped_source"]) & set("{}"):
-            raise ValueError(f"unsupported brace syntax in the rendered source {r['mapped_source']!r}")
-    if rows:
-        shared = {r["mapped_source"]: [r["first_source"], r["last_source"]] for r in rows}
-        raise ValueError(f"source map collision: several sources map to the same value: {shared}")
+    shared = ~missing & (F.col("low") != F.col("high"))
+    seen = per_value.agg(
+        F.sum(F.when(missing, F.col("n"))).alias("n_missing"), F.min(F.when(missing, F.col("low"))).alias("missing"),
+        F.count_if(braces).alias("n_braces"), F.min(F.when(braces, value)).alias("braces"),
+        F.count_if(shared).alias("n_shared"), F.min(F.when(shared, value)).alias("shared"),
+    ).first()
+    if seen["n_missing"]:
+        folder = write_scratch(unresolved(mapped))
+        raise ValueError(f"missing token value for {seen['n_missing']} sources, e.g. {seen['missing']!r}; all in {folder}")
+    if seen["n_braces"]:
+        folder = write_scratch(mapped.where(braces).select("source", "mapped_source"))
+        raise ValueError(
+            f"unsupported brace syntax in {seen['n_braces']} rendered sources, e.g. {seen['braces']!r}; all in {folder}"
+        )
+    if seen["n_shared"]:
+        folder = write_scratch(collisions(mapped))
+        raise ValueError(
+            f"source map collision: {seen['n_shared']} values have several sources, e.g. {seen['shared']!r}; all in {folder}"
+        )
 
 
 def require_pattern_for_many(n_inputs: int, smap: SourceMap | None) -> None:

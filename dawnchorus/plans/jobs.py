@@ -83,15 +83,17 @@ def place(
 
     Rows that carry their source need no join: the columns are expressions of
     it, and vectors aren't shuffled to meet the recordings. Other rows are
-    joined by recording id, with everything rendered once per recording before.
+    joined by recording id, with everything rendered once per recording before;
+    so are rows whose file-name pattern needs Python.
     """
     extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
     source = F.col("source")
-    if "source" in rows.columns:
-        smap = smap or SourceMap()
+    smap = smap or SourceMap()
+    if "source" in rows.columns and smap.compiled:
         found = smap.extra_columns(source, extras)
         columns = {"mapped_source": smap.mapped(source), "dest": dest_of(source)}
         return rows.withColumns(columns | {n: found[n] for n in extras}).drop("source")
+    rows = rows.drop("source")
     if "classifier_name" in rows.columns:
         return rows.join(mapped, "recording_id").withColumn("dest", dest_of(source)).drop("source")
     return rows.join(mapped.withColumn("dest", dest_of(source)).drop("source"), "recording_id")
@@ -145,8 +147,9 @@ def export_embeddings(
     Vectors stay arrays through the shuffle and the sort and take their output
     form late: text before the last sort, columns after it.
     """
-    mapped = mapped_recordings(recordings, smap, ())
-    _check_sources(windows, mapped, smap)
+    mapped = _checked_recordings(windows, recordings, smap, ())
+    dest = routing.destination(F.col("source"), output.path_template, "embeddings", output.filetype, table_format)
+    routing.require_safe(mapped.select(dest.alias("dest")), "dest")
     narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding"))
     narrow, done = _distinct_before_join(_flatten(narrow, flatten_channel), mapped, WINDOW_KEY)
     rows = embedding_rows(narrow, mapped, smap, table_format, output.path_template, output.filetype)
@@ -217,9 +220,11 @@ def export_classification(
     """
     found = written(found)
     sources = classify.detection_sources(found, recordings)
-    mapped = mapped_recordings(sources, smap)
+    mapped = written(mapped_recordings(sources, smap))
     routing.require_safe(mapped)
     require_mapped(mapped, smap)
+    dest = routing.destination(F.col("source"), output.path_template, "classify", output.filetype)
+    routing.require_safe(mapped.select(dest.alias("dest")), "dest")
     if flatten_channel or "channel" not in found.columns:
         found = found.withColumn("channel", F.lit(0))
     narrow = found.select(*_carried(found, "recording_id", "channel", "offset_s", "species", "score"))
@@ -268,11 +273,16 @@ def run_recognizers(
     windows and labels are, which is far cheaper to see than on the scores.
     """
     recognize.require_unique_names(recognizers)
-    mapped = mapped_recordings(recordings, smap)
-    _check_sources(windows, mapped, smap)
+    mapped = _checked_recordings(windows, recordings, smap)
     keep = _carried(windows, *WINDOW_KEY)
     scored = recognize.score(windows, recognizers, keep, "embedding", min_score, activation)
-    narrow, visible = _flatten(written(scored), flatten_channel), ("classifier_name", "label")
+    scored = written(scored)
+    pairs = scored.select("recording_id", "classifier_name").distinct()
+    dest = routing.destination(
+        F.col("source"), output.path_template, "recognizer", output.filetype, classifier_name=F.col("classifier_name")
+    )
+    routing.require_safe(pairs.join(mapped, "recording_id").select(dest.alias("dest")).distinct(), "dest")
+    narrow, visible = _flatten(scored, flatten_channel), ("classifier_name", "label")
     if "{classifier_name}" not in output.path_template:
         narrow, visible = narrow.drop("classifier_name"), ("label",)
     surely = publish.unique(recognizers, visible) and publish.unique(_flatten(windows, flatten_channel), WINDOW_KEY)
@@ -284,10 +294,20 @@ def run_recognizers(
     publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
 
 
-def _check_sources(windows: DataFrame, mapped: DataFrame, smap: SourceMap | None) -> None:
-    store.require_known_recordings(windows, mapped)
+def _checked_recordings(
+    windows: DataFrame, recordings: DataFrame, smap: SourceMap | None, extra=EXTRA_COLUMNS
+) -> DataFrame:
+    """The recordings that have windows, mapped, written once and checked.
+
+    A recording without windows (too short, say) publishes nothing, so its name
+    is not judged.
+    """
+    store.require_known_recordings(windows, recordings)
+    used = recordings.join(windows.select("recording_id").distinct(), "recording_id", "left_semi")
+    mapped = written(mapped_recordings(used, smap, extra))
     routing.require_safe(mapped)
     require_mapped(mapped, smap)
+    return mapped
 
 
 # --- everything -----------------------------------------------------------

@@ -85,6 +85,11 @@ def written(df: DataFrame) -> DataFrame:
     Cuts the lineage (a lost executor doesn't repeat model inference) and,
     unlike a cache, lets every reader fetch only the columns it needs.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df))
+
+
+def write_scratch(df: DataFrame) -> str:
+    """Write ``df`` to a new scratch folder; the folder."""
     folder = scratch_folder(df.sparkSession)
     df.write.options(**parquet_options(df)).parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return folder

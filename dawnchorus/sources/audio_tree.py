@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.text import base_name, file_suffix, path_depth
+from dawnchorus.sizing import written
 
 # Recognised audio extensions.
 AUDIO_EXTENSIONS = (".wav", ".flac", ".mp3", ".ogg")
@@ -20,16 +22,49 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """All audio files below ``root``: path, source (relative), depth, length.
 
-    The contents aren't read. The extension test is a filter because a glob on
-    the reader would be case-sensitive.
+    Spark's file sources pass over names that start with ``_`` or ``.``, which
+    recordings may have. Folders are therefore listed by tasks, one level of
+    the tree at a time; each level is written, so no listing reaches the driver.
+    Links to folders are followed. The extension test ignores case.
     """
     if not re.match(_SCHEME, root):
         root = os.path.abspath(root)
-    base = re.sub(_SCHEME, "/", root).rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace(F.col("path"), _SCHEME, "/")
-    relative = F.substring(plain, F.lit(len(base) + 1), F.char_length(plain))
-    return with_depth(audio_only(files.select("path", relative.alias("source"), "length")))
+    level = spark.createDataFrame([(root, "")], "path string, source string")
+    levels = []
+    while True:
+        listed = written(level.mapInArrow(_entries, "path string, source string, length long, folder boolean"))
+        levels.append(listed.where("NOT folder").select("path", "source", "length"))
+        folders = listed.where("folder").select("path", "source")
+        if folders.isEmpty():
+            break
+        level = folders.repartition("path")
+    return with_depth(audio_only(functools.reduce(DataFrame.unionByName, levels)))
+
+
+def _entries(batches):
+    """Files and folders directly below each folder of a batch."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    names = ["path", "source", "length", "folder"]
+    for batch in batches:
+        for path, source in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist()):
+            system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), _plain(path))
+            found = system.get_file_info(fs.FileSelector(inside))
+            for at in range(0, len(found), 10_000):
+                some = found[at : at + 10_000]
+                columns = [
+                    [f"{path.rstrip('/')}/{f.base_name}" for f in some],
+                    [f"{source}/{f.base_name}".lstrip("/") for f in some],
+                    [f.size for f in some],
+                    [f.type == fs.FileType.Directory for f in some],
+                ]
+                kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _plain(path: str) -> str:
+    return re.sub(_SCHEME, "/", path)
 
 
 def list_file(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.functions.text import window_key
 from dawnchorus.operators import classify, publish, store
-from dawnchorus.operators.sourcemap import SourceMap
+from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.plans import jobs
 from dawnchorus.schemas import RESULTS
 from dawnchorus.sizing import scratch_folder, written
@@ -181,7 +181,7 @@ def allowed_classes(spark, sf_dir):
 )
 def classify_export(spark, sf_dir):
     """Detections as they are published: mapped source, extra column, destination."""
-    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
+    smap = SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename")
     wide = _logit_windows(spark, sf_dir)
     found = written(jobs.detections(wide, b.classes(spark, sf_dir), THRESHOLD, TOP))
     sources = classify.detection_sources(found, b.recordings(spark, sf_dir))
@@ -217,8 +217,8 @@ def staged_export(spark, sf_dir):
     folder = scratch_folder(spark)
     staged.write.parquet(folder)
     rows = staged_detections(spark, folder)
-    smap = SourceMap.build(
-        preset="baw_original", pattern="canonical_filename", static={"domain": "https://example.org"}
+    smap = SourceMap(
+        template=SOURCE_TEMPLATES["baw_original"], pattern="canonical_filename", static={"domain": "https://example.org"}
     )
     sources = classify.detection_sources(rows, b.audio_files(spark, sf_dir).select("recording_id", "source"))
     mapped = jobs.mapped_recordings(sources, smap)
@@ -321,7 +321,7 @@ def analyze_outputs(spark, sf_dir):
         embed=outputs["embeddings"],
         classification=outputs["classification"], classes=b.classes(spark, sf_dir), threshold=THRESHOLD, top_n=TOP,
         recognition=outputs["recognizers"], recognizers=b.recognizers(spark, sf_dir),
-        smap=SourceMap.build(preset="ecosounds_original", pattern="canonical_filename"),
+        smap=SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename"),
     )
     counted = None
     for name, out in outputs.items():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.functions import text
 from dawnchorus.operators import framing, publish, routing, sourcemap, store
-from dawnchorus.operators.sourcemap import SourceMap
+from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.sizing import scratch_folder
 from dawnchorus.sources import audio_tree
 
@@ -228,7 +228,7 @@ CANONICAL_SQL = r"'^(\d{8}T\d{6}(?:[+-]\d{4,6}|Z))_(.+)_(\d+)\.(.+)$'"
 )
 def metadata_extract(spark, sf_dir):
     """The canonical file-name pattern."""
-    smap = SourceMap.build(pattern="canonical_filename")
+    smap = SourceMap(pattern="canonical_filename")
     files = b.audio_files(spark, sf_dir)
     return files.select("recording_id", *[c.alias(n) for n, c in smap.metadata(F.col("source")).items()])
 
@@ -248,7 +248,7 @@ PAGE_PATTERN = r"^(?P<audio_recording_id>\d+)(?:\.(?P<extension>\w+))?"
 def metadata_merge(spark, sf_dir):
     """Extracted values over static ones; an unmatched group keeps the static value."""
     static = {"domain": "https://example.org", "audio_recording_id": "0", "extension": "none"}
-    smap = SourceMap.build(pattern=PAGE_PATTERN, static=static)
+    smap = SourceMap(pattern=PAGE_PATTERN, static=static)
     pages = b.page_paths(spark, sf_dir)
     return pages.select("page_id", *[c.alias(n) for n, c in smap.metadata(F.col("source")).items()])
 
@@ -262,7 +262,7 @@ def metadata_merge(spark, sf_dir):
 )
 def metadata_empty_groups(spark, sf_dir):
     """Groups that may match nothing yield an empty text, not a missing value."""
-    smap = SourceMap.build(pattern=r"^(?P<digits>\d*)(?P<rest>.*)$")
+    smap = SourceMap(pattern=r"^(?P<digits>\d*)(?P<rest>.*)$")
     pages = b.page_paths(spark, sf_dir)
     return pages.select("page_id", *[c.alias(n) for n, c in smap.metadata(F.col("source")).items()])
 
@@ -278,7 +278,7 @@ def metadata_empty_groups(spark, sf_dir):
 )
 def sourcemap_render(spark, sf_dir):
     """Sources rewritten by a preset, with the extra column, after all checks."""
-    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
+    smap = SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename")
     files = b.audio_files(spark, sf_dir).select("recording_id", "source")
     mapped = sourcemap.map_sources(files, smap)
     sourcemap.require_mapped(mapped, smap)
@@ -292,7 +292,7 @@ PAGE_MAPPED_SQL = r"""page_mapped AS (
 
 
 def page_mapped(spark, sf_dir):
-    smap = SourceMap.build(preset="baw_original", pattern=PAGE_PATTERN, static={"domain": "https://example.org"})
+    smap = SourceMap(template=SOURCE_TEMPLATES["baw_original"], pattern=PAGE_PATTERN, static={"domain": "https://example.org"})
     return sourcemap.map_sources(sourcemap.distinct_sources(b.page_paths(spark, sf_dir)), smap, ())
 
 
@@ -327,7 +327,7 @@ def sourcemap_collision_summary(spark, sf_dir):
 )
 def sourcemap_unresolved(spark, sf_dir):
     """Sources for which the template has a token without a value."""
-    smap = SourceMap.build(template="https://example.org/{low_id}", pattern=r"_5-LOW_(?P<low_id>\d+)\.")
+    smap = SourceMap(template="https://example.org/{low_id}", pattern=r"_5-LOW_(?P<low_id>\d+)\.")
     return sourcemap.unresolved(sourcemap.map_sources(b.audio_files(spark, sf_dir).select("source"), smap, ()))
 
 
@@ -340,7 +340,7 @@ def sourcemap_unresolved(spark, sf_dir):
 )
 def extra_columns(spark, sf_dir):
     """Extra columns that at least one source fills; others are left out."""
-    smap = SourceMap.build(
+    smap = SourceMap(
         pattern=r"_(?P<audio_recording_id>\d+)\.flac|(?P<never>\d{30})", static={"domain": "https://example.org"}
     )
     names = ("audio_recording_id", "domain", "never", "missing")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dawnchorus.functions import vectors as v
 from dawnchorus.operators import framing, recognize, store
 from dawnchorus.operators.inference import infer
-from dawnchorus.operators.sourcemap import SourceMap
+from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.plans import jobs
 from dawnchorus.sources.tables import decode_definitions
 
@@ -135,7 +135,7 @@ def recognizer_scores_above(spark, sf_dir):
 )
 def recognizer_export(spark, sf_dir):
     """Recognizer results as they are published, a destination per recognizer."""
-    smap = SourceMap.build(preset="a2o_original", pattern="canonical_filename")
+    smap = SourceMap(template=SOURCE_TEMPLATES["a2o_original"], pattern="canonical_filename")
     mapped = jobs.mapped_recordings(b.recordings(spark, sf_dir), smap)
     scored = recognize.score(b.windows(spark, sf_dir), b.recognizers(spark, sf_dir), list(jobs.WINDOW_KEY))
     rows = jobs.recognizer_rows(scored, mapped, smap, "{classifier_name}/{analysis}{ext}", "csv")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dawnchorus.functions.vectors import unpack
 from dawnchorus.operators import publish, recognize, store
-from dawnchorus.operators.sourcemap import SourceMap
+from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.plans import jobs
 from dawnchorus.plans.jobs import Output
 
@@ -68,7 +68,7 @@ def test_model_windows(windows):
 
 def test_everything_at_once(spark, tmp_path, recs, windows, classes, recognizers):
     out = {k: str(tmp_path / k) for k in ("emb", "cls", "rec")}
-    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
+    smap = SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename")
     summary = jobs.analyze(
         spark, recs, windows,
         embed=Output(out["emb"], "parquet", "{parents}/{filestem}/{analysis}{ext}", provenance={"version": "1"}),
@@ -108,7 +108,7 @@ def test_everything_at_once(spark, tmp_path, recs, windows, classes, recognizers
 
 
 def test_rows_that_carry_their_source_need_no_join(spark, recs, windows, classes, recognizers):
-    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
+    smap = SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename")
     mapped = jobs.mapped_recordings(recs, smap)
     bare = windows.drop("source")
     assert "audio_recording_id" in mapped.columns
@@ -150,6 +150,33 @@ def test_store_accumulates_but_classification_covers_the_run(spark, tmp_path, re
         jobs.analyze(spark, second, windows.join(second.select("recording_id"), "recording_id"), embed=Output(emb), store_root=root)
 
 
+def test_only_sources_with_windows_are_judged(spark, tmp_path, recs, windows, recognizers):
+    odd = store.with_recordings(spark.createDataFrame([("../short.wav", 0.2), ("x", 0.1)], "source string, duration_s double"), "search_set")
+    smap = SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename")
+    out = str(tmp_path / "emb")
+    jobs.export_embeddings(windows, recs.unionByName(odd), Output(out), smap=smap)
+    assert publish.read_published(spark, out).count() == 34
+
+
+def test_rendered_destinations_stay_below_the_root(spark, tmp_path, recs, windows, recognizers):
+    up = recognizers.withColumn("classifier_name", F.concat(F.lit("../../"), "classifier_name"))
+    with pytest.raises(ValueError, match="relative"):
+        jobs.run_recognizers(windows, recs, up, Output(str(tmp_path / "rec"), template="{classifier_name}/x{ext}"))
+    dots = store.with_recordings(spark.createDataFrame([("a/...wav", 9.0)], "source string, duration_s double"), "search_set")
+    moved = windows.limit(1).withColumn("recording_id", F.lit(dots.first()["recording_id"])).withColumn("source", F.lit("a/...wav"))
+    with pytest.raises(ValueError, match="relative"):
+        jobs.export_embeddings(moved, dots, Output(str(tmp_path / "emb"), template="{filestem}/x{ext}"))
+    assert not os.path.exists(tmp_path / "rec") and not os.path.exists(tmp_path / "emb")
+
+
+def test_a_pattern_that_needs_python_is_matched_once_per_recording(spark, recs, windows):
+    smap = SourceMap(template="{id}", pattern=r"(?P<id>\d*)\.flac")
+    assert not smap.compiled
+    rows = jobs.embedding_rows(windows, jobs.mapped_recordings(recs, smap), smap)
+    assert sorted(r["source"] for r in rows.select("source").distinct().collect()) == ["101", "102", "103"]
+    assert "Join" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_two_channels_kept_or_flattened(spark, tmp_path, recs, windows):
     two = windows.unionByName(windows.withColumn("channel", F.lit(1)))
     kept, flat = str(tmp_path / "kept"), str(tmp_path / "flat")
@@ -183,9 +210,9 @@ def test_guards(spark, recs, windows, classes, tmp_path):
     with pytest.raises(ValueError, match="recognizers"):
         jobs.analyze(spark, recs, windows, recognition=out)
     with pytest.raises(ValueError, match="without a pattern"):
-        jobs.analyze(spark, recs, windows, embed=out, smap=SourceMap.build(template="https://x/1"))
+        jobs.analyze(spark, recs, windows, embed=out, smap=SourceMap(template="https://x/1"))
     with pytest.raises(ValueError, match="collision"):
-        jobs.export_embeddings(windows, recs, out, smap=SourceMap.build(template="https://x/1"))
+        jobs.export_embeddings(windows, recs, out, smap=SourceMap(template="https://x/1"))
     with pytest.raises(Exception, match="class names"):
         jobs.detections(windows, classes.limit(2)).collect()
     with pytest.raises(KeyError):

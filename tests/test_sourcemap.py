@@ -1,11 +1,15 @@
+"""Published sources: every rule on a small set of invented recorder names."""
+
 import pytest
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.patterns import NamePattern
 from dawnchorus.operators import sourcemap as m
-from dawnchorus.operators.sourcemap import SourceMap
+from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 
-CANONICAL = "site_0277/20210428T100000Z_Five-Rivers-Dry-A_909057.flac"
+# unit, night and take of a recorder: U7_n012_t3.wav
+TAKE = r"^U(?P<unit>\d)_n(?P<night>\d+)(?:_t(?P<take>\d+))?\.wav$"
+FULL, SHORT, ODD = "marsh/U7_n012_t3.wav", "marsh/U7_n013.wav", "marsh/readme.wav"
 
 
 def sources(spark, *names):
@@ -18,60 +22,59 @@ def mapped(spark, smap, *names):
     return {r["source"]: r["mapped_source"] for r in df.collect()}
 
 
-def test_preset_with_canonical_name(spark):
-    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
-    assert mapped(spark, smap, CANONICAL)[CANONICAL] == "https://api.ecosounds.org/audio_recordings/909057/original"
-
+def metadata(spark, smap, name):
+    return sources(spark, name).select(*[c.alias(n) for n, c in smap.metadata(F.col("source")).items()]).first().asDict()
 
-def test_canonical_groups(spark):
-    smap = SourceMap.build(pattern="canonical_filename")
-    name = "a/b/20210428T100000+1000_Site_with_underscores_12345.tar.gz"
-    row = sources(spark, name).select(*[c.alias(n) for n, c in smap.metadata(F.col("source")).items()]).first()
-    assert row.asDict() == {
-        "timestamp": "20210428T100000+1000", "site_name": "Site_with_underscores",
-        "audio_recording_id": "12345", "extension": "tar.gz",
-    }
 
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        (FULL, {"night": "012", "take": "3", "unit": "7"}),
+        (SHORT, {"night": "013", "take": "1", "unit": "7"}),
+        (ODD, {"night": None, "take": "1", "unit": None}),
+    ],
+)
+def test_a_group_that_matched_wins_over_the_static_value(spark, name, want):
+    assert metadata(spark, SourceMap(static={"take": 1}, pattern=TAKE), name) == want
 
-def test_static_values(spark):
-    smap = SourceMap.build(preset="baw_original", static={"domain": "https://d.example", "audio_recording_id": 909057})
-    assert mapped(spark, smap, "x/any.wav") == {"x/any.wav": "https://d.example/audio_recordings/909057/original"}
 
+def test_the_canonical_name_splits_at_its_last_number(spark):
+    got = metadata(spark, SourceMap(pattern="canonical_filename"), "x/20300102T030405Z_Reed_Bed_2_77.wav.gz")
+    assert got == {"timestamp": "20300102T030405Z", "site_name": "Reed_Bed_2", "audio_recording_id": "77", "extension": "wav.gz"}
 
-def test_own_pattern_and_static_token(spark):
-    smap = SourceMap.build(
-        template="{domain}/audio_recordings/{audio_recording_id}/original",
-        pattern=r"^(?P<audio_recording_id>\d+)\.wav$",
-        static={"domain": "https://api.ecosounds.org"},
-    )
-    assert mapped(spark, smap, "1234.wav") == {"1234.wav": "https://api.ecosounds.org/audio_recordings/1234/original"}
 
+@pytest.mark.parametrize("name", sorted(SOURCE_TEMPLATES))
+def test_every_named_template_renders(spark, name):
+    smap = SourceMap(SOURCE_TEMPLATES[name], {"domain": "ftp://reed", "audio_recording_id": 5})
+    value = mapped(spark, smap, FULL)[FULL]
+    assert value.endswith("/audio_recordings/5/original") and "{" not in value
 
-def test_missing_value_is_an_error(spark):
-    smap = SourceMap.build(preset="ecosounds_original", pattern="canonical_filename")
-    with pytest.raises(ValueError, match="missing token value.*not_a_canonical_name"):
-        mapped(spark, smap, CANONICAL, "site_0277/not_a_canonical_name.flac")
 
+def test_tokens_come_from_both_sides(spark):
+    smap = SourceMap("{bucket}/{unit}-{night}", {"bucket": "gs://b"}, TAKE)
+    assert mapped(spark, smap, FULL, SHORT) == {FULL: "gs://b/7-012", SHORT: "gs://b/7-013"}
 
-def test_braces_in_values_are_an_error(spark):
-    smap = SourceMap.build(template="u/{stem}", pattern=r"^(?P<stem>.+)\.wav$")
-    with pytest.raises(ValueError, match="brace"):
-        mapped(spark, smap, "a{b}.wav")
-    with pytest.raises(ValueError, match="brace"):
-        mapped(spark, SourceMap.build(template="u/{not a token}"), "a.wav")
 
+def test_faults_are_counted_listed_and_reported_in_one_order(spark, tmp_path):
+    import re
 
-def test_values_are_not_scanned_again(spark):
-    smap = SourceMap(template="u/{stem}", static={}, pattern=NamePattern.compile(r"^(?P<stem>.+)\.wav$"))
-    row = m.map_sources(sources(spark, "{stem}.wav"), smap).first()
-    assert row["mapped_source"] == "u/{stem}"
+    smap = SourceMap("{night}", pattern=r"(?P<night>[{}a-z]+)[0-9]*\.wav$")
+    missing, braced, twins = ["1.wav", "2.wav", "3.wav"], ["{.wav"], ["k1.wav", "k2.wav"]
+    for names, text, n in (
+        ([*twins, *braced, *missing], "missing token value for 3 sources", 3),
+        ([*twins, *braced], "brace syntax in 1 rendered", 1),
+        (twins, "collision: 1 values", 2),
+    ):
+        with pytest.raises(ValueError, match=text) as e:
+            mapped(spark, smap, *names)
+        folder = re.search(r"all in (\S+)", str(e.value))[1]
+        assert spark.read.parquet(folder).count() == n
+    assert mapped(spark, smap, "k1.wav", "m1.wav") == {"k1.wav": "k", "m1.wav": "m"}
 
 
-def test_collision(spark):
-    smap = SourceMap(template=lambda c: F.lit("same"))
-    with pytest.raises(ValueError, match="collision"):
-        mapped(spark, smap, "a.wav", "b.wav")
-    assert mapped(spark, smap, "a.wav") == {"a.wav": "same"}
+def test_values_are_not_scanned_again(spark):
+    smap = SourceMap("u/{stem}", pattern=NamePattern.compile(r"^(?P<stem>.+)\.wav$"))
+    assert m.map_sources(sources(spark, "{stem}.wav"), smap).first()["mapped_source"] == "u/{stem}"
 
 
 def test_hot_collision_lists_every_source(spark):
@@ -83,39 +86,40 @@ def test_hot_collision_lists_every_source(spark):
     assert m.collision_summary(df).first()["n_sources"] == 3000
 
 
-def test_identity_and_functions(spark):
-    assert mapped(spark, None, "x/file.wav") == {"x/file.wav": "x/file.wav"}
-    smap = SourceMap(template=lambda c: F.concat(F.lit("mapped::"), c), extra=lambda c: {"audio_recording_id": F.split(c, "/")[0]})
-    row = m.map_sources(sources(spark, "nested/file.wav"), smap).first()
-    assert row["mapped_source"] == "mapped::nested/file.wav" and row["audio_recording_id"] == "nested"
+def test_own_functions(spark):
+    smap = SourceMap(template=F.upper, extra=lambda c: {"unit": F.substring(c, 8, 1)})
+    row = m.map_sources(sources(spark, FULL), smap).first()
+    assert (row["mapped_source"], row["unit"]) == (FULL.upper(), "7")
+    assert mapped(spark, None, FULL) == {FULL: FULL}
+    with pytest.raises(ValueError, match="clash"):
+        m.map_sources(sources(spark, FULL), SourceMap(extra=lambda c: {"offset": c}))
 
 
-def test_extra_columns(spark):
-    smap = SourceMap.build(pattern="canonical_filename", static={"domain": "https://api.ecosounds.org"})
-    names = ["audio_recording_id", "domain", "missing"]
-    df = m.map_sources(sources(spark, CANONICAL, "other.wav"), smap, names)
-    assert df.columns == ["source", "mapped_source", "audio_recording_id", "domain"]
-    rows = {r["source"]: (r["audio_recording_id"], r["domain"]) for r in df.collect()}
-    assert rows == {CANONICAL: ("909057", "https://api.ecosounds.org"), "other.wav": (None, "https://api.ecosounds.org")}
-    assert m.present_extras(df.where("source = 'other.wav'"), names) == ["domain"]
-    with pytest.raises(ValueError, match="clash"):
-        m.map_sources(sources(spark, "a"), SourceMap(extra=lambda c: {"label": c}))
-
-
-def test_builder_checks():
-    with pytest.raises(ValueError, match="unknown source template"):
-        SourceMap.build(preset="not_a_real_preset")
-    with pytest.raises(ValueError, match="non-empty"):
-        SourceMap.build(template="   ")
-    with pytest.raises(ValueError, match="invalid file-name pattern"):
-        SourceMap.build(template="{audio_recording_id}", pattern="(unclosed")
-    with pytest.raises(ValueError, match="no value for template tokens"):
-        SourceMap.build(template="{domain}/{audio_recording_id}")
-    with pytest.raises(ValueError, match="not both"):
-        SourceMap.build(preset="baw_original", template="x")
-    m.require_pattern_for_many(1, SourceMap.build(template="fixed"))
+def test_extra_columns_are_those_with_a_value(spark):
+    smap = SourceMap(static={"region": "north"}, pattern=TAKE)
+    df = m.map_sources(sources(spark, SHORT, ODD), smap, ["take", "region", "unit", "absent"])
+    assert df.columns == ["source", "mapped_source", "region", "take", "unit"]
+    assert m.present_extras(df, ["take", "region", "unit"]) == ["region", "unit"]
+    assert m.present_extras(df.where(F.col("source") == ODD), ["take", "region", "unit"]) == ["region"]
+
+
+@pytest.mark.parametrize(
+    "smap, text",
+    [
+        (SourceMap("{unit}/{moon}", pattern=TAKE), "no value for template tokens ..moon"),
+        (SourceMap("{unit}", pattern="(?P<unit>"), "invalid file-name pattern"),
+        (SourceMap(" "), "empty"),
+    ],
+)
+def test_a_bad_definition_fails_with_the_plan(spark, smap, text):
+    with pytest.raises(ValueError, match=text):
+        m.map_sources(sources(spark, FULL), smap)
+
+
+def test_a_fixed_template_is_for_one_file(spark):
+    m.require_pattern_for_many(1, SourceMap("fixed"))
     with pytest.raises(ValueError, match="without a pattern"):
-        m.require_pattern_for_many(2, SourceMap.build(template="fixed"))
+        m.require_pattern_for_many(2, SourceMap("fixed"))
 
 
 PATTERNS = [
@@ -129,8 +133,14 @@ PATTERNS = [
     r"^(?P<u>\w+) (?P<d>\d+)$",
     r"(?P<tail>.)\Z",
     r"(?P<cls>[[a]b])",
+    r"(?P<word>\w+)",
+    r"(?P<word>[\w-]+)(?P<rest>\W)",
+    r"(?P<gap>\s)(?P<next>\S)",
+    r"(?P<odd>[^\W\d])",
+    r"\b(?P<edge>\w)",
+    r"(?P<first>[]\w]+)",
 ]
-TEXTS = ["12.wav", "12", "", "x-12", "yyy-", "aa1", "(?P<id>7", "xabc", "xABC\n", "(P<x>z", "ä١ ٣", "q\r\n", "[b]", "ab]"]
+TEXTS = ["12.wav", "12", "", "x-12", "yyy-", "aa1", "(?P<id>7", "xabc", "xABC\n", "(P<x>z", "ä١ ٣", "q\r\n", "[b]", "ab]", "cafe\u0301_1", "m\u00b2_1", "a\x1fb", "\u216b-", "]x"]
 
 
 @pytest.mark.parametrize("pattern", PATTERNS)
