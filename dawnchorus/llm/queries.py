@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.llm import (
-    decontaminate, language, mixing, near_dup, quality_model, quality_rules, secrets, substring_dup, token_counts, toxicity,
+    decontaminate, language, mixing, near_dup, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
 )
 from dawnchorus.llm.common import scratch_root
 
@@ -30,7 +30,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dup.substring_duplicates(_table(spark, sf_dir, "documents"), window=35)
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").cast("long").alias("n_factors"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +55,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances are given in ten thousandths, -1 where there are none."""
     found = quality_rules.quality(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "char_distance", "word_distance",
+        *[F.coalesce(F.round(F.col(c) * 10_000), F.lit(-1)).cast("long").alias(c) for c in ("char_distance", "word_distance")],
     )
 
 
@@ -150,4 +151,7 @@ QUERIES = {
     )
 }
 
-SQL = {"op10_mixing": OP10_SQL}
+SQL = {
+    "op1_secret_scan": sql.OP1, "op2_substring_dedup": sql.OP2, "op3_near_dedup": sql.OP3, "op5_decontaminate": sql.OP5,
+    "op6_quality_rules": sql.OP6, "op10_mixing": OP10_SQL,
+}
