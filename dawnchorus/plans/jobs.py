@@ -149,7 +149,7 @@ def export_embeddings(
     """
     mapped = _checked_recordings(windows, recordings, smap, ())
     dest = routing.destination(F.col("source"), output.path_template, "embeddings", output.filetype, table_format)
-    routing.require_safe(mapped.select(dest.alias("dest")), "dest")
+    _require_safe_destinations(mapped, dest)
     narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding"))
     narrow, done = _distinct_before_join(_flatten(narrow, flatten_channel), mapped, WINDOW_KEY)
     rows = embedding_rows(narrow, mapped, smap, table_format, output.path_template, output.filetype)
@@ -224,7 +224,7 @@ def export_classification(
     routing.require_safe(mapped)
     require_mapped(mapped, smap)
     dest = routing.destination(F.col("source"), output.path_template, "classify", output.filetype)
-    routing.require_safe(mapped.select(dest.alias("dest")), "dest")
+    _require_safe_destinations(mapped, dest)
     if flatten_channel or "channel" not in found.columns:
         found = found.withColumn("channel", F.lit(0))
     narrow = found.select(*_carried(found, "recording_id", "channel", "offset_s", "species", "score"))
@@ -281,7 +281,7 @@ def run_recognizers(
     dest = routing.destination(
         F.col("source"), output.path_template, "recognizer", output.filetype, classifier_name=F.col("classifier_name")
     )
-    routing.require_safe(pairs.join(mapped, "recording_id").select(dest.alias("dest")).distinct(), "dest")
+    _require_safe_destinations(pairs.join(mapped, "recording_id"), dest)
     narrow, visible = _flatten(scored, flatten_channel), ("classifier_name", "label")
     if "{classifier_name}" not in output.path_template:
         narrow, visible = narrow.drop("classifier_name"), ("label",)
@@ -294,6 +294,11 @@ def run_recognizers(
     publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
 
 
+def _require_safe_destinations(rows: DataFrame, dest: Column) -> None:
+    """Checks distinct destinations, written first: a filter on the expression itself would be copied into it."""
+    routing.require_safe(written(rows.select(dest.alias("dest")).distinct()), "dest")
+
+
 def _checked_recordings(
     windows: DataFrame, recordings: DataFrame, smap: SourceMap | None, extra=EXTRA_COLUMNS
 ) -> DataFrame:

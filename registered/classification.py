@@ -139,6 +139,30 @@ def classify_species_filter(spark, sf_dir):
     return classify.name_classes(found, names).select("recording_id", "window_idx", "label", b.score6())
 
 
+@registry.add(
+    with_ctes(
+        """SELECT recording_id, offset_s, label AS species, round(score, 6) AS score
+           FROM top_rows JOIN classes USING (class_idx)""",
+        b.WINDOWS_SQL, b.CLASSES_SQL, b.SPECIES_SQL, EXPLODED,
+        """top_rows AS (
+  SELECT * FROM exploded
+  WHERE score >= -10.0 AND class_idx IN (SELECT n_nationkey FROM nation)
+  QUALIFY row_number() OVER (PARTITION BY recording_id, window_idx, channel
+                             ORDER BY score DESC, class_idx DESC) <= 3)""",
+    )
+)
+def classify_species_validated(spark, sf_dir):
+    """A checked species list; a name that no class has must stop the job."""
+    windows, names, wanted = _logit_windows(spark, sf_dir), b.classes(spark, sf_dir), b.species(spark, sf_dir)
+    stranger = b.table(spark, sf_dir, "region").select(F.lit(0).cast("long").alias("item_ord"), F.col("r_name").alias("raw"))
+    try:
+        jobs.known_species(wanted.unionByName(stranger), names)
+        raise AssertionError("an unknown species went through")
+    except ValueError:
+        found = jobs.detections(windows, names, THRESHOLD, TOP, wanted)
+    return found.select("recording_id", "offset_s", "species", b.score6())
+
+
 @registry.add(
     with_ctes(
         "SELECT window_id, class_idx, round(score, 6) AS score FROM top_rows",

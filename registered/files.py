@@ -144,6 +144,46 @@ def manifest_audio_files(spark, sf_dir):
     return audio_tree.audio_only(part_files(spark, sf_dir))
 
 
+# A tree written from the suppliers: names with an underscore or a dot in front, in folders that have them too.
+SUPPLIER_FILES_SQL = """supplier_files AS (
+  SELECT CASE s_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_n' || s_nationkey || '/' ELSE 'n/.' || s_nationkey || '/' END
+           || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_' ELSE '.' END || s_suppkey
+           || CASE s_suppkey % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.FLAC' ELSE '.wav' END AS source,
+         CAST(length(s_name) AS BIGINT) AS length FROM supplier)"""
+
+
+def _write_files(batches):
+    import os
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            os.makedirs(os.path.dirname(row["path"]), exist_ok=True)
+            with open(row["path"], "w") as f:
+                f.write(row["body"])
+        yield batch.select(["path"])
+
+
+@registry.add(
+    with_ctes(
+        r"""SELECT source, length, CAST(1 + length(source) - length(replace(source, '/', '')) AS INTEGER) AS depth
+           FROM supplier_files WHERE regexp_matches(lower(source), '\.(wav|flac)$')""",
+        SUPPLIER_FILES_SQL,
+    )
+)
+def manifest_listing(spark, sf_dir):
+    """Files written from a table, listed from the tree; hidden names count."""
+    nation, key = F.col("s_nationkey"), F.col("s_suppkey")
+    folder = F.when(nation % 3 == 0, "").when(nation % 3 == 1, F.concat(F.lit("_n"), nation, F.lit("/")))
+    folder = folder.otherwise(F.concat(F.lit("n/."), nation, F.lit("/")))
+    mark = F.when(key % 3 == 0, "").when(key % 3 == 1, "_").otherwise(".")
+    ext = F.when(key % 4 == 0, ".txt").when(key % 4 == 1, ".FLAC").otherwise(".wav")
+    root = scratch_folder(spark)
+    path = F.concat(F.lit(root + "/"), folder, mark, key, ext)
+    files = b.table(spark, sf_dir, "supplier").select(path.alias("path"), F.col("s_name").alias("body"))
+    files.mapInArrow(_write_files, "path string").count()
+    return audio_tree.list_tree(spark, root).select("source", "length", "depth")
+
+
 PAGE_DEPTH_SQL = """page_depth AS (
   SELECT page_id, source, CAST(len(list_filter(string_split(source, '/'), lambda p: p NOT IN ('', '.'))) AS INTEGER) AS depth
   FROM page_paths)"""
@@ -478,3 +518,59 @@ def published_csv(spark, sf_dir):
     root = scratch_folder(spark)
     publish.publish(result_rows(spark, sf_dir), root, "csv", {"runner": "1"})
     return publish.read_published(spark, root, "csv", RESULTS)
+
+
+@registry.add(
+    with_ctes("SELECT count(*) AS n_files, count(*) > 1 AS refused FROM audio_files", b.AUDIO_FILES_SQL)
+)
+def sourcemap_guard(spark, sf_dir):
+    """A template without a pattern is refused for several files."""
+    n = b.audio_files(spark, sf_dir).count()
+    try:
+        sourcemap.require_pattern_for_many(n, SourceMap(template="https://example.org/one"))
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([(n, refused)], "n_files long, refused boolean")
+
+
+@registry.add(
+    with_ctes(
+        """SELECT filetype, name, CAST(CASE name WHEN 'n_rows' THEN n ELSE d END AS VARCHAR) AS value
+           FROM (SELECT count(*) AS n, count(DISTINCT dest) AS d FROM result_rows),
+                (VALUES ('csv'), ('parquet')) f(filetype), (VALUES ('n_rows'), ('n_dests')) k(name)""",
+        RESULT_ROWS_SQL,
+    )
+)
+def published_provenance(spark, sf_dir):
+    """Facts about the rows, read back from the published tables of both kinds."""
+    import json
+
+    rows = result_rows(spark, sf_dir)
+    n, d = rows.agg(F.count(F.lit(1)), F.count_distinct("dest")).first()
+    found = []
+    for filetype in ("csv", "parquet"):
+        root = scratch_folder(spark)
+        publish.publish(rows, root, filetype, {"n_rows": str(n), "n_dests": str(d)})
+        if filetype == "parquet":
+            facts = publish.read_provenance(publish.read_published(spark, root))
+        else:
+            facts = json.loads(spark.read.text(root + "/_provenance").first()["value"])
+        found += [(filetype, k, v) for k, v in facts.items()]
+    return spark.createDataFrame(found, "filetype string, name string, value string")
+
+
+@registry.add(
+    with_ctes(
+        """SELECT DISTINCT dest, source, channel, "offset", label,
+                  CASE WHEN dest LIKE 'final/%' THEN score + 1 ELSE score END AS score FROM result_rows""",
+        RESULT_ROWS_SQL,
+    )
+)
+def published_again(spark, sf_dir):
+    """A second run replaces its own destinations and leaves the others."""
+    root = scratch_folder(spark)
+    rows = result_rows(spark, sf_dir)
+    publish.publish(rows, root)
+    publish.publish(rows.where(F.col("dest").startswith("final/")).withColumn("score", F.col("score") + 1), root)
+    return publish.read_published(spark, root)

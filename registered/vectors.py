@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dawnchorus.functions import vectors as v
-from dawnchorus.operators import framing, recognize, store
+from dawnchorus.operators import framing, publish, recognize, store
 from dawnchorus.operators.inference import infer
 from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.plans import jobs
-from dawnchorus.sources.tables import decode_definitions
+from dawnchorus.sizing import scratch_folder
+from dawnchorus.sources.tables import decode_definitions, recognizer_definitions
 
 from . import bindings as b
 from .bindings import Registry, with_ctes
@@ -153,25 +154,69 @@ def recognizer_export(spark, sf_dir):
 )
 def recognizer_decoded(spark, sf_dir):
     """Packed definitions back to weights."""
+    return _weights(decode_definitions(_definitions(spark, sf_dir)))
+
+
+def _definitions(spark, sf_dir):
     r = b.recognizers(spark, sf_dir)
     packed = v.pack(v.pack(r.withColumn("one", F.array("bias")), "beta", "beta_text"), "one", "bias_text")
     config = F.struct(
         F.lit("model").alias("model_key"), "embedding_dim",
         F.struct(F.lit(5.0).alias("window_size_s"), F.lit(5.0).alias("hop_size_s")).alias("model_config"),
     )
-    definitions = packed.select(
+    return packed.select(
         F.col("classifier_name").alias("name"),
         F.array("label").alias("classes"),
         F.col("beta_text").alias("beta"),
         F.col("bias_text").alias("beta_bias"),
         config.alias("model_config"),
     )
+
+
+def _weights(decoded):
     total = F.aggregate(F.col("beta").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return decode_definitions(definitions).select(
+    return decoded.select(
         "classifier_name", "class_idx", "label", "bias", "embedding_dim", F.round(total, 6).alias("weight_sum")
     )
 
 
+@registry.add(
+    with_ctes(
+        """SELECT classifier_name, CAST(class_idx AS INTEGER) AS class_idx, label, bias,
+                  CAST(len(beta) AS INTEGER) AS embedding_dim,
+                  round(list_sum(CAST(beta AS DOUBLE[])), 6) AS weight_sum
+           FROM recognizers""",
+        b.RECOGNIZERS_SQL,
+    )
+)
+def recognizer_definitions_read(spark, sf_dir):
+    """The same written as JSON files, one each, and read by the reader of definitions."""
+    folder = scratch_folder(spark)
+    _definitions(spark, sf_dir).write.option("maxRecordsPerFile", 1).json(folder)
+    return _weights(recognizer_definitions(spark, folder))
+
+
+@registry.add(
+    with_ctes(
+        """SELECT source, channel, offset_s AS "offset", regexp_replace(source, '\\.flac$', '.parquet') AS dest,
+                  CAST(len(embedding) AS INTEGER) AS width, embedding[1] AS first_value, embedding[-1] AS last_value
+           FROM windows JOIN recordings USING (recording_id)""",
+        b.WINDOWS_SQL, b.RECORDINGS_SQL,
+    )
+)
+def embeddings_published(spark, sf_dir):
+    """The embedding export, written, read back and unpacked."""
+    root = scratch_folder(spark)
+    output = jobs.Output(root, "parquet", layout="nested_filestem")
+    jobs.export_embeddings(b.windows(spark, sf_dir).drop("label"), b.recordings(spark, sf_dir), output)
+    back = v.unpack(publish.read_published(spark, root), "embeddings", "vector")
+    return back.select(
+        "source", "channel", "offset", "dest", F.size("vector").alias("width"),
+        F.element_at("vector", 1).alias("first_value"), F.element_at("vector", -1).alias("last_value"),
+    )
+
+
+
 @registry.add(
     with_ctes(
         """SELECT classifier_name, 32 AS dimension, 64 AS width FROM recognizers
