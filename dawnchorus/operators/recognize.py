@@ -25,8 +25,10 @@ def misfits(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding
     fails on a misfit before anything is published.
     """
     sized = windows.where(F.col(vector).isNotNull()).select(F.size(vector).alias("width"))
+    lengths = sized.agg(F.collect_set("width")).scalar()  # one number per distinct length, all of them
     wanted = recognizers.select("classifier_name", F.size("beta").alias("dimension")).distinct()
-    return wanted.join(sized.distinct(), F.col("width") != F.col("dimension"))
+    other = F.filter("lengths", lambda n: n != F.col("dimension"))
+    return wanted.withColumn("lengths", lengths).select("classifier_name", "dimension", F.explode(other).alias("width"))
 
 
 def require_compatible(windows: DataFrame, recognizers: DataFrame, vector: str = "embedding") -> None:
