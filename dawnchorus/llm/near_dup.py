@@ -5,10 +5,11 @@ Documents with the same set of word shingles form one node. Each of
 signature values, its minimum and its maximum; both agree between two sets
 with the probability of their Jaccard similarity. Bands of ``rows`` values are
 buckets. Inside a bucket pairs are compared in blocks: a pair is taken in the
-first band it shares only, skipped where its one-byte signature is
-``SLACK`` below the threshold (over six standard deviations), and confirmed on
-the full sets unless both are already connected in that block. Groups are
-returned as spanning links, never as all pairs.
+first band it shares only, by the bands' whole keys as in the buckets, skipped
+where its one-byte signature is ``SLACK`` below the threshold (over six standard
+deviations; bytes that agree by chance only raise it), and confirmed on the full
+sets unless both are already connected in that block. Groups are returned as
+spanning links, never as all pairs.
 """
 
 from __future__ import annotations
@@ -120,14 +121,15 @@ def _set_writer(size: int):
 class _Pairs:
     """Pairs of one block pair that may be similar, row by row."""
 
-    def __init__(self, table: pa.Table, start: int, end: int, rows: int, percent: int):
+    def __init__(self, table: pa.Table, start: int, end: int, percent: int):
         part = table.slice(start, end - start)
         self.sig = np.frombuffer(b"".join(part["sig"].to_pylist()), dtype=np.uint8).reshape(end - start, -1)
         self.size = part["n_shingles"].to_numpy()
         self.block = part["block"].to_numpy()
-        self.band = part["band"][0].as_py()
+        # keys of the bands before this one: all rows of a bucket have as many
+        self.earlier = part["earlier"].combine_chunks().flatten().to_numpy().reshape(end - start, -1)
         self.within = part["low"][0].as_py() == part["high"][0].as_py()
-        self.rows, self.percent = rows, percent
+        self.percent = percent
         self.least = (percent / 100 - SLACK) * self.sig.shape[1]
 
     def partners(self, i: int) -> np.ndarray:
@@ -140,23 +142,22 @@ class _Pairs:
         at = np.flatnonzero(near)
         if not len(at):
             return at
-        equal = self.sig[i + 1 + at] == self.sig[i]
-        shared = equal.reshape(len(at), -1, self.rows).all(axis=2)
-        ok = (equal.sum(axis=1) >= self.least) & shared[:, self.band] & ~shared[:, : self.band].any(axis=1)
-        return at[ok] + i + 1
+        alike = (self.sig[i + 1 + at] == self.sig[i]).sum(axis=1) >= self.least
+        at = at[alike] + i + 1
+        return at[~(self.earlier[at] == self.earlier[i]).any(axis=1)]
 
 
-BLOCK_KEYS = ["key", "low", "high"]
+BLOCK_KEYS = ["key", "band", "low", "high"]
 
 
-def _promising(rows: int, percent: int):
+def _promising(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, BLOCK_KEYS):
             keep = np.zeros(table.num_rows, dtype=bool)
             for start, end in zip(at[:-1], at[1:], strict=True):
                 if end - start < 2:
                     continue
-                pairs = _Pairs(table, start, end, rows, percent)
+                pairs = _Pairs(table, start, end, percent)
                 for i in range(end - start - 1):
                     found = pairs.partners(i)
                     if len(found):
@@ -168,13 +169,13 @@ def _promising(rows: int, percent: int):
     return run
 
 
-def _confirmed(rows: int, percent: int):
+def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, BLOCK_KEYS):
             links = []
             for start, end in zip(at[:-1], at[1:], strict=True):
                 if end - start >= 2:
-                    links += _spanning(table, start, end, rows, percent)
+                    links += _spanning(table, start, end, percent)
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -182,8 +183,8 @@ def _confirmed(rows: int, percent: int):
     return run
 
 
-def _spanning(table: pa.Table, start: int, end: int, rows: int, percent: int) -> list[tuple[bytes, bytes]]:
-    pairs = _Pairs(table, start, end, rows, percent)
+def _spanning(table: pa.Table, start: int, end: int, percent: int) -> list[tuple[bytes, bytes]]:
+    pairs = _Pairs(table, start, end, percent)
     nodes = table["node"].slice(start, end - start).to_pylist()
     sets = [np.frombuffer(x, dtype=np.uint64) for x in table["members"].slice(start, end - start).to_pylist()]
     root = np.arange(len(nodes))
@@ -237,7 +238,7 @@ def near_duplicates(
         ),
         "nodes",
     )
-    links = _links(source, nodes, words, percent, rows)
+    links = _links(source, nodes, words, percent)
     roots = stored(
         nodes.select("node", "least", "row").join(components(links), "node", "left").select(
             "node", "least", "row", F.coalesce("root", "node").alias("root")
@@ -260,23 +261,24 @@ def near_duplicates(
     )
 
 
-def _links(source: DataFrame, nodes: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
+def _links(source: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links that span every group of nodes, as (a, b)."""
     placed = nodes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("volume")).where("n > 1")
+    sizes = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("volume")).where("n > 1")
     blocks = F.greatest(
         F.ceil(F.col("n") / F.lit(BLOCK_ROWS)), F.ceil(F.col("volume") * 8 / F.lit(BLOCK_BYTES))
     ).cast("int")
-    members = placed.join(sizes, "key").select("key", "band", "node", blocks.alias("blocks"))
+    members = placed.join(sizes, ["key", "band"]).select("key", "band", "node", blocks.alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = members.join(nodes.select("node", "n_shingles", "sig"), "node")
+    dealt = members.join(nodes.select("node", "n_shingles", "sig", "keys"), "node")
+    dealt = dealt.withColumn("earlier", F.slice("keys", 1, F.col("band")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "band", "node", "n_shingles", "sig", "block", other).select(
-        "key", "band", "node", "n_shingles", "sig", "block",
+    dealt = dealt.select("key", "band", "node", "n_shingles", "sig", "earlier", "block", other).select(
+        "key", "band", "node", "n_shingles", "sig", "earlier", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
     )
     promising = stored(
-        dealt.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(_promising(rows, percent), dealt.schema),
+        dealt.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(_promising(percent), dealt.schema),
         "promising",
     )
     wanted = promising.select("node").distinct().join(nodes.select("node", "row"), "node")
@@ -288,7 +290,7 @@ def _links(source: DataFrame, nodes: DataFrame, words: int, percent: int, rows:
     full = promising.join(sets, "node")
     links = stored(
         full.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(
-            _confirmed(rows, percent), "a binary, b binary"
+            _confirmed(percent), "a binary, b binary"
         ),
         "links",
     )

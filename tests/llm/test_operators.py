@@ -81,6 +81,17 @@ def test_near_duplicates_in_many_blocks(docs, rows, monkeypatch):
     assert tuples(near_dup.near_duplicates(docs, words=3, percent=85), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_no_pair_near_the_threshold_is_lost(spark):
+    rng = random.Random(85)
+    rows = []
+    for i in range(12_000):
+        text = [f"w{rng.randrange(1_000_000)}" for _ in range(80)]
+        near = [*text[:25], "changed", *text[26:55], "again", *text[56:]]  # 72 of 84 shingles: 0.857
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(near))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
+    assert found.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 def test_one_row_of_each_group_stays(docs, rows, nothing):
     kept = near_dup.one_of_each(docs)
     assert kept.columns == docs.columns
