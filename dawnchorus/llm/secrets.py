@@ -3,9 +3,10 @@
 Candidates are found in whole texts: assignments, access keys and long hex
 runs (the base kinds), and opaque tokens. Their hashes are counted by distinct
 repositories and owners over the whole corpus. A candidate held by
-``copied_owners`` owners or more is a copied example; one held by fewer that
-looks random is live. Opaque tokens become spans of kind ``owned`` only when
-live. DataFrame functions only.
+``copied_owners`` owners or more, or in ``copied_repositories`` repositories or
+more whoever owns them, is a copied example; any other that looks random is
+live. Opaque tokens become spans of kind ``owned`` only when live. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -71,15 +72,17 @@ def _values(spans: Column) -> Column:
 
 def secrets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None,
-    owner: Column | None = None, copied_owners: int = 3,
+    owner: Column | None = None, copied_owners: int = 3, copied_repositories: int = 4,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, base and added spans, and counts of live and copied values.
 
     Columns: n_assign, n_access, n_hex, base (array of spans), added (array of
-    spans), base_list, span_list, n_live, n_copied. A span has start, rank of
+    spans), base_list, span_list, n_live, n_copied, holders (array of hash,
+    n_owners and n_repositories of each distinct value). A span has start, rank of
     its kind, end (code points, exclusive) and value. ``repository`` and
     ``owner`` are columns of ``docs``, by default ``source``; null counts as one
-    repository or owner of its own. Null and empty texts have no spans.
+    repository or owner of its own, and repositories of the same name under two
+    owners are two. Null and empty texts have no spans.
     Repeated rows get a row each. An empty table gives no rows.
     """
     owner = F.col("source") if owner is None else owner
@@ -115,19 +118,20 @@ def secrets(
     spread = spread.groupBy("hash", "random").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories")
     )
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
     verdict = spread.select(
-        "hash", (F.col("n_owners") >= copied_owners).alias("copied"),
-        ((F.col("n_owners") < copied_owners) & F.col("random")).alias("live"),
-    )
+        "hash", "n_owners", "n_repositories", copied.alias("copied"), (~copied & F.col("random")).alias("live")
+    )
     per_text = held.select("doc_id", "text_hash", F.sha2("value", 256).alias("hash")).distinct().join(verdict, "hash")
     per_text = per_text.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.when(F.col("live"), F.col("hash"))).alias("live"),
         F.count(F.when(F.col("copied"), 1)).alias("n_copied"),
+        F.collect_list(F.struct("hash", "n_owners", "n_repositories")).alias("holders"),
     )
     joined = join_same(scanned, per_text, ["doc_id", "text_hash"], "left")
     live = F.coalesce("live", F.array().cast("array<string>"))
     added = F.filter("opaque", lambda s: F.array_contains(live, F.sha2(s["value"], 256)))
-    return joined.select("doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base", added.alias("added"), F.size(live).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied")).select(
+    return joined.select("doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base", added.alias("added"), F.size(live).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"), F.coalesce(F.array_sort("holders"), F.array().cast("array<struct<hash:string,n_owners:bigint,n_repositories:bigint>>")).alias("holders")).select(
         "*", _listed(F.col("base")).alias("base_list"), _listed(F.concat("base", "added")).alias("span_list")
     )
 

@@ -159,6 +159,18 @@ def test_copied_values_are_not_live(spark):
     assert found[10].n_live == 0
 
 
+def test_values_in_many_repositories_of_one_owner_are_not_live(spark):
+    many, few = "Zx9Qw7Er5Ty3Ui1Op0As2Df4", "Mn4Bv6Cx8Za2Sd0Fg1Hj3Kl5"
+    rows = [(i, f"see {many} here", "o1", f"r{i}") for i in range(4)] + [(10 + i, f"see {few} here", "o1", f"r{i % 3}") for i in range(9)]
+    rows += [(30 + i, "secret=own1Secret2Value3", f"o{i % 2}", f"r{i // 2}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    found = {r.doc_id: r for r in secrets.secrets(docs, repository=F.col("repo")).collect()}
+    assert all((found[i].span_list, found[i].n_live, found[i].n_copied) == ("", 0, 1) for i in range(4))
+    assert all((found[i].span_list, found[i].n_live, found[i].n_copied) == ("owned:4:28", 1, 0) for i in range(10, 19))
+    assert all((found[i].n_live, found[i].n_copied) == (0, 1) for i in range(30, 34))
+    assert [(h.n_owners, h.n_repositories) for i in (0, 10, 30) for h in found[i].holders] == [(1, 4), (1, 3), (2, 4)]
+
+
 def test_redacted(docs, rows):
     clean = {r.doc_id: r.text for r in secrets.redacted(docs, secrets.secrets(docs)).collect() if r.doc_id is not None}
     assert clean[0] is None and clean[1] == ""
