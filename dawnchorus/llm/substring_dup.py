@@ -1,13 +1,14 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against an index of all documents' blocks.
+"""Substring duplicates by anchored blocks: an index of all documents' blocks in place of a Lempel-Ziv parsing.
 
 Every document is cut into reference blocks at places its own words choose: a
 block is a longest run of ``window``-word windows with the same smallest hash
 of ``ANCHOR`` words (its anchor), so equal passages are cut alike wherever
-they stand. All blocks are indexed by anchor and content. Parsing is greedy: a
-factor goes on for as long as whole blocks are found a second time. Where a
-block is not found whole but its anchor is, a factor begins or ends inside it;
-only there the windows are looked up one by one, which makes the factors'
-borders exact. Factors of ``window`` words or more are the duplicate spans.
+they stand. All blocks are indexed by anchor and content; a block whose content
+stands twice is covered whole. Of the blocks with one anchor and several
+contents, or with their anchor twice inside, one of each content is looked up
+window by window. The union of covered blocks and windows gives the duplicate
+spans, which ``factors`` lists; nothing is parsed greedily, and a span has no
+place of reference.
 
 Blocks overlap by ``window - 1`` words, so each window lies in exactly one
 block, and equal windows lie in blocks of the same anchor.
