@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.llm import (
-    decontaminate, language, mixing, near_dup, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
+    decontaminate, language, manifest, mixing, near_dup, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
 )
 from dawnchorus.llm.common import scratch_root
 
@@ -137,6 +137,10 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(n
 FROM timed"""
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -147,11 +151,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_quality_rules,
-        op7_toxicity, op8_language_id, op9_quality_classifier, op10_mixing, pipeline,
+        op7_toxicity, op8_language_id, op9_quality_classifier, op10_mixing, op13_merkle_manifest, pipeline,
     )
 }
 
 SQL = {
     "op1_secret_scan": sql.OP1, "op2_substring_dedup": sql.OP2, "op3_near_dedup": sql.OP3, "op5_decontaminate": sql.OP5,
-    "op6_quality_rules": sql.OP6, "op10_mixing": OP10_SQL,
+    "op6_quality_rules": sql.OP6, "op10_mixing": OP10_SQL, "op13_merkle_manifest": sql.OP13,
 }

@@ -154,3 +154,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words
        NOT base_failed AND NOT coalesce(dc > 0.3 OR dw > 0.45, false) AS kept,
        coalesce(CAST(round(dc * 10000) AS BIGINT), -1) AS char_distance, coalesce(CAST(round(dw * 10000) AS BIGINT), -1) AS word_distance
 FROM base LEFT JOIN nearest USING (r)"""
+
+# CRC-32 bit by bit: the character codes of the decimal id, each followed by eight shifts (-1).
+OP13 = r"""
+WITH RECURSIVE
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+           lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS crc
+  FROM documents),
+hashed AS (
+  SELECT r, doc_id, source, sha256(head || body) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN
+           sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+           ELSE sha256(head || body) END AS altered
+  FROM (SELECT *, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+                  || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                  || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+                  || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+               coalesce(octet_length(encode(text)) || ':' || text, '-') AS body FROM docs)),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM hashed),
+nodes(level, source, idx, n, h) AS (
+  SELECT 0, source, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, source, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1
+  GROUP BY level, source, idx // 16, n),
+subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+crown(level, idx, n, h) AS (
+  SELECT 0, idx, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM crown WHERE n > 1 GROUP BY level, idx // 16, n),
+steps AS (
+  SELECT l.r, a.level, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM leaves l
+  JOIN nodes a ON a.source IS NOT DISTINCT FROM l.source AND a.n > 1 AND a.idx = l.idx // CAST(16 ** a.level AS BIGINT)
+  JOIN nodes b ON b.source IS NOT DISTINCT FROM a.source AND b.level = a.level AND b.idx // 16 = a.idx // 16
+  GROUP BY l.r, a.level, a.idx
+  UNION ALL
+  SELECT l.r, 100 + a.level, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), ''),
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '')
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+  JOIN crown a ON a.n > 1 AND a.idx = s.idx // CAST(16 ** a.level AS BIGINT)
+  JOIN crown b ON b.level = a.level AND b.idx // 16 = a.idx // 16
+  GROUP BY l.r, a.level, a.idx),
+paths AS (
+  SELECT r, string_agg(before || after, '' ORDER BY level) AS proof,
+         list({'before': before, 'after': after} ORDER BY level) AS path FROM steps GROUP BY r),
+folds(r, i, path, h) AS (
+  SELECT l.r, 1, p.path, l.altered FROM leaves l LEFT JOIN paths p ON p.r = l.r
+  UNION ALL
+  SELECT r, i + 1, path, sha256(path[i].before || h || path[i].after) FROM folds WHERE i <= len(path)),
+found AS (
+  SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN paths p ON p.r = l.r
+  JOIN folds f ON f.r = l.r AND f.i = coalesce(len(p.path), 0) + 1)
+SELECT *, folded_root = root AS verified FROM found"""
