@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.llm import (
-    decontaminate, language, manifest, mixing, near_dup, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
+    alignment, decontaminate, language, manifest, mixing, near_dup, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
 )
 from dawnchorus.llm.common import scratch_root
 
@@ -137,6 +137,13 @@ SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(n
 FROM timed"""
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.alignment_report(_table(spark, sf_dir, "documents"), *paths)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(_table(spark, sf_dir, "documents"))
 
@@ -151,7 +158,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_quality_rules,
-        op7_toxicity, op8_language_id, op9_quality_classifier, op10_mixing, op13_merkle_manifest, pipeline,
+        op7_toxicity, op8_language_id, op9_quality_classifier, op10_mixing, op11_token_alignment,
+        op13_merkle_manifest, pipeline,
     )
 }
 
