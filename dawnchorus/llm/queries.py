@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dawnchorus.llm import (
-    alignment, decontaminate, language, manifest, mixing, near_dup, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
+    alignment, decontaminate, language, manifest, mixing, near_dup, pitman_yor, quality_model, quality_rules, secrets, sql, substring_dup, token_counts, toxicity,
 )
 from dawnchorus.llm.common import scratch_root
 
@@ -144,6 +144,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(_table(spark, sf_dir, "documents"), *paths)
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(_table(spark, sf_dir, "documents"))
 
@@ -159,7 +163,7 @@ QUERIES = {
     for f in (
         op1_secret_scan, op2_substring_dedup, op3_near_dedup, op4_token_counts, op5_decontaminate, op6_quality_rules,
         op7_toxicity, op8_language_id, op9_quality_classifier, op10_mixing, op11_token_alignment,
-        op13_merkle_manifest, pipeline,
+        op12_pitman_yor, op13_merkle_manifest, pipeline,
     )
 }
 
