@@ -152,7 +152,7 @@ def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, altered: dict
     crowns = ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest", F.lit(1).alias("copies")), ["name"], "copies")
     crowns = stored(crowns.drop("copies"), "manifest-subroots")
     upper = _levels(crowns)
-    root = (upper[-1] if upper else crowns).select(F.lit("").alias("tree"), F.col("digest").alias("root"))
+    root = (upper[-1] if upper else crowns).select("tree", F.col("digest").alias("root"))
     empty = F.array().cast(_PATH).alias("path")
     tops = _with_paths(crowns.withColumnRenamed("digest", "subroot"), upper, root.select("tree", "root", empty))
     tops = tops.select(F.col("name").alias("tree"), "subroot", "root", "path")

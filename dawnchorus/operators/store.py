@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -77,71 +81,212 @@ def known_windows(incoming: DataFrame, existing: DataFrame, key=WINDOW_KEY) -> D
     return incoming.join(existing.select(*key), list(key), "left_semi")
 
 
+def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Join on columns of the same names, null equal to null; only for semi and anti joins."""
+    left, right = left.alias("l"), right.alias("r")
+    return left.join(right, reduce(and_, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]), how)
+
+
+class ConcurrentAddition(RuntimeError):
+    """Another writer committed to the store first; nothing of the refused addition is visible."""
+
+
+LISTED = 10_000  # (addition, deployment) pairs that are named in a partition filter; beyond, they are joined
+
+
 class WindowStore:
-    """Parquet tables ``recordings`` and ``windows`` below one folder."""
+    """Recordings, windows and an index of them below one folder, added to in commits.
+
+    An addition writes three tables under an id of its own: ``windows`` by
+    deployment, ``recordings`` (those new to the store) and ``held`` (deployment,
+    recording_id, n_windows of all its windows). It becomes visible by one small
+    file in ``versions``, which names all additions up to it and is put in
+    place by a rename that fails if that version exists. So a failed addition
+    leaves the former store, both tables change at once, and of two writers that
+    started from the same version one is refused.
+
+    ``held`` says in which addition and deployment a recording has windows: only
+    those partitions are read to find a window again.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
 
-    def _path(self, table: str) -> str:
-        return os.path.join(self.root, table)
+    # -- versions ----------------------------------------------------------
+
+    def _path(self, *names: str) -> str:
+        return os.path.join(self.root, *names)
+
+    def _hadoop(self, path: str):
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The last committed version, 0 for an empty store."""
+        folder, files = self._hadoop(self._path("versions"))
+        if not files.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        return max([int(n) for n in names if n.isdigit()], default=0)
+
+    def additions(self, version: int | None = None) -> list[str]:
+        """Ids of the additions up to ``version`` (the last one), oldest first."""
+        version = self.version() if version is None else version
+        if version == 0:
+            return []
+        named = self.spark.read.text(self._path("versions", f"{version:020d}"), wholetext=True).first()
+        return json.loads(named["value"])["additions"]
+
+    def _commit(self, base: int, additions: list[str]) -> None:
+        """Make ``additions`` version ``base + 1``; refused if that version exists."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        final, files = self._hadoop(self._path("versions", f"{base + 1:020d}"))
+        draft, _ = self._hadoop(self._path("versions", f".{uuid.uuid4().hex}"))
+        out = files.create(draft, False)
+        out.write(json.dumps({"additions": additions}).encode())
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            files.makeQualified(draft).toUri(), self.spark._jsc.hadoopConfiguration()
+        )
+        # without OVERWRITE the rename fails where the target exists; HDFS and the like decide that atomically
+        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(files.makeQualified(draft), files.makeQualified(final), options)
+        except Exception as e:
+            files.delete(draft, False)
+            if files.exists(final):
+                raise ConcurrentAddition(f"version {base + 1} of {self.root} was written by another addition") from e
+            raise
 
-    def _read(self, table: str) -> DataFrame | None:
+    def remove_uncommitted(self) -> list[str]:
+        """Delete what failed additions left behind; not while another writer is at work. Their ids."""
+        known, gone = set(self.additions()), set()
+        for table in ("windows", "recordings", "held"):
+            folder, files = self._hadoop(self._path(table))
+            for f in files.listStatus(folder) if files.exists(folder) else []:
+                name = f.getPath().getName().removeprefix("addition=")
+                if name not in known:
+                    files.delete(f.getPath(), True)
+                    gone.add(name)
+        return sorted(gone)
+
+    # -- tables ------------------------------------------------------------
+
+    def _read(self, table: str, additions: list[str]) -> DataFrame | None:
+        folders = [self._path(table, f"addition={a}") for a in additions]
+        if not folders:
+            return None
+        reader = self.spark.read.option("basePath", self._path(table))
+        found = next((schema for schema in map(self._schema, folders) if schema is not None), None)
+        if found is None:  # additions without a single row of this table
+            return None
+        # partition values are text: a guessed type would turn 007 into 7
+        fields = [T.StructField(f.name, T.StringType() if f.name in ("deployment", "addition") else f.dataType) for f in found]
+        return reader.schema(T.StructType(fields)).parquet(*folders)
+
+    def _schema(self, folder: str) -> T.StructType | None:
         try:
-            found = self.spark.read.parquet(self._path(table)).schema
-            # partition values are text: a guessed type would turn 007 into 7
-            fields = [T.StructField(f.name, T.StringType() if f.name == "deployment" else f.dataType) for f in found]
-            return self.spark.read.schema(T.StructType(fields)).parquet(self._path(table))
+            return self.spark.read.option("basePath", os.path.dirname(folder)).parquet(folder).schema
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            if "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
 
+    def _table(self, table: str, version: int | None) -> DataFrame | None:
+        found = self._read(table, self.additions(version))
+        return None if found is None else found.drop("addition")
+
     @property
     def windows(self) -> DataFrame | None:
-        return self._read("windows")
+        return self._table("windows", None)
 
     @property
     def recordings(self) -> DataFrame | None:
-        return self._read("recordings")
+        return self._table("recordings", None)
+
+    def windows_at(self, version: int) -> DataFrame | None:
+        return self._table("windows", version)
+
+    def recordings_at(self, version: int) -> DataFrame | None:
+        return self._table("recordings", version)
 
     def exists(self) -> bool:
-        return self.recordings is not None
+        return self.version() > 0
 
-    def add(self, recordings: DataFrame, windows: DataFrame, duplicates: str = "error") -> None:
-        """Append recordings and windows, which carry a ``deployment`` column.
+    def counts(self) -> DataFrame:
+        """Windows per deployment and recording, from the index alone."""
+        held = self._read("held", self.additions())
+        if held is None:
+            return self.spark.createDataFrame([], "deployment string, recording_id long, n_windows long")
+        return held.groupBy("deployment", "recording_id").agg(F.sum("n_windows").alias("n_windows"))
+
+    def windows_of(self, ids: DataFrame, additions: list[str] | None = None) -> DataFrame | None:
+        """Stored windows of the recordings in ``ids`` (recording_id), from the partitions that hold any; None if none does.
+
+        The index is joined with the ids; the additions and deployments it
+        names become a filter on partitions, so no other file is opened.
+        """
+        additions = self.additions() if additions is None else additions
+        held = self._read("held", additions)
+        if held is None:
+            return None
+        known = held.join(ids.select("recording_id").distinct(), "recording_id", "left_semi").select("addition", "deployment", "recording_id")
+        places = known.select("addition", "deployment").distinct().limit(LISTED + 1).collect()
+        if not places:
+            return None
+        windows = self._read("windows", additions if len(places) > LISTED else sorted({p["addition"] for p in places}))
+        if len(places) <= LISTED:
+            named = [p["deployment"] for p in places]
+            among = F.col("deployment").isin([n for n in set(named) if n is not None])
+            windows = windows.where(among | F.col("deployment").isNull() if None in named else among)
+        known = known.select("deployment", "recording_id").distinct()
+        return join_on(windows, known, ["deployment", "recording_id"], "left_semi")
+
+    # -- additions ---------------------------------------------------------
+
+    def add(self, recordings: DataFrame, windows: DataFrame, duplicates: str = "error") -> int:
+        """Add recordings and windows, which carry a ``deployment`` column, as one version; the number of windows added.
 
         Windows of recordings new to the store go in as they are. For a known
         recording ``duplicates`` decides: ``error`` refuses windows already
-        held, ``skip`` leaves them out, ``allow`` adds them again.
+        held, ``skip`` leaves them out, ``allow`` adds them again. The checks
+        hold against the version the addition started from; if another writer commits
+        meanwhile, :class:`ConcurrentAddition` is raised and the call may be repeated.
         """
         if duplicates not in ("error", "skip", "allow"):
             raise ValueError("duplicates must be 'error', 'skip' or 'allow'")
-        held, held_recordings = self.windows, self.recordings
+        base = self.version()
+        before = self.additions(base)
         if duplicates == "error":
             twins = windows.groupBy(*WINDOW_KEY).count().where("count > 1").select(*WINDOW_KEY)
             require_none(twins, "windows repeated in the addition")
         elif duplicates == "skip":
             windows = windows.dropDuplicates(list(WINDOW_KEY))
-        if held is not None and held_recordings is not None and duplicates != "allow":
-            ids = windows.select("recording_id").distinct()
-            known = ids.join(held_recordings.select("recording_id"), "recording_id", "left_semi")
-            if not known.isEmpty():  # stored windows are read only for recordings that come again
-                of_known = held.join(known, "recording_id", "left_semi")
-                if duplicates == "error":
-                    again = known_windows(windows.select(*WINDOW_KEY), of_known)
-                    require_none(again, "windows already in the store")
-                else:
-                    windows = new_windows(windows, of_known)
+        of_known = self.windows_of(windows.select("recording_id"), before) if duplicates != "allow" else None
+        if of_known is not None:
+            if duplicates == "error":
+                again = known_windows(windows.select(*WINDOW_KEY), of_known)
+                require_none(again, "windows already in the store")
+            else:
+                windows = new_windows(windows, of_known)
         fresh = recordings.dropDuplicates(["recording_id"])
-        if held_recordings is not None:
-            fresh = fresh.join(held_recordings.select("recording_id"), "recording_id", "left_anti")
-        # Recordings first: after a failure between the two, the next attempt compares windows.
-        fresh.write.mode("append").parquet(self._path("recordings"))
-        windows = windows.repartitionByRange("deployment", "recording_id")  # few files per deployment
-        writer = windows.write.options(**parquet_options(windows)).mode("append")
-        writer.partitionBy("deployment").parquet(self._path("windows"))
+        stored = self._read("recordings", before)
+        if stored is not None:
+            fresh = fresh.join(stored.select("recording_id"), "recording_id", "left_anti")
+        name = uuid.uuid4().hex
+        fresh.write.parquet(self._path("recordings", f"addition={name}"))
+        counted = Observation()
+        out = windows.repartitionByRange("deployment", "recording_id")  # few files per deployment
+        out = out.observe(counted, F.count(F.lit(1)).alias("n"))
+        placed = self._path("windows", f"addition={name}")
+        out.write.options(**parquet_options(out)).partitionBy("deployment").parquet(placed)
+        own = self.spark.read.schema(out.schema).parquet(placed)
+        index = own.groupBy("deployment", "recording_id").agg(F.count(F.lit(1)).alias("n_windows"))
+        index.write.parquet(self._path("held", f"addition={name}"))
+        self._commit(base, [*before, name])
+        return counted.get["n"]
 
 
 def run_summary(windows: DataFrame, audio_s: float, elapsed_s: float) -> DataFrame:

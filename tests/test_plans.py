@@ -17,9 +17,9 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_pairing_joins_and_no_row_at_a_time_python(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
+@pytest.mark.parametrize("query", entry.REGISTERED, ids=lambda q: q.name)
+def test_no_pairing_joins_and_no_row_at_a_time_python(spark, sf_dir, query):
+    text = plan(query.run(spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,70 @@ def test_stream_adds_each_file_once(spark, tmp_path):
     windows(more, 4).join(more.drop("deployment"), "recording_id").write.mode("append").parquet(incoming)
     add_arrivals(spark, incoming, rows.schema, root, mark)
     assert kept.windows.count() == 8 and kept.recordings.count() == 2
+
+
+def test_known_recordings_open_only_their_partitions(spark, tmp_path):
+    kept = s.WindowStore(spark, str(tmp_path / "store"))
+    for site in "abcd":
+        recs = recordings(spark, f"{site}/1.wav", f"{site}/2.wav")
+        kept.add(recs, windows(recs))
+    ids = recordings(spark, "c/2.wav", "new/9.wav").select("recording_id")
+    found = kept.windows_of(ids)
+    assert found.count() == 3
+    text = found._jdf.queryExecution().executedPlan().toString()
+    (scan,) = [line for line in text.splitlines() if "FileScan" in line and "embedding" in line]
+    assert re.search(r"PartitionFilters: \[[^\]]*deployment#\d+ = c\b", scan)
+    assert {f.split("addition=")[1][:32] for f in found.inputFiles() if "/windows/" in f} == {kept.additions()[2]}
+    assert kept.windows_of(recordings(spark, "new/9.wav").select("recording_id")) is None
+
+
+def test_failure_between_the_tables_leaves_the_old_store(spark, tmp_path, monkeypatch):
+    kept = s.WindowStore(spark, str(tmp_path / "store"))
+    first = recordings(spark, "x/a.wav")
+    kept.add(first, windows(first))
+    more = recordings(spark, "y/b.wav")
+    broken = windows(more).withColumn("offset_s", F.raise_error(F.lit("boom")).cast("double"))
+    with pytest.raises(Exception, match="boom"):
+        kept.add(more, broken)
+    assert kept.version() == 1 and kept.recordings.count() == 1 and kept.windows.count() == 3
+    assert len(kept.remove_uncommitted()) == 1 and kept.remove_uncommitted() == []
+    kept.add(more, windows(more))
+    assert kept.version() == 2 and kept.recordings.count() == 2 and kept.windows.count() == 6
+    assert kept.windows_at(1).count() == 3 and kept.recordings_at(1).count() == 1
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    one, other = s.WindowStore(spark, root), s.WindowStore(spark, root)
+    a, b = recordings(spark, "x/a.wav"), recordings(spark, "y/b.wav")
+    commit = one._commit
+
+    def late(base, additions):
+        other.add(b, windows(b))  # commits while the first is still writing
+        commit(base, additions)
+
+    monkeypatch.setattr(one, "_commit", late)
+    with pytest.raises(s.ConcurrentAddition):
+        one.add(a, windows(a))
+    assert other.version() == 1 and other.recordings.select("source").collect()[0][0] == "y/b.wav"
+    monkeypatch.undo()
+    assert one.add(a, windows(a)) == 3
+    assert one.version() == 2 and one.windows.count() == 6
+
+
+def test_index_counts_windows(spark, tmp_path):
+    kept = s.WindowStore(spark, str(tmp_path / "store"))
+    assert kept.counts().count() == 0
+    both = recordings(spark, "x/a.wav", "b.wav")
+    assert kept.add(both, windows(both, 4)) == 8
+    assert kept.add(both, windows(both, 6), duplicates="skip") == 4
+    assert kept.add(both, windows(both, 6), duplicates="skip") == 0
+    assert {(r["deployment"], r["n_windows"]) for r in kept.counts().collect()} == {("x", 6), ("search_set", 6)}
+
+
+def test_null_deployments_are_found_again(spark, tmp_path):
+    kept = s.WindowStore(spark, str(tmp_path / "store"))
+    recs = recordings(spark, "x/a.wav").withColumn("deployment", F.lit(None).cast("string"))
+    kept.add(recs, windows(recs))
+    with pytest.raises(ValueError, match="already in the store"):
+        kept.add(recs, windows(recs))
