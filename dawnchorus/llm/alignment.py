@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,46 +29,82 @@ from dawnchorus.llm.common import stored
 
 PART_CHARS = 1 << 16  # longer texts are encoded in parts
 FAN_IN = 8  # fragments composed at a time
-BLOCK_LINKS = 1 << 21  # distinct links of documents that share a list of pairs
+BLOCK_LINKS = 1 << 20  # distinct links of documents that share a list of pairs
 _ENCODE_CHARS = 1 << 20  # characters given to a tokenizer at a time
 
 # A tokenizer never joins a character that is no white space with white space that follows it,
 # so a text may be cut there: before a space or line end, or only before a space that something follows.
-_CUT_A = re.compile(r"(?<=\S)[ \n]")
-_CUT_B = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
+_CUT_A = re.compile(r"(?<=\S)(?=[ \n])")
+_CUT_B = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
+#: How byte-level BPE cuts a text before merging. A fixed value.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_REMEMBERED = 200_000  # words of which the ids are kept
 
 
 @functools.cache
 def byte_level(path: str):
-    """A byte-level BPE file of the tokenizers library: (texts -> id lists, bytes of every id)."""
-    import os
+    """A byte-level BPE file of the tokenizers library: (text -> ids, bytes of every id).
 
-    from tokenizers import Tokenizer
+    The file's vocabulary and pattern are run by tiktoken, which is several times faster and
+    needs no object per token. It merges by lowest id, so the file's merges
+    must be in the order of their ids, and nothing but the byte-level pattern may cut the text.
+    """
+    import json
+
+    import tiktoken
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    model.no_truncation()
-    model.no_padding()
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told["pre_tokenizer"]
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes shown as themselves
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    pieces = [b""] * model.get_vocab_size()
-    for piece, at in model.get_vocab().items():
-        pieces[at] = bytes(shown[c] for c in piece) if all(c in shown for c in piece) else piece.encode()
-    return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)], pieces
+    special = {t["content"]: t["id"] for t in told["added_tokens"]}
+    ids = {p: i for p, i in model["vocab"].items() if p not in special}
+    merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    fit = merged == sorted(merged) and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+    if not fit or told["normalizer"] is not None:
+        raise ValueError(f"{path} isn't a plain byte-level BPE with merges in the order of their ids")
+    ranks = {bytes(shown[c] for c in p): i for p, i in ids.items()}
+    coder = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = [b""] * (max([*ids.values(), *special.values()]) + 1)
+    for piece, at in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+        pieces[at] = piece
+    return lambda text: coder.encode_to_numpy(text, disallowed_special=()).astype(np.int32), pieces
 
 
 @functools.cache
 def piece_model(path: str):
-    """A sentencepiece file with byte fallback, which puts a space first: (texts -> id lists, bytes of every id)."""
+    """A sentencepiece file with byte fallback, which puts a space first: (space and text -> ids or None, bytes of every id).
+
+    No piece holds a space after another character, so a text's ids are those
+    of its words one after the other, each with the spaces before it; frequent
+    words are remembered. None stands for a text that the ids don't spell.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [
-        bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
-        for i, p in enumerate(model.id_to_piece(list(range(model.get_piece_size()))))
-    ]
-    return lambda texts: model.encode(texts, num_threads=1), pieces
+    names = model.id_to_piece(list(range(model.get_piece_size())))
+    if any("▁" in p.lstrip("▁") for p in names):
+        raise ValueError(f"{path} has pieces with a space inside")
+    pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    known: dict[str, list[int] | None] = {}
+
+    def encode(text: str) -> np.ndarray | None:
+        words = _CUT_B.split(text)
+        fresh = [w for w in set(words) if w not in known] if len(words) > 1 else words
+        if len(words) > 1:
+            if len(known) + len(fresh) > _REMEMBERED:
+                known.clear()
+                fresh = list(set(words))
+            found = known
+        else:
+            found = {}  # a long run without a space is not worth keeping
+        for w, ids in zip(fresh, model.encode([w[1:] for w in fresh], num_threads=1), strict=True):
+            found[w] = ids if b"".join([pieces[i] for i in ids]) == w.encode() else None
+        ids = [found[w] for w in words]
+        return None if None in ids else np.fromiter(chain.from_iterable(ids), np.int32)
+
+    return encode, pieces
 
 
 @dataclass
@@ -172,17 +209,14 @@ def _encoded(path_a: str, path_b: str):
                 if low == high:
                     continue
                 rows = batch.slice(low, high - low)
-                where = [rows.column(c).to_pylist() for c in ("text", "a_from", "a_to", "b_from", "b_to")]
-                texts_a = [t[f:u] for t, f, u in zip(where[0], where[1], where[2], strict=True)]
-                texts_b = [t[f:u] for t, f, u in zip(where[0], where[3], where[4], strict=True)]
+                where = [rows.column(c).to_pylist() for c in ("text", "a_from", "a_to", "b_from", "b_to", "shift")]
                 found = []
-                for text_a, text_b, a, b, shift in zip(
-                    texts_a, texts_b, encode_a(texts_a), encode_b([t[1:] for t in texts_b]), rows.column("shift").to_pylist(), strict=True
-                ):
-                    same = b"".join([pieces_a[i] for i in a]) == text_a.encode() and b"".join([pieces_b[i] for i in b]) == text_b.encode()
+                for text, a_from, a_to, b_from, b_to, shift in zip(*where, strict=True):
+                    a, b = encode_a(text[a_from:a_to]), encode_b(text[b_from:b_to])
+                    same = b is not None and b"".join([pieces_a[i] for i in a.tolist()]) == text[a_from:a_to].encode()
                     if not same:
-                        a, b = [], []
-                    found.append((same, cut(np.array(a, np.int32), np.array(b, np.int32), lengths_a, lengths_b, shift)))
+                        a = b = np.zeros(0, np.int32)
+                    found.append((same, cut(a, b, lengths_a, lengths_b, shift)))
                 keep = [rows.column(c) for c in ("key", "doc_id", "part", "parts")]
                 yield _batch(keep, [v for v, _ in found], [f for _, f in found])
 
@@ -223,6 +257,29 @@ def _reduced(path_a: str, path_b: str):
     return run
 
 
+def _sources(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, part_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Texts to be encoded whole, and fragments composed of the parts of longer ones."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    size = F.char_length("text")
+    zero, one = F.lit(0), F.lit(1)
+    whole = source.where(size <= part_chars).select(
+        F.lit("").alias("key"), "doc_id", zero.alias("part"), one.alias("parts"), F.concat(F.lit(" "), "text").alias("text"),
+        zero.alias("a_from"), (size + 1).alias("a_to"), zero.alias("b_from"), (size + 1).alias("b_to"), zero.cast("long").alias("shift"),
+        size.alias("size"),
+    )
+    parts = source.where(size > part_chars).mapInArrow(_parted(part_chars, _arrow_type(docs, id_col)), _PARTS.format(id_type))
+    parts = stored(parts, "alignment-parts")
+    sized = parts.withColumn("size", F.char_length("text")).repartition("key", "part")
+    long = sized.mapInArrow(_encoded(path_a, path_b), _fields(id_type))
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    while most > 1:
+        long = long.groupBy("key", F.expr(f"part div {FAN_IN}").alias("run")).applyInArrow(_reduced(path_a, path_b), _fields(id_type))
+        most = -(-most // FAN_IN)
+    return whole, long
+
+
 def alignments(
     docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS
 ) -> DataFrame:
@@ -239,26 +296,8 @@ def alignments(
     this is called, encoded part by part and composed in rounds of ``FAN_IN``;
     a run of that many characters without a space stays in one part.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    text = F.col(f"`{text_col}`")
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    size = F.char_length("text")
-    zero, one = F.lit(0), F.lit(1)
-    whole = source.where(size <= part_chars).select(
-        F.lit("").alias("key"), "doc_id", zero.alias("part"), one.alias("parts"), F.concat(F.lit(" "), "text").alias("text"),
-        zero.alias("a_from"), (size + 1).alias("a_to"), zero.alias("b_from"), (size + 1).alias("b_to"), zero.cast("long").alias("shift"),
-    )
-    schema = _fields(id_type)
-    encode = _encoded(path_a, path_b)
-    sized = lambda df: df.withColumn("size", F.char_length("text"))
-    short = sized(whole).mapInArrow(encode, schema)
-    parts = source.where(size > part_chars).mapInArrow(_parted(part_chars, _arrow_type(docs, id_col)), _PARTS.format(id_type))
-    parts = stored(parts, "alignment-parts")
-    long = sized(parts.repartition("key", "part")).mapInArrow(encode, schema)
-    most = parts.agg(F.max("parts")).first()[0] or 1
-    while most > 1:
-        long = long.groupBy("key", F.expr(f"part div {FAN_IN}").alias("run")).applyInArrow(_reduced(path_a, path_b), schema)
-        most = -(-most // FAN_IN)
+    whole, long = _sources(docs, path_a, path_b, id_col, text_col, part_chars)
+    short = whole.mapInArrow(_encoded(path_a, path_b), _fields(docs.schema[id_col].dataType.simpleString()))
     found = short.unionByName(long)
     return found.select("doc_id", (F.col("valid") & (F.size("a") > 0)).alias("valid"), "a", "b", "sizes_a", "sizes_b")
 
@@ -332,7 +371,7 @@ def _blocks(path_a: str, path_b: str, id_type: pa.DataType):
         for batch in batches:
             for row in range(batch.num_rows):
                 doc = batch.column("doc_id")[row].as_py()
-                if not batch.column("valid")[row].as_py():
+                if not batch.column("valid")[row].as_py() or not len(batch.column("a")[row]):
                     held.append((doc, 0, 0, 0, 0, "", nothing, nothing))
                 else:
                     f = Fragment(*[_ints(batch.column(c), row) for c in ("a", "b", "sizes_a", "sizes_b")])
@@ -382,7 +421,9 @@ def _id_a(vocabulary_b: int) -> Column:
     return F.expr(f"pair div {vocabulary_b}")
 
 
-def alignment_report(docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alignment_report(
+    docs: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS
+) -> DataFrame:
     """Per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A link is a pair of overlapping tokens, a pair's count the rows that hold
@@ -391,8 +432,9 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, *, id_col: str =
     is one row a block. Rows without tokens have zeros and an empty digest.
     """
     id_type = _arrow_type(docs, id_col)
-    aligned = alignments(docs, path_a, path_b, id_col=id_col, text_col=text_col)
-    packed = aligned.mapInArrow(_blocks(path_a, path_b, id_type), _DOCS.format(docs.schema[id_col].dataType.simpleString()))
+    whole, long = _sources(docs, path_a, path_b, id_col, text_col, part_chars)
+    encode, pack, schema = _encoded(path_a, path_b), _blocks(path_a, path_b, id_type), _DOCS.format(docs.schema[id_col].dataType.simpleString())
+    packed = whole.mapInArrow(lambda batches: pack(encode(batches)), schema).unionByName(long.mapInArrow(pack, schema))
     packed = stored(packed, "alignment-blocks")
     listed = packed.where("pairs IS NOT NULL").select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("at", "held"))
     listed = listed.select("block", "at", F.col("held.pairs").alias("pair"), F.col("held.docs").alias("docs"))

@@ -23,7 +23,15 @@ def odd_texts():
 
 
 def plain(texts):
-    (encode_a, pieces_a), (encode_b, pieces_b) = al.byte_level(A), al.piece_model(B)
+    """The libraries' own tokens of whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    model_a, model_b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    model_a.encode_special_tokens = True
+    encode_a = lambda ts: [e.ids for e in model_a.encode_batch(ts, add_special_tokens=False)]
+    encode_b = model_b.encode
+    pieces_a, pieces_b = al.byte_level(A)[1], al.piece_model(B)[1]
     docs = []
     for t in texts:
         a, b = (encode_a([" " + t])[0], encode_b([t])[0]) if t else ([], [])
@@ -66,18 +74,29 @@ def plain(texts):
 
 
 @pytest.mark.parametrize("part_chars", [1 << 16, 64])
-def test_equals_a_plain_version(spark, part_chars, monkeypatch):
+def test_equals_a_plain_version(spark, part_chars):
     texts = odd_texts()
     rows = [(i if i != 7 else None, t, "a", 1, "p", 5, "k") for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, rows[12]], SCHEMA).repartition(3)
-    whole = al.alignments
-    monkeypatch.setattr(al, "alignments", lambda *a, **k: whole(*a, **k, part_chars=part_chars))
-    got = al.alignment_report(docs, A, B)
+    got = al.alignment_report(docs, A, B, part_chars=part_chars)
     got = got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()
     want = [(r[0], *p) for r, p in zip([*rows, rows[12]], plain([*texts, texts[12]]), strict=True)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_aligned_tokens_spell_the_text(spark):
+    texts = odd_texts()
+    docs = spark.createDataFrame([(i, t, "a", 1, "p", 5, "k") for i, t in enumerate(texts)], SCHEMA)
+    pieces = al.byte_level(A)[1], al.piece_model(B)[1]
+    for r in al.alignments(docs, A, B, part_chars=100).collect():
+        if r["valid"]:
+            spelled = [b"".join(p[i] for i in ids) for p, ids in zip(pieces, (r["a"], r["b"]), strict=True)]
+            assert spelled == [(" " + texts[r["doc_id"]]).encode()] * 2
+            assert sum(r["sizes_a"]) == len(r["a"]) and sum(r["sizes_b"]) == len(r["b"]) and r["sizes_a"][-1] == 0
+        else:
+            assert not texts[r["doc_id"]] or "▁" in texts[r["doc_id"]]
+
+
 def test_empty_table(spark):
     assert al.alignment_report(spark.createDataFrame([], SCHEMA), A, B).count() == 0
 
