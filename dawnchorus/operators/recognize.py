@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,15 @@ def score(
 ) -> DataFrame:
     """``embedding . beta + bias`` for each window and recognizer class.
 
-    A matrix product per Arrow batch and block of weights scores all
-    recognizers in one scan of the windows; only ``keep`` and the vector leave
-    the JVM. No rows are paired by a join and nothing is shuffled. Without
-    ``min_score`` there is a row for every window and class, as many as the
-    caller asks for. Windows without a vector give no row. Blocks are broadcast
-    one by one; the driver holds one of them, a task all. Recognizers of
-    several dimensions are an error before anything runs. The result has
-    ``keep``, classifier_name, label and score.
+    A blocked matrix product in one scan of the windows: a task gathers a block
+    of windows and multiplies it with one tile of weights after the other; only
+    ``keep`` and the vector leave the JVM. No rows are paired by a join and
+    nothing is shuffled. Without ``min_score`` there is a row for every window and
+    class, as many as the caller asks for. Windows without a vector give no
+    row. Tiles are fetched and broadcast one by one: the driver and a task hold
+    one of them and a block of windows, whatever the weights' size; the rest lies
+    on the executors' disks. Recognizers of several dimensions are an error before
+    anything runs. The result has ``keep``, classifier_name, label and score.
     """
     require_columns(windows, [*keep, vector], "windows")
     fields = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keep)
@@ -87,12 +89,26 @@ def score(
         found = sorted((r["classifier_name"], r["dimension"]) for r in sizes.collect())
         raise ValueError("; ".join(f"{n}: recognizer has dimension {d}" for n, d in found))
     context = windows.sparkSession.sparkContext
-    blocks = [context.broadcast(_block(rows)) for rows in weight_blocks(recognizers, block_bytes)]
+    tiles = [Tile(context.broadcast(_tile(rows))) for rows in weight_blocks(recognizers, block_bytes)]
     narrow = windows.where(F.col(vector).isNotNull()).select(*keep, vector)
-    return narrow.mapInArrow(_scorer(blocks, low, keep, vector, min_score, activation), schema)
+    return narrow.mapInArrow(_scorer(tiles, low, keep, vector, min_score, activation, block_bytes), schema)
 
 
-def _block(rows) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+class Tile:
+    """Weights of some recognizer classes, in a task's memory only while opened."""
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    @contextmanager
+    def opened(self, keep: bool = False):
+        """(beta, bias, names, labels); ``keep`` leaves them in memory for the next time."""
+        yield self.broadcast.value
+        if not keep:
+            vars(self.broadcast).pop("_value", None)  # read again from the executor's disk next time
+
+
+def _tile(rows) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
     beta = np.array([r["beta"] for r in rows], dtype="float64").T.copy()
     bias = np.array([r["bias"] for r in rows], dtype="float64")
     return beta, bias, [r["classifier_name"] for r in rows], [r["label"] for r in rows]
@@ -101,13 +117,16 @@ def _block(rows) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
 ROWS_OUT = 4_000_000  # scores held at once
 
 
-def _scorer(blocks, dimension, keep, vector, min_score, activation):
+def _scorer(tiles, dimension, keep, vector, min_score, activation, block_bytes=BROADCAST_BYTES):
     def fitting(batch):
         sizes = np.unique(batch.column(vector).value_lengths().to_numpy(zero_copy_only=False))
         if any(sizes != dimension):
-            names = sorted({n for b in blocks for n in b.value[2]})
+            names = set()
+            for tile in tiles:
+                with tile.opened() as (_, _, found, _):
+                    names |= set(found)
             wrong = f"recognizer has dimension {dimension}, embeddings have {sizes.tolist()}"
-            raise ValueError("; ".join(f"{n}: {wrong}" for n in names))
+            raise ValueError("; ".join(f"{n}: {wrong}" for n in sorted(names)))
 
     def scored(batch, beta, bias, names, labels):
         flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
@@ -122,13 +141,27 @@ def _scorer(blocks, dimension, keep, vector, min_score, activation):
             [*arrays, pa.array(scores[window, cls])], names=[*keep, "classifier_name", "label", "score"]
         )
 
-    def run(batches):
+    def blocks(batches):
+        """Batches gathered up to the bytes of a tile, so that each tile read is worth a whole block."""
+        held, size = [], 0
         for batch in batches:
             fitting(batch)
-            for block in blocks:
-                step = max(1, ROWS_OUT // len(block.value[2]))
-                for at in range(0, batch.num_rows, step):
-                    yield scored(batch.slice(at, step), *block.value)
+            held.append(batch)
+            size += batch.num_rows * dimension * 4
+            if len(tiles) == 1 or size >= block_bytes:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def run(batches):
+        for block in blocks(batches):
+            for tile in tiles:
+                with tile.opened(keep=len(tiles) == 1) as weights:
+                    step = max(1, ROWS_OUT // len(weights[2]))
+                    for batch in block:
+                        for at in range(0, batch.num_rows, step):
+                            yield scored(batch.slice(at, step), *weights)
 
     return run
 

@@ -326,16 +326,20 @@ def model_windows(
     window_s: float = WINDOW_S,
     hop_s: float = HOP_S,
     partitions: int | None = None,
+    batch_size: int | None = None,
+    frames: Callable[[int], int] | None = None,
 ) -> DataFrame:
     """Recordings to windows with vectors, each carrying its source.
 
     ``shard_samples`` adds a ``samples array<float>`` column to a table of
     shards (decoding audio is the caller's). The shuffle happens on the small
-    shard rows, before samples exist.
+    shard rows, before samples exist. With ``batch_size`` the model takes that many
+    shards a call, padded; ``frames`` tells a shard's own frames (:func:`infer`).
     """
     shards = spread_shards(shard_recordings(recordings), partitions)
     keys = ["recording_id", "source", "deployment", "shard_idx", "shard_offset_s"]
-    rows = infer(shard_samples(shards).select(*keys, "samples"), load_model, "samples", keys, with_logits)
+    rows = infer(shard_samples(shards).select(*keys, "samples"), load_model, "samples", keys, with_logits,
+                 batch_size=batch_size, frames=frames)
     per_shard = max(1, -int(-60.0 // hop_s))
     start = F.col("shard_offset_s") + F.col("t") * F.lit(float(hop_s))
     return rows.select(

@@ -282,8 +282,7 @@ def projection_model():
     return load
 
 
-@registry.add(
-    f"""SELECT vec_id, CAST(t AS INTEGER) AS t, 0 AS channel, embedding[t * 16 + 1] AS first_value,
+MODEL_SQL = f"""SELECT vec_id, CAST(t AS INTEGER) AS t, 0 AS channel, embedding[t * 16 + 1] AS first_value,
                round(max(CASE WHEN k = 0 THEN p END), 4) AS logit0,
                round(max(CASE WHEN k = 1 THEN p END), 4) AS logit1,
                round(max(CASE WHEN k = 2 THEN p END), 4) AS logit2
@@ -291,9 +290,36 @@ def projection_model():
                      CAST(CAST(list_dot_product(CAST(embedding[t * 16 + 1 : t * 16 + 16] AS DOUBLE[]), {WEIGHTS_SQL}) AS FLOAT) AS DOUBLE) AS p
               FROM embeddings, (SELECT unnest(generate_series(0, 3)) AS t), (SELECT unnest(generate_series(0, 2)) AS k))
         GROUP BY vec_id, embedding, t"""
-)
+
+
+@registry.add(MODEL_SQL)
 def model_batches(spark, sf_dir):
     """A caller's model applied in batches: embeddings and logits per window and channel."""
     rows = infer(b.table(spark, sf_dir, "embeddings"), projection_model(), "embedding", ["vec_id"], with_logits=True)
     logit = [F.round(F.get("logits", F.lit(k)).cast("double"), 4).alias(f"logit{k}") for k in range(3)]
     return rows.select("vec_id", "t", "channel", F.get("embedding", F.lit(0)).alias("first_value"), *logit)
+
+
+def block_model():
+    """The same for a block of shards at once."""
+
+    def load():
+        one = projection_model()()
+
+        def model(samples):
+            frames, logits = one(samples)  # the frames of all shards, one after the other
+            per_shard = samples.shape[1] // 16
+            return frames.reshape(len(samples), per_shard, 1, 16), {"label": logits["label"].reshape(len(samples), per_shard, 3)}
+
+        return model
+
+    return load
+
+
+@registry.add(MODEL_SQL)
+def model_blocks(spark, sf_dir):
+    """The model called once per 32 shards of a task; results split back to the shards."""
+    shards = b.table(spark, sf_dir, "embeddings")
+    rows = infer(shards, block_model(), "embedding", ["vec_id"], with_logits=True, batch_size=32, frames=lambda n: n // 16)
+    logit = [F.round(F.get("logits", F.lit(k)).cast("double"), 4).alias(f"logit{k}") for k in range(3)]
+    return rows.select("vec_id", "t", "channel", F.get("embedding", F.lit(0)).alias("first_value"), *logit)

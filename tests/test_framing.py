@@ -105,3 +105,45 @@ def test_key_names_need_not_be_identifiers(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "`my id` long, samples array<float>")
     got = infer(df, model_loader("deep"), "samples", ["my id"]).collect()
     assert [r["my id"] for r in got] == [1] * 4
+
+
+def block_model(folder, dim=2, hop=4):
+    """Frames of ``hop`` samples of a whole block; every call leaves a mark."""
+
+    def load():
+        import os
+        import uuid
+
+        import numpy as np
+
+        def model(samples):
+            open(os.path.join(folder, f"{samples.shape[0]}x{samples.shape[1]}-{uuid.uuid4().hex}"), "w").close()
+            n, t = samples.shape[0], samples.shape[1] // hop
+            cells = samples[:, : t * hop].reshape(n, t, 1, hop)
+            return cells[..., :dim], {"label": cells[:, :, 0].sum(axis=2, keepdims=True)}
+
+        return model
+
+    return load
+
+
+@pytest.mark.parametrize("shards,size", [(70, 32), (64, 32), (3, 32), (5, 1)])
+def test_one_call_per_block_of_shards(spark, tmp_path, shards, size):
+    rows = [(i, [float(i)] * (4 * (1 + i % 3) + i % 2)) for i in range(shards)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id int, samples array<float>").coalesce(1)
+    got = infer(df, block_model(str(tmp_path)), "samples", ["id"], True, batch_size=size, frames=lambda n: n // 4).collect()
+    calls = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(calls) == -(-shards // size) and {c.split("x")[0] for c in calls} == {str(size)}
+    want = {(i, t): (0, [float(i)] * 2, [4.0 * i]) for i in range(shards) for t in range(1 + i % 3)}
+    assert {(r["id"], r["t"]): (r["channel"], r["embedding"], r["logits"]) for r in got} == want and len(got) == len(want)
+
+
+def test_blocks_of_a_given_length(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0] * 8)], "id int, samples array<float>")
+    got = infer(df, block_model(str(tmp_path)), "samples", ["id"], batch_size=4, length=20).collect()
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["4x20"]
+    assert [r["embedding"] for r in got] == [[1.0, 1.0]] * 2 + [[0.0, 0.0]] * 3  # without frames, all are given
+    with pytest.raises(Exception, match="more than the block"):
+        infer(df, block_model(str(tmp_path)), "samples", ["id"], batch_size=4, length=4).collect()
+    with pytest.raises(ValueError):
+        infer(df, block_model(str(tmp_path)), "samples", ["id"], batch_size=0)

@@ -116,3 +116,50 @@ def test_model_sized_weights(spark):
     want = (emb.astype("float64") @ beta.T.astype("float64") + np.float32(0.1)).sum(axis=0)
     for i in range(40):
         assert got[f"c{i}"] == pytest.approx(want[i], rel=1e-9)
+
+
+def test_a_task_opens_one_tile_at_a_time():
+    """Tiles are opened once per block of windows and never two at once."""
+    import contextlib
+
+    import pyarrow as pa
+
+    opened = []
+
+    class Counted:
+        now = 0
+
+        def __init__(self, at):
+            self.at = at
+
+        @contextlib.contextmanager
+        def opened(self, keep=False):
+            assert not keep and Counted.now == 0
+            Counted.now += 1
+            opened.append(self.at)
+            yield np.eye(2)[:, [self.at]], np.zeros(1), ["r"], [f"c{self.at}"]
+            Counted.now -= 1
+
+    def batch(k, n):
+        values = pa.array([[float(k), float(i)] for i in range(n)], pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array([k] * n), values], ["w", "embedding"])
+
+    run = r._scorer([Counted(0), Counted(1)], 2, ["w"], "embedding", None, None, block_bytes=100)
+    out = list(run(iter([batch(k, 8) for k in range(5)])))
+    assert sum(b.num_rows for b in out) == 5 * 8 * 2
+    assert opened == [0, 1, 0, 1, 0, 1]  # blocks of 16 windows: two batches, two, one
+    assert {(b["w"][0].as_py(), b["label"][0].as_py()): b["score"][0].as_py() for b in out}[(3, "c0")] == 3.0
+
+
+def test_many_tiles_equal_one(spark):
+    rng = np.random.default_rng(5)
+    beta, emb = rng.normal(size=(60, 16)), rng.normal(size=(300, 16))
+    recs = spark.createDataFrame(
+        [(f"m{i % 7}", i, f"c{i}", beta[i].tolist(), 0.1) for i in range(60)],
+        "classifier_name string, class_idx int, label string, beta array<float>, bias float",
+    )
+    df = spark.createDataFrame([(i, emb[i].tolist()) for i in range(300)], "w int, embedding array<float>").repartition(3)
+    one = {(x["w"], x["label"]): x["score"] for x in r.score(df, recs, ["w"]).collect()}
+    many = {(x["w"], x["label"]): x["score"] for x in r.score(df, recs, ["w"], block_bytes=600).collect()}
+    assert len(list(r.weight_blocks(recs, 600))) > 10 and len(one) == 18_000
+    assert many == pytest.approx(one, rel=1e-12)
