@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dawnchorus.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measured, parquet_options, written
+from dawnchorus.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measured, parquet_options, row_bytes, written
 
 SORT_FIRST = ("source", "offset")
 PROVENANCE = "provenance"
+_RANGE = "range number"
 
 
 def deduplicate(rows: DataFrame, key: tuple[str, ...] | None = None) -> DataFrame:
@@ -61,22 +63,79 @@ def sort_keys(rows: DataFrame) -> list:
     return keys + [F.col(c) for c in rest]
 
 
+TASK_BYTES = 32 * 1024 * 1024  # of rows as Spark holds them; a range holds about that much
+TASK_ROWS = 50_000  # narrow rows are dealt to all cores from this many on
+KEYS_PER_RANGE = 100  # sampled keys that a range's borders follow from
+
+
+def _range_key(rows: DataFrame) -> Column:
+    """The sort key as one value that ascends with it."""
+    names = [c for c in ("dest", *SORT_FIRST) if c in rows.columns]
+    keys = [F.col(c).alias(c) for c in names]
+    if "score" in rows.columns:
+        keys.append((-F.col("score")).alias("score"))
+    rest = [f.name for f in rows.schema.fields if f.name in ("channel", "classifier_name", "label") and f.name not in names]
+    return F.struct(*keys, *[F.col(c).alias(c) for c in rest])
+
+
+def ranges_of(rows: DataFrame, partitions: int | None = None) -> tuple[int, str | None]:
+    """How many ranges the rows are dealt to, and the lowest keys of all but the first, as JSON.
+
+    Only key columns are read: the rows are counted, then a sample of keys, a
+    hundred per range, is sorted. Vectors are looked at in a few rows, for their size.
+    """
+    total = rows.count()
+    if partitions is None:
+        few = rows.limit(50)
+        width = few.agg(F.avg(row_bytes(few))).first()[0] or 0
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, math.ceil(total * width / TASK_BYTES), min(cores, total // TASK_ROWS))
+    if partitions == 1 or total == 0:
+        return 1, None
+    keys = rows.select(_range_key(rows).alias("key"))
+    share = min(1.0, partitions * KEYS_PER_RANGE / total)
+    sample = (keys if share == 1.0 else keys.sample(share, seed=11)).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    step = F.size("keys") / F.lit(partitions)
+    borders = F.transform(F.sequence(F.lit(1), F.lit(partitions - 1)), lambda i: F.get("keys", F.floor(step * i).cast("int")))
+    return partitions, sample.where(F.size("keys") > 0).select(F.to_json(borders)).first()[0]
+
+
+def range_number(rows: DataFrame, partitions: int, borders: str | None) -> Column:
+    """The range of each row: how many borders are not above its key, by binary search in one literal."""
+    if borders is None:
+        return F.lit(0)
+    key = _range_key(rows)
+    kind = rows.select(key.alias("key")).schema["key"].dataType
+    held = F.from_json(F.lit(borders), T.ArrayType(kind))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        below = F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(F.get(held, middle) <= key, above).otherwise(below)
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(partitions - 1).alias("high"))
+    return F.aggregate(F.array_repeat(F.lit(0), (partitions - 1).bit_length()), whole, halved, lambda s: s["low"])
+
+
 def arrange(
     rows: DataFrame,
     partitions: int | None = None,
     encode: Callable[[DataFrame], DataFrame] | None = None,
+    like: DataFrame | None = None,
 ) -> DataFrame:
-    """Range-partition by destination and sort key, then sort inside each partition.
+    """Deal rows out by ranges of destination and sort key, then sort inside each.
 
     Small destinations share a task and give one file each; a destination (or a
     source) that holds most rows is split over many tasks, and its files follow
-    each other in key order. Spark samples the input to find the ranges, so it
-    should be a stored table or follow a shuffle; ``encode`` runs behind the
-    shuffle, out of the sampling's way.
+    each other in key order. The ranges come from a sample of the key columns of
+    ``like`` (``rows`` before a costly step, or ``rows`` itself), so wide columns are read
+    once, for the shuffle. ``encode`` runs behind the shuffle.
     """
     keys = sort_keys(rows)
-    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    return (encode(ranged) if encode else ranged).sortWithinPartitions(*keys)
+    n, borders = ranges_of(rows if like is None else like, partitions)
+    placed = rows.withColumn(_RANGE, range_number(rows, n, borders)).repartitionById(n, F.col(_RANGE)).drop(_RANGE)
+    return (encode(placed) if encode else placed).sortWithinPartitions(*keys)
 
 
 def with_provenance(rows: DataFrame, facts: dict[str, str] | None) -> DataFrame:
@@ -117,7 +176,7 @@ def publish(
     """
     if filetype not in ("parquet", "csv"):
         raise ValueError(f"unsupported file type {filetype!r}")
-    out = arrange(deduplicate(rows) if dedupe else rows, partitions, encode)
+    out = arrange(deduplicate(rows) if dedupe else rows, partitions, encode, like=rows)
     if project is not None:
         out = project(out)
     writer = (

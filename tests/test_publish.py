@@ -120,3 +120,44 @@ def test_provenance_in_the_footer(spark, tmp_path):
 def test_unknown_file_type(spark):
     with pytest.raises(ValueError, match="unsupported"):
         p.publish(rows(spark, 3), "/tmp/x", "json")
+
+
+def test_ranges_are_even_and_in_order(spark):
+    """A third of the rows in one destination, many of them in one source: all ranges of like size, in key order."""
+    df = rows(spark, 20_000).distinct()
+    got = p.arrange(df, partitions=8).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in got.groupBy("part").count().orderBy("part").collect()]
+    assert len(sizes) == 8 and sum(sizes) == 20_000 and max(sizes) < 2 * min(sizes)
+    listed = [(r["part"], r["dest"], r["source"], r["offset"]) for r in got.collect()]
+    assert [x[1:] for x in sorted(listed)] == sorted(x[1:] for x in listed)
+
+
+def test_range_keys_may_be_null(spark):
+    df = spark.createDataFrame(
+        [(None if i % 5 == 0 else f"d{i % 3}", None if i % 7 == 0 else f"s{i % 11}", i * 0.5) for i in range(500)],
+        "dest string, source string, offset double",
+    )
+    got = p.arrange(df, partitions=5).withColumn("part", F.spark_partition_id()).collect()
+    order = [(r["part"], (r["dest"] is not None, r["dest"] or ""), (r["source"] is not None, r["source"] or ""), r["offset"]) for r in got]
+    assert len(order) == 500 and [x[1:] for x in sorted(order)] == sorted(x[1:] for x in order)
+
+
+def test_vectors_are_computed_once(spark, tmp_path):
+    """The ranges come from the keys: an export evaluates each vector a single time (and those of a few rows for their size)."""
+    mark = spark.sparkContext.accumulator(0)
+
+    def vectors(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            mark.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[1.0] * 8] * b.num_rows, pa.list_(pa.float32()))], ["id", "embedding"])
+
+    wide = spark.range(2000).mapInArrow(vectors, "id long, embedding array<float>")
+    keyed = spark.range(2000).select("id", F.lit("d").alias("dest"), F.concat(F.lit("s"), F.col("id") % 9).alias("source"), (F.col("id") * 5.0).alias("offset"))
+    df = keyed.join(wide, "id").drop("id")
+    out = p.arrange(df, partitions=4, like=keyed)
+    assert mark.value == 0
+    out.write.mode("overwrite").parquet(str(tmp_path / "o"))
+    assert mark.value == 2000
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2000
