@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dawnchorus.sinks.tree import write_tree
 from dawnchorus.sizing import BROADCAST_BYTES, BROADCAST_ROWS, measured, parquet_options, row_bytes, written
 
 SORT_FIRST = ("source", "offset")
@@ -164,9 +165,14 @@ def publish(
     project: Callable[[DataFrame], DataFrame] | None = None,
     partitions: int | None = None,
     max_records_per_file: int = 0,
+    tree: bool = False,
 ) -> None:
     """Write ``rows`` (with a ``dest`` column) below ``root``, one folder per destination.
 
+    With ``tree`` a destination is a file at its own path (a folder of parts where
+    several tasks wrote it) and ``provenance`` are keys of the Parquet footers
+    (:mod:`dawnchorus.sinks.tree`); otherwise it is a folder ``dest=<path>``.
+
     ``encode`` may call Python and runs before the final sort, ``project`` only
     selects column expressions and runs after it.
 
@@ -179,6 +185,11 @@ def publish(
     out = arrange(deduplicate(rows) if dedupe else rows, partitions, encode, like=rows)
     if project is not None:
         out = project(out)
+    if tree:
+        write_tree(out, root, filetype, provenance)
+        if filetype == "csv":
+            _write_facts(rows.sparkSession, root, provenance)
+        return
     writer = (
         with_provenance(out, provenance)
         .write.mode("overwrite")

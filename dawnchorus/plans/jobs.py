@@ -31,13 +31,14 @@ from dawnchorus.sizing import written
 
 @dataclass(frozen=True)
 class Output:
-    """Where and how one kind of table is published."""
+    """Where and how one kind of table is published; ``tree`` puts files at the rendered paths themselves."""
 
     root: str
     filetype: str = "parquet"
     template: str | None = None
     layout: str | None = None
     provenance: dict[str, str] = field(default_factory=dict)
+    tree: bool = False
 
     @property
     def path_template(self) -> str:
@@ -158,7 +159,7 @@ def export_embeddings(
     else:
         width = first_width(windows, "embedding")
         late = {"project": lambda df: format_vectors(df, table_format, width)}
-    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done, **late)
+    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done, tree=output.tree, **late)
 
 
 # --- classification -------------------------------------------------------
@@ -230,7 +231,7 @@ def export_classification(
     narrow = found.select(*_carried(found, "recording_id", "channel", "offset_s", "species", "score"))
     narrow, done = _distinct_before_join(narrow, mapped)
     rows = detection_rows(narrow, mapped, smap, output.path_template, output.filetype)
-    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
+    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done, tree=output.tree)
 
 
 # --- recognizers ----------------------------------------------------------
@@ -291,7 +292,7 @@ def run_recognizers(
     else:
         narrow, done = _distinct_before_join(narrow, mapped)
     rows = recognizer_rows(narrow, mapped, smap, output.path_template, output.filetype)
-    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done)
+    publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done, tree=output.tree)
 
 
 def _require_safe_destinations(rows: DataFrame, dest: Column) -> None:

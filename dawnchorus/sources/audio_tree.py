@@ -19,48 +19,84 @@ AUDIO_EXTENSIONS = (".wav", ".flac", ".mp3", ".ogg")
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
 
 
+_LEVEL = "path string, source string, outside boolean"
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All audio files below ``root``: path, source (relative), depth, length.
+    """All audio files below ``root``, each once: path, source (relative), depth, length.
 
     Spark's file sources pass over names that start with ``_`` or ``.``, which
     recordings may have. Folders are therefore listed by tasks, one level of
     the tree at a time; each level is written, so no listing reaches the driver.
-    Links to folders are followed. The extension test ignores case.
+    The extension test ignores case.
+
+    Links to folders outside the tree are followed, each such folder once however
+    many links lead to it; folders of the tree itself are listed in their own
+    place only, so a link to a parent or a neighbour adds nothing and no circle is walked.
     """
     if not re.match(_SCHEME, root):
         root = os.path.abspath(root)
-    level = spark.createDataFrame([(root, "")], "path string, source string")
-    levels = []
+    home = _identity(root)
+    level = spark.createDataFrame([(root, "", False)], _LEVEL)
+    levels, seen = [], None
     while True:
-        listed = written(level.mapInArrow(_entries, "path string, source string, length long, folder boolean"))
+        listed = written(level.mapInArrow(_lister(home), "path string, source string, length long, folder boolean, identity string"))
         levels.append(listed.where("NOT folder").select("path", "source", "length"))
-        folders = listed.where("folder").select("path", "source")
-        if folders.isEmpty():
+        folders = listed.where("folder")
+        level = folders.where("identity IS NULL").select("path", "source", F.lit(False).alias("outside"))
+        reached = folders.where("identity IS NOT NULL")
+        if not reached.isEmpty():
+            first = reached.groupBy("identity").agg(F.min_by(F.struct("path", "source"), "path").alias("at"))
+            fresh = first if seen is None else first.join(seen, "identity", "left_anti")
+            fresh = written(fresh.select("identity", "at.path", "at.source"))
+            ids = fresh.select("identity")
+            seen = ids if seen is None else seen.unionByName(ids)
+            level = level.unionByName(fresh.select("path", "source", F.lit(True).alias("outside")))
+        if level.isEmpty():
             break
-        level = folders.repartition("path")
+        level = level.repartition("path")
     return with_depth(audio_only(functools.reduce(DataFrame.unionByName, levels)))
 
 
-def _entries(batches):
-    """Files and folders directly below each folder of a batch."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    names = ["path", "source", "length", "folder"]
-    for batch in batches:
-        for path, source in zip(batch.column("path").to_pylist(), batch.column("source").to_pylist()):
-            system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), _plain(path))
-            found = system.get_file_info(fs.FileSelector(inside))
-            for at in range(0, len(found), 10_000):
-                some = found[at : at + 10_000]
-                columns = [
-                    [f"{path.rstrip('/')}/{f.base_name}" for f in some],
-                    [f"{source}/{f.base_name}".lstrip("/") for f in some],
-                    [f.size for f in some],
-                    [f.type == fs.FileType.Directory for f in some],
-                ]
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+def _identity(path: str) -> str | None:
+    """Where a path of this machine's file system leads when all links are followed; other systems have no links."""
+    return None if re.match(_SCHEME, path) and not path.startswith("file:") else os.path.realpath(_plain(path))
+
+
+def _lister(home: str | None):
+    """Files and folders directly below each folder of a batch.
+
+    ``identity`` is null for a folder in its own place in the tree; for one
+    that a link leads to, outside the tree, it is the folder's real path.
+    Folders of the tree that are met through a link, and links that lead nowhere, are left out.
+    """
+
+    def strange(inside: str, outside: bool) -> str | None:
+        """The identity of a folder met through a link."""
+        return os.path.realpath(inside) if home is not None and (outside or os.path.islink(inside)) else None
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        names = ["path", "source", "length", "folder", "identity"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+        for batch in batches:
+            for path, source, outside in zip(*[batch.column(c).to_pylist() for c in ("path", "source", "outside")], strict=True):
+                system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), _plain(path))
+                found = [f for f in system.get_file_info(fs.FileSelector(inside)) if f.type != fs.FileType.NotFound]
+                for at in range(0, len(found), 10_000):
+                    rows = []
+                    for f in found[at : at + 10_000]:
+                        folder = f.type == fs.FileType.Directory
+                        real = strange(f.path, outside) if folder else None
+                        if real is not None and (real == home or real.startswith(home.rstrip("/") + "/")):
+                            continue
+                        rows.append((f"{path.rstrip('/')}/{f.base_name}", f"{source}/{f.base_name}".lstrip("/"), f.size, folder, real))
+                    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return run
 
 
 def _plain(path: str) -> str:

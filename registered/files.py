@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dawnchorus.functions import text
 from dawnchorus.operators import framing, publish, routing, sourcemap, store
 from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
+from dawnchorus.sinks import tree as tree_sink
 from dawnchorus.sizing import scratch_folder
 from dawnchorus.sources import audio_tree
 
@@ -153,13 +154,14 @@ SUPPLIER_FILES_SQL = """supplier_files AS (
 
 
 def _write_files(batches):
-    import os
+    from pyarrow import fs
 
     for batch in batches:
         for row in batch.to_pylist():
-            os.makedirs(os.path.dirname(row["path"]), exist_ok=True)
-            with open(row["path"], "w") as f:
-                f.write(row["body"])
+            system, path = fs.FileSystem.from_uri(row["path"]) if "://" in row["path"] else (fs.LocalFileSystem(), row["path"])
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(row["body"].encode())
         yield batch.select(["path"])
 
 
@@ -520,6 +522,67 @@ def published_csv(spark, sf_dir):
     return publish.read_published(spark, root, "csv", RESULTS)
 
 
+def _by_path(spark, root, filetype, schema=None):
+    """The published files read by their own paths."""
+    from functools import reduce
+
+    dests = ("classify_results.csv", "final/classify_results.csv")
+    tables = [tree_sink.read_destination(spark, root, d, filetype, schema).withColumn("dest", F.lit(d)) for d in dests]
+    return reduce(lambda x, y: x.unionByName(y), tables)
+
+
+@registry.add(with_ctes("SELECT DISTINCT * FROM result_rows", RESULT_ROWS_SQL))
+def published_tree(spark, sf_dir):
+    """Result rows as Parquet files at their destinations, read back by path."""
+    root = scratch_folder(spark)
+    publish.publish(result_rows(spark, sf_dir), root, "parquet", tree=True)
+    return _by_path(spark, root, "parquet")
+
+
+@registry.add(with_ctes("SELECT DISTINCT * FROM result_rows", RESULT_ROWS_SQL))
+def published_tree_csv(spark, sf_dir):
+    """The same as CSV files."""
+    from dawnchorus.schemas import RESULTS
+
+    root = scratch_folder(spark)
+    publish.publish(result_rows(spark, sf_dir), root, "csv", tree=True)
+    return _by_path(spark, root, "csv", RESULTS)
+
+
+def _footers(batches):
+    """Key-value metadata of Parquet files, Spark's and Arrow's own keys left out."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+            with system.open_input_file(inside) as f:
+                found = pq.read_metadata(f).metadata
+            keys = [k.decode() for k in found if not k.startswith((b"ARROW", b"org.apache"))]
+            values = [found[k.encode()].decode() for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+
+
+@registry.add(
+    with_ctes(
+        """SELECT name, CAST(CASE name WHEN 'n_rows' THEN n ELSE d END AS VARCHAR) AS value
+           FROM (SELECT count(*) AS n, count(DISTINCT dest) AS d FROM result_rows),
+                (VALUES ('n_rows'), ('n_dests')) k(name)""",
+        RESULT_ROWS_SQL,
+    )
+)
+def published_footers(spark, sf_dir):
+    """Facts about the rows as key-value metadata in the footer of every published Parquet file."""
+    rows = result_rows(spark, sf_dir)
+    n, d = rows.agg(F.count(F.lit(1)), F.count_distinct("dest")).first()
+    root = scratch_folder(spark)
+    publish.publish(rows, root, "parquet", {"n_rows": str(n), "n_dests": str(d)}, tree=True)
+    files = spark.createDataFrame([(f,) for f in _by_path(spark, root, "parquet").inputFiles()], "path string")
+    return files.mapInArrow(_footers, "name string, value string").distinct()
+
+
 @registry.add(
     with_ctes("SELECT count(*) AS n_files, count(*) > 1 AS refused FROM audio_files", b.AUDIO_FILES_SQL)
 )

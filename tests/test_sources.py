@@ -27,6 +27,28 @@ def test_listing(spark, tree):
     assert df.agg(F.sum("length")).first()[0] == 42
 
 
+def test_links_add_no_file_twice(spark, tree, tmp_path):
+    """Links to the tree, its parent, a neighbour, one another; links out of the tree, two to the same folder; a broken one."""
+    far = tmp_path / "far"
+    (far / "in").mkdir(parents=True)
+    for name in ("f.wav", "in/g.wav"):
+        (far / name).write_bytes(b"x")
+    plain = names(a.list_tree(spark, tree))
+    for name, target in {"loop": tree, "one/up": str(tmp_path), "one/beside": os.path.join(tree, "two"), "two/round": os.path.join(tree, "two", "round"),
+                         "gone": str(tmp_path / "nowhere"), "one/alias.wav": os.path.join(tree, "one", "a.wav")}.items():
+        os.symlink(target, os.path.join(tree, name))
+    found = names(a.list_tree(spark, tree))
+    assert [f for f in found if not f.startswith("one/up/")] == sorted([*plain, "one/alias.wav"])
+    assert [f for f in found if f.startswith("one/up/")] == ["one/up/far/f.wav", "one/up/far/in/g.wav"]
+    os.unlink(os.path.join(tree, "one/up"))
+    os.symlink(str(far), os.path.join(tree, "x1"))
+    os.symlink(str(far / "in"), os.path.join(tree, "two/x2"))
+    os.symlink(str(far), os.path.join(tree, "one/x3"))
+    found = names(a.list_tree(spark, tree))
+    assert sorted(f.rsplit("/", 1)[1] for f in found if f.endswith(("f.wav", "g.wav"))) == ["f.wav", "g.wav"]
+    assert "x1/f.wav" in found and len(found) == len(set(found)) == len(plain) + 3
+
+
 def test_depth_rule(spark, tree):
     kept, glob, skipped = a.at_shallowest_depth(a.list_tree(spark, tree))
     assert (names(kept), glob, skipped) == (["_two/.e.wav", "one/a.wav", "one/b.FLAC", "one/with space.Wav", "two/c.mp3"], "*/*", 1)
