@@ -31,12 +31,13 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 _LOWER[ord("0") : ord("9") + 1] = ord("0")
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram that ends at each byte (shorter ones at the start of the slice)."""
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram that ends at each byte; shorter ones at the start of each text, none reaches over it."""
     codes = _LOWER[data]
     packed = codes.copy()
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, GRAM):
-        packed[k:] |= codes[:-k] << np.uint32(8 * k)
+        packed[k:] |= np.where(place[k:] >= k, codes[:-k] << np.uint32(8 * k), np.uint32(0))
     return (packed * np.uint32(2654435769)) >> np.uint32(32 - BITS)
 
 
@@ -46,7 +47,7 @@ def _counter(languages: str):
         for batch in batches:
             langs = np.array(batch.column(languages).to_pylist(), dtype=object)
             for row, end, data, offsets in W.text_slices(batch.column("text")):
-                grams = _grams(data)
+                grams = _grams(data, offsets)
                 for lang in set(langs[row:end]):
                     held = counts.setdefault(lang, np.zeros(1 << BITS, dtype=np.int64))
                     own = np.repeat(langs[row:end] == lang, np.diff(offsets))
@@ -94,19 +95,22 @@ def mixtures(likely: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tupl
 
 
 def choose(likely: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: strongest language, its proportion, and proportions within the chosen set."""
+    """Per text: strongest language, its proportion, and proportions within the chosen set.
+
+    Each text's set grows by its next strongest language for as long as that pays, whatever its neighbours do.
+    """
     texts, count = len(first) - 1, likely.shape[1]
     free, _ = mixtures(likely, first, np.ones((texts, count)))
     rank = np.argsort(np.argsort(-free, axis=1, kind="stable"), axis=1, kind="stable")
     penalty = PENALTY * np.log(np.diff(first) + 1.0)
-    best, chosen = np.full(texts, -np.inf), np.zeros((texts, count))
+    best, chosen, growing = np.full(texts, -np.inf), np.zeros((texts, count)), np.ones(texts, dtype=bool)
     for size in range(1, count + 1):
         share, fit = mixtures(likely, first, (rank < size).astype(float))
         value = fit - penalty * (size - 1)
-        better = value > best
-        best[better], chosen[better] = value[better], share[better]
-        if not better.any():
+        growing &= value > best
+        if not growing.any():
             break
+        best[growing], chosen[growing] = value[growing], share[growing]
     strongest = chosen.argmax(axis=1)
     return strongest, free[np.arange(texts), strongest], chosen
 
@@ -124,7 +128,7 @@ def _predictor(names: list[str], table: np.ndarray):
                 first = np.concatenate([[0], np.cumsum(size)])
                 text = np.repeat(np.arange(len(some)), size)
                 at = offsets[some][text] + (np.arange(first[-1]) - first[text]) * SEGMENT
-                likely = np.add.reduceat(table[_grams(data)], at, axis=0).astype(np.float64) / GRAM
+                likely = np.add.reduceat(table[_grams(data, offsets)], at, axis=0).astype(np.float64) / GRAM
                 strongest, share, chosen = choose(likely, first)
                 for i, t in enumerate(some):
                     lang[row + t] = names[strongest[i]]

@@ -25,6 +25,7 @@ SCHEDULES = (
     ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)),
 )
 BUDGET_PERCENT, MOST_TIMES = 150, 2
+ROW = "row of the mix"
 BINS = 4096  # parts of a source in which running sums are taken apart
 
 
@@ -101,10 +102,12 @@ def _share_of(copy: Column, size: Column, total: Column) -> Column:
 def mixture(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, budget_percent: int = BUDGET_PERCENT,
-    most_times: int = MOST_TIMES, seed: int = 7,
+    most_times: int = MOST_TIMES, seed: int = 7, row_key: str | None = None,
 ) -> DataFrame:
     """Per row of ``docs``, in training order: doc_id, source, size, source_size, target, taken, positions.
 
+    With ``row_key``, a column of ``docs``, that column under its name comes last.
+
     ``size`` is the number of words. Within a source documents are ordered by
     a digest of seed, id and text; the source's words are taken in that order,
     as often as its target holds them, the last document in part, so that the
@@ -119,6 +122,7 @@ def mixture(
         docs.select(
             F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), _n_words(text).alias("size"),
             F.md5(F.concat_ws("|", F.lit(str(seed)), ident, F.md5(text))).alias("turn"),
+            *([F.col(f"`{row_key}`").alias(ROW)] if row_key else []),
         ).withColumn("bin", (F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * BINS / F.lit(1 << 32)).cast("int")),
         "sizes",
     )
@@ -152,9 +156,34 @@ def mixture(
     placed = placed.withColumn("positions", positions)
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
     out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", first.alias("first"), "turn")
+    if row_key:  # the caller joins and sorts
+        return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", F.col(ROW).alias(row_key))
     return out.repartitionByRange("first", "turn").sortWithinPartitions("first", "turn").drop("first", "turn")
 
 
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """All columns of ``docs`` with size, source_size, target, taken and positions, in training order.
+
+    The documents are written once with a key per row, by which the mix of the narrow
+    columns is joined back: ids may be null or repeat. Documents are then dealt out by
+    the time of their first copy, which the mix spreads evenly over words; those
+    that are not taken stand last. A column of ``docs`` that has the name of one of
+    the mix's keeps it, the mix's is then called ``mix_`` and its name.
+    """
+    rows = stored(docs.withColumn(ROW, F.expr("uuid()")), "mixed")
+    mixed = mixture(rows, text_col=text_col, row_key=ROW, **options)
+    names = {n: f"mix_{n}" if n in docs.columns else n for n in ("size", "source_size", "target", "taken", "positions")}
+    mixed = mixed.select(F.col(ROW).alias("mixed row"), *[F.col(n).alias(f"mixed {n}") for n in names])
+    joined = rows.join(mixed, F.col(ROW) == F.col("mixed row")).drop("mixed row")
+    first = F.get("mixed positions", F.lit(0))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    late = F.pmod(F.xxhash64(ROW), F.lit(parts))
+    place = F.when(first.isNull(), late + parts).otherwise(F.least(F.floor(first * parts), F.lit(parts - 1))).cast("int")
+    placed = joined.withColumn("mixed place", place).repartitionById(2 * parts, F.col("mixed place"))
+    ordered = placed.withColumn("mixed first", F.coalesce(first, F.lit(2.0))).sortWithinPartitions("mixed first", ROW)
+    return ordered.drop("mixed place", "mixed first", ROW).withColumnsRenamed({f"mixed {n}": to for n, to in names.items()})
+
+
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy of a document, range-sorted by training position: doc_id, source, copy, position."""
     rows = mixed.select("doc_id", "source", F.posexplode("positions").alias("copy", "position"))

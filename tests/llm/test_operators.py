@@ -281,6 +281,69 @@ def test_languages(spark, docs, rows, nothing, sf_dir):
     assert right.first()[0] > 0.95
 
 
+def test_a_language_follows_from_the_text_alone(spark, sf_dir):
+    """Short and long texts in any order and any number of partitions: the same model, the same rows."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    cut = real.withColumn("text", F.expr("substring(text, 1, 12)")).withColumn("doc_id", F.col("doc_id") + 100_000)
+    rows = real.unionByName(cut)
+    want = {}
+    for order, parts in ((F.col("doc_id"), 1), (F.md5(F.col("doc_id").cast("string")), 3), (F.desc("doc_id"), 7)):
+        found = language.languages(rows.orderBy(order).coalesce(1) if parts == 1 else rows.repartitionByRange(parts, order)).collect()
+        got = {r.doc_id: (r.lang_pred, round(r.score, 9), r.languages) for r in found}
+        want = want or got
+        assert got == want
+
+
+def test_language_table_equals_plain_counts(spark):
+    """No n-gram reaches over the start of a text, in learning either."""
+    texts = [("ab", "x"), ("Ca7", "x"), ("", "y"), ("éa", "y"), (None, "y"), ("ab", None)]
+    names, table = language.learn(spark.createDataFrame(texts, "text string, lang string").fillna("", ["text"]).coalesce(1))
+    want = {n: np.full(1 << language.BITS, 0.5) for n in ("x", "y")}
+    for text, lang in texts:
+        data = [48 if 48 <= b <= 57 else b for b in (text or "").lower().encode()]
+        for i in range(len(data)):
+            packed = sum(data[i - k] << (8 * k) for k in range(min(i + 1, language.GRAM)))
+            if lang:
+                want[lang][(packed * 2654435769 % (1 << 32)) >> (32 - language.BITS)] += 1
+    assert names == ["x", "y"]
+    for k, n in enumerate(names):
+        assert np.allclose(table[:, k], np.log(want[n]) - np.log(want[n].sum()), atol=1e-5)
+
+
+def test_language_sets_equal_plain_search(spark):
+    """Expectation-maximisation and the growing set, text by text, in plain loops."""
+    import math
+
+    rng = random.Random(9)
+    for _ in range(25):
+        n, k = rng.randrange(1, 30), 4
+        likely = np.array([[-rng.random() * 60 for _ in range(k)] for _ in range(n)])
+
+        def em(allowed, likely=likely, n=n, k=k):
+            share = [1 / len(allowed) if j in allowed else 0.0 for j in range(k)]
+            for _ in range(language.ROUNDS):
+                total = [0.0] * k
+                for row in likely.tolist():
+                    part = [share[j] * math.exp(row[j] - max(row)) + 1e-300 for j in range(k)]
+                    total = [t + p / sum(part) for t, p in zip(total, part, strict=True)]
+                kept = [total[j] / n if j in allowed else 0.0 for j in range(k)]
+                share = [x / sum(kept) for x in kept]
+            return share, sum(math.log(sum(share[j] * math.exp(r[j] - max(r)) for j in range(k)) + 1e-300) + max(r) for r in likely.tolist())
+
+        free, _ = em(range(k))
+        order = sorted(range(k), key=lambda j: (-free[j], j))
+        best, chosen = -math.inf, None
+        for size in range(1, k + 1):
+            share, fit = em(order[:size])
+            value = fit - language.PENALTY * math.log(n + 1) * (size - 1)
+            if value <= best:
+                break
+            best, chosen = value, share
+        strongest, share, sets = language.choose(likely, np.array([0, n]))
+        assert np.allclose(sets[0], chosen, atol=1e-6) and strongest[0] == int(np.argmax(chosen))
+        assert share[0] == pytest.approx(free[strongest[0]], abs=1e-6)
+
+
 def test_mixtures_find_both_languages():
     likely = np.array([[-10.0, -30.0, -40.0]] * 30 + [[-30.0, -10.0, -40.0]] * 10)
     strongest, share, chosen = language.choose(likely, np.array([0, 40]))
@@ -288,6 +351,22 @@ def test_mixtures_find_both_languages():
     assert (chosen[0] > 0).tolist() == [True, True, False]
 
 
+def test_documents_come_back_with_their_mix(docs, rows, nothing):
+    """Every row with all its columns, once, null and repeated ids too; the clashing column keeps its name."""
+    got = mixing.mixed_documents(docs)
+    assert set(docs.columns) <= set(got.columns) and "mix_size" in got.columns
+    found = got.collect()
+    assert sorted((str(r.doc_id), str(r.text), r.size) for r in found) == sorted((str(r[0]), str(r[1]), 1) for r in rows)
+    mix = sorted((str(r.doc_id), r.mix_size, r.taken) for r in found)
+    assert mix == sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mixture(docs).collect())
+    first = [r.positions[0] for r in found if r.positions]
+    assert first == sorted(first) and not any(r.positions for r in found[len(first):])
+    assert mixing.mixed_documents(nothing).count() == 0
+    order = mixing.training_order(mixing.mixture(docs)).collect()
+    assert len(order) == sum(len(r.positions) for r in found)
+    assert [r.position for r in order] == sorted(r.position for r in order)
+
+
 def test_resampling(docs, rows, labels, nothing):
     found = quality_model.resampled(docs, labels, share=0.3)
     got = found.collect()

@@ -44,4 +44,12 @@ def test_pipeline_decisions(spark, sf_dir):
     dirty = {d for d, *_ in brute.contained(rows, items)}
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in rows if d not in dirty)
     out = corpus_pipeline.run(spark, sf_dir)
-    assert 0 < out.count() <= len(before)
+    assert set(docs.columns) <= set(out.columns)
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in clean.collect()} & {r.doc_id for r in rows} and 0 < len(rows) <= len(before)
+    texts = dict(before)
+    for r in rows:  # every kept document has its text, in which no secret is left
+        assert r.text is not None and (r.text == texts[r.doc_id] or brute.base_spans(texts[r.doc_id]))
+        assert not brute.base_spans(r.text)
+    first = [r.positions[0] for r in rows if r.positions]
+    assert first == sorted(first) and not any(r.positions for r in rows[len(first):])
