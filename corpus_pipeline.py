@@ -35,8 +35,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words taken and training positions of every document, in training order."""
-    return mixing.mixture(docs)
+    """Every document with the words taken of it and its training positions, in training order."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
