@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ SHARD_S = 60.0
 MIN_AUDIO_S = 1.0
 WINDOW_S = 5.0
 HOP_S = 5.0
+SHARDS_PER_TASK = 512  # some eight and a half hours of audio
 BLOCK = 4096  # shards generated from one row, so that no array grows with a recording
 
 
@@ -49,11 +52,13 @@ def spread_shards(shards: DataFrame, partitions: int | None = None) -> DataFrame
     Shard rows are small, so this shuffle is cheap. Ranges of deployment,
     recording and shard split a recording that holds much of the audio, and
     leave each task with few deployments, hence few files in the store. The
-    number of tasks is fixed: by their bytes the rows would be merged into a
+    number of tasks follows the number of shards, ``SHARDS_PER_TASK`` each, and is no less
+    than the session's: by their bytes the rows would be merged into a
     handful of tasks, although the work behind each is large.
     """
     if partitions is None:
-        partitions = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(least, math.ceil(shards.count() / SHARDS_PER_TASK))
     keys = [c for c in ("deployment", "recording_id", "shard_idx") if c in shards.columns]
     return shards.repartitionByRange(partitions, *keys)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from dawnchorus import shared
 from dawnchorus.checks import require_none
 from dawnchorus.functions.text import first_folder
 from dawnchorus.sizing import parquet_options
@@ -118,17 +119,9 @@ class WindowStore:
     def _path(self, *names: str) -> str:
         return os.path.join(self.root, *names)
 
-    def _hadoop(self, path: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def version(self) -> int:
         """The last committed version, 0 for an empty store."""
-        folder, files = self._hadoop(self._path("versions"))
-        if not files.exists(folder):
-            return 0
-        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        names = shared.names(self.spark, self._path("versions"))
         return max([int(n) for n in names if n.isdigit()], default=0)
 
     def additions(self, version: int | None = None) -> list[str]:
@@ -136,40 +129,23 @@ class WindowStore:
         version = self.version() if version is None else version
         if version == 0:
             return []
-        named = self.spark.read.text(self._path("versions", f"{version:020d}"), wholetext=True).first()
-        return json.loads(named["value"])["additions"]
+        return json.loads(shared.read_text(self.spark, self._path("versions", f"{version:020d}")))["additions"]
 
     def _commit(self, base: int, additions: list[str]) -> None:
         """Make ``additions`` version ``base + 1``; refused if that version exists."""
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        final, files = self._hadoop(self._path("versions", f"{base + 1:020d}"))
-        draft, _ = self._hadoop(self._path("versions", f".{uuid.uuid4().hex}"))
-        out = files.create(draft, False)
-        out.write(json.dumps({"additions": additions}).encode())
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            files.makeQualified(draft).toUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        # without OVERWRITE the rename fails where the target exists; HDFS and the like decide that atomically
-        options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(files.makeQualified(draft), files.makeQualified(final), options)
-        except Exception as e:
-            files.delete(draft, False)
-            if files.exists(final):
-                raise ConcurrentAddition(f"version {base + 1} of {self.root} was written by another addition") from e
-            raise
+            shared.put_once(self.spark, self._path("versions", f"{base + 1:020d}"), json.dumps({"additions": additions}))
+        except FileExistsError as e:
+            raise ConcurrentAddition(f"version {base + 1} of {self.root} was written by another addition") from e
 
     def remove_uncommitted(self) -> list[str]:
         """Delete what failed additions left behind; not while another writer is at work. Their ids."""
         known, gone = set(self.additions()), set()
         for table in ("windows", "recordings", "held"):
-            folder, files = self._hadoop(self._path(table))
-            for f in files.listStatus(folder) if files.exists(folder) else []:
-                name = f.getPath().getName().removeprefix("addition=")
-                if name not in known:
-                    files.delete(f.getPath(), True)
-                    gone.add(name)
+            for name in shared.names(self.spark, self._path(table)):
+                if name.removeprefix("addition=") not in known:
+                    shared.delete(self.spark, self._path(table, name))
+                    gone.add(name.removeprefix("addition="))
         return sorted(gone)
 
     # -- tables ------------------------------------------------------------
@@ -246,7 +222,7 @@ class WindowStore:
 
     # -- additions ---------------------------------------------------------
 
-    def add(self, recordings: DataFrame, windows: DataFrame, duplicates: str = "error") -> int:
+    def add(self, recordings: DataFrame, windows: DataFrame, duplicates: str = "error", addition: str | None = None) -> int:
         """Add recordings and windows, which carry a ``deployment`` column, as one version; the number of windows added.
 
         Windows of recordings new to the store go in as they are. For a known
@@ -254,11 +230,14 @@ class WindowStore:
         held, ``skip`` leaves them out, ``allow`` adds them again. The checks
         hold against the version the addition started from; if another writer commits
         meanwhile, :class:`ConcurrentAddition` is raised and the call may be repeated.
+        ``addition`` names the addition: one that the store already holds is not repeated.
         """
         if duplicates not in ("error", "skip", "allow"):
             raise ValueError("duplicates must be 'error', 'skip' or 'allow'")
         base = self.version()
         before = self.additions(base)
+        if addition is not None and addition in before:
+            return 0
         if duplicates == "error":
             twins = windows.groupBy(*WINDOW_KEY).count().where("count > 1").select(*WINDOW_KEY)
             require_none(twins, "windows repeated in the addition")
@@ -275,20 +254,31 @@ class WindowStore:
         stored = self._read("recordings", before)
         if stored is not None:
             fresh = fresh.join(stored.select("recording_id"), "recording_id", "left_anti")
-        name = uuid.uuid4().hex
-        fresh.write.parquet(self._path("recordings", f"addition={name}"))
+        name = addition or uuid.uuid4().hex
+        fresh.write.mode("overwrite").parquet(self._path("recordings", f"addition={name}"))
         counted = Observation()
         out = windows.repartitionByRange("deployment", "recording_id")  # few files per deployment
         out = out.observe(counted, F.count(F.lit(1)).alias("n"))
         placed = self._path("windows", f"addition={name}")
-        out.write.options(**parquet_options(out)).partitionBy("deployment").parquet(placed)
+        out.write.options(**parquet_options(out)).partitionBy("deployment").mode("overwrite").parquet(placed)
         own = self.spark.read.schema(out.schema).parquet(placed)
         index = own.groupBy("deployment", "recording_id").agg(F.count(F.lit(1)).alias("n_windows"))
-        index.write.parquet(self._path("held", f"addition={name}"))
+        index.write.mode("overwrite").parquet(self._path("held", f"addition={name}"))
         self._commit(base, [*before, name])
         return counted.get["n"]
 
 
+def summary_of(recordings: DataFrame, n_windows: int, elapsed_s: float) -> DataFrame:
+    """The same from the recordings' lengths and a number of windows counted while they were written."""
+    audio = recordings.agg(F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("audio_s"))
+    return audio.select(
+        F.lit(int(n_windows)).cast("long").alias("windows"),
+        "audio_s",
+        F.lit(float(elapsed_s)).alias("elapsed_s"),
+        F.when(F.col("audio_s") > 0, F.lit(float(elapsed_s)) / F.nullif(F.col("audio_s") / 3600, F.lit(0.0))).alias("elapsed_s_per_audio_hour"),
+    )
+
+
 def run_summary(windows: DataFrame, audio_s: float, elapsed_s: float) -> DataFrame:
     """Windows produced, audio length, elapsed time, time per hour of audio."""
     hours = F.lit(float(audio_s)) / 3600

@@ -8,12 +8,15 @@ vectors or logits.
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dawnchorus import shared
+from dawnchorus.checks import SHOWN
 from dawnchorus.functions.vectors import as_float32, first_width, pack, widen
 from dawnchorus.operators import classify, labels, publish, recognize, routing, store
 from dawnchorus.operators.framing import HOP_S, WINDOW_S, shard_recordings, spread_shards
@@ -26,7 +29,8 @@ from dawnchorus.operators.sourcemap import (
     require_mapped,
     require_pattern_for_many,
 )
-from dawnchorus.sizing import written
+from dawnchorus.plans.ledger import Ledger, NoLedger, fingerprint, run_key
+from dawnchorus.sizing import scratch_below, written, written_counted
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,7 @@ class Output:
 
 
 WINDOW_KEY = ("recording_id", "channel", "offset_s")
+Translation = Callable[[DataFrame], DataFrame]
 
 
 def mapped_recordings(recordings: DataFrame, smap: SourceMap | None, extra=EXTRA_COLUMNS) -> DataFrame:
@@ -72,17 +77,55 @@ def _distinct_before_join(rows: DataFrame, mapped: DataFrame, key=None) -> tuple
     return publish.deduplicate(rows, key), True
 
 
-def _carried(df: DataFrame, *columns: str) -> list[str]:
-    """The named columns, and ``source`` where the rows carry it."""
-    return [*columns, *(["source"] if "source" in df.columns and "source" not in columns else [])]
+def _carried(df: DataFrame, *columns: str, kind: str = "") -> list[str]:
+    """The named columns, ``source`` where the rows carry it, and the route of one kind of table (:func:`routed`)."""
+    names = [c for c in ("source", "mapped_source", f"dest_{kind}", *_extra_carried(df)) if c in df.columns]
+    return [*columns, *[n for n in names if n not in columns]]
+
+
+_EXTRA = "extra_"  # extra columns of a source, as rows carry them
+_CLASSIFIER = "\x01"  # stands for the recognizer's name in a route made before it is known
+
+
+def _extra_carried(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(_EXTRA)]
+
+
+def routed(
+    recordings: DataFrame,
+    smap: SourceMap | None = None,
+    embed: Output | None = None,
+    classification: Output | None = None,
+    recognition: Output | None = None,
+    table_format: str = "serialized",
+    extra=EXTRA_COLUMNS,
+) -> DataFrame:
+    """Recordings with their published source, extra columns and destinations.
+
+    :func:`model_windows` hands these columns on to the windows, so that paths and file-name
+    patterns are worked out once per recording and not once per window.
+    """
+    mapped = map_sources(recordings.select("recording_id", "source"), smap, extra)
+    names = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
+    out = mapped.withColumnsRenamed({n: _EXTRA + n for n in names})
+    source = F.col("source")
+    if embed is not None:
+        dest = routing.destination(source, embed.path_template, "embeddings", embed.filetype, table_format)
+        out = out.withColumn("dest_embeddings", dest)
+    if classification is not None:
+        out = out.withColumn("dest_classify", routing.destination(source, classification.path_template, "classify", classification.filetype))
+    if recognition is not None:
+        dest = routing.destination(source, recognition.path_template, "recognizer", recognition.filetype, classifier_name=F.lit(_CLASSIFIER))
+        out = out.withColumn("dest_recognizer", dest)
+    return recordings.join(out.drop("source"), "recording_id")
 
 
 def place(
-    rows: DataFrame, mapped: DataFrame, smap: SourceMap | None, dest_of: Callable[[Column], Column]
+    rows: DataFrame, mapped: DataFrame, smap: SourceMap | None, dest_of: Callable[[Column], Column], kind: str
 ) -> DataFrame:
     """Add ``dest``, ``mapped_source`` and the extra columns; drop the plain source.
 
-    Rows that carry their source need no join: the columns are expressions of
+    Rows that carry their route (:func:`routed`) have them already. Rows that carry their source need no join: the columns are expressions of
     it, and vectors aren't shuffled to meet the recordings. Other rows are
     joined by recording id, with everything rendered once per recording before;
     so are rows whose file-name pattern needs Python.
@@ -90,6 +133,14 @@ def place(
     extras = [c for c in mapped.columns if c not in ("recording_id", "source", "mapped_source")]
     source = F.col("source")
     smap = smap or SourceMap()
+    if {"mapped_source", f"dest_{kind}"} <= set(rows.columns) and {_EXTRA + n for n in extras} <= set(rows.columns):
+        dest = F.col(f"dest_{kind}")
+        if "classifier_name" in rows.columns:
+            dest = F.replace(dest, F.lit(_CLASSIFIER), F.col("classifier_name"))
+        unused = [n for n in _extra_carried(rows) if n.removeprefix(_EXTRA) not in extras]
+        named = rows.withColumn("dest", dest).drop("source", f"dest_{kind}", *unused)
+        return named.withColumnsRenamed({_EXTRA + n: n for n in extras})
+    rows = rows.drop("mapped_source", f"dest_{kind}", *_extra_carried(rows))
     if "source" in rows.columns and smap.compiled:
         found = smap.extra_columns(source, extras)
         columns = {"mapped_source": smap.mapped(source), "dest": dest_of(source)}
@@ -112,10 +163,10 @@ def embedding_rows(
     filetype: str = "parquet",
 ) -> DataFrame:
     """dest, source, channel, offset and the vector as an array."""
-    narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding"))
+    narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding", kind="embeddings"))
     named = place(
         narrow, mapped, smap,
-        lambda source: routing.destination(source, template, "embeddings", filetype, table_format),
+        lambda source: routing.destination(source, template, "embeddings", filetype, table_format), "embeddings",
     )
     return named.select(
         "dest",
@@ -151,7 +202,7 @@ def export_embeddings(
     mapped = _checked_recordings(windows, recordings, smap, ())
     dest = routing.destination(F.col("source"), output.path_template, "embeddings", output.filetype, table_format)
     _require_safe_destinations(mapped, dest)
-    narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding"))
+    narrow = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "embedding", kind="embeddings"))
     narrow, done = _distinct_before_join(_flatten(narrow, flatten_channel), mapped, WINDOW_KEY)
     rows = embedding_rows(narrow, mapped, smap, table_format, output.path_template, output.filetype)
     if table_format == "serialized":
@@ -176,18 +227,44 @@ def known_species(species: DataFrame, classes: DataFrame) -> DataFrame:
     return listed
 
 
+def translated_species(species: DataFrame, translate: Translation, label_space: str = "classes") -> DataFrame:
+    """A species list in the classes' names, each once at its first place: (raw, item_ord).
+
+    ``translate`` maps the list (raw, item_ord) to (raw, label), as the
+    translations of :mod:`dawnchorus.operators.labels` do. Entries it has no label
+    for are left out with a warning; a list of which nothing is left is an error.
+    """
+    listed = species.where(F.length(F.trim("raw")) > 0)
+    ordered = listed if "item_ord" in listed.columns else listed.withColumn("item_ord", F.lit(0))
+    found = written(translate(ordered).select("raw", "label"))
+    labels.require_any(found, label_space)
+    missed = labels.unmatched(ordered, found).select("raw", "item_ord").orderBy("item_ord").limit(SHOWN + 1).collect()
+    if missed:
+        shown = ", ".join(repr(r["raw"]) for r in missed[:SHOWN])
+        more = " and more" if len(missed) > SHOWN else ""
+        warnings.warn(f"species list entries unknown to {label_space}: {shown}{more}", UserWarning, stacklevel=2)
+    return labels.translated_list(ordered, found).select(F.col("label").alias("raw"), "item_ord")
+
+
 def detections(
     windows: DataFrame,
     classes: DataFrame,
     threshold: float = classify.DEFAULT_THRESHOLD,
     top_n: int | None = classify.DEFAULT_TOP_N,
     species: DataFrame | None = None,
+    translate: Translation | None = None,
 ) -> DataFrame:
-    """Staged detections from windows with a logit array, in one pass over the logits."""
+    """Staged detections from windows with a logit array, in one pass over the logits.
+
+    ``translate`` brings the species list into the classes' names before it is
+    validated (:func:`translated_species`); without it, entries are class names.
+    """
     width = classes.count()
-    kept = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "logits"))
+    kept = windows.select(*_carried(windows, "recording_id", "channel", "offset_s", "logits", kind="classify"))
     allowed = None
     if species is not None:
+        if translate is not None:
+            species = translated_species(species, translate)
         allowed = classify.allowed_classes(classes, known_species(species, classes))
     found = classify.top_classes(kept, "logits", threshold, top_n, allowed, width)
     named = classify.name_classes(found, classes)
@@ -203,7 +280,7 @@ def detection_rows(
 ) -> DataFrame:
     """dest, source, channel, offset, label, score and the extra columns."""
     known = found.where(F.col("recording_id").isNotNull())
-    named = place(known, mapped, smap, lambda source: routing.destination(source, template, "classify", filetype))
+    named = place(known, mapped, smap, lambda source: routing.destination(source, template, "classify", filetype), "classify")
     return classify.classify_table(named)
 
 
@@ -228,7 +305,7 @@ def export_classification(
     _require_safe_destinations(mapped, dest)
     if flatten_channel or "channel" not in found.columns:
         found = found.withColumn("channel", F.lit(0))
-    narrow = found.select(*_carried(found, "recording_id", "channel", "offset_s", "species", "score"))
+    narrow = found.select(*_carried(found, "recording_id", "channel", "offset_s", "species", "score", kind="classify"))
     narrow, done = _distinct_before_join(narrow, mapped)
     rows = detection_rows(narrow, mapped, smap, output.path_template, output.filetype)
     publish.publish(rows, output.root, output.filetype, output.provenance, dedupe=not done, tree=output.tree)
@@ -253,7 +330,7 @@ def recognizer_rows(
             source, template, "recognizer", filetype, classifier_name=F.col("classifier_name")
         )
 
-    return classify.result_table(place(scored, mapped, smap, dest_of), "label")
+    return classify.result_table(place(scored, mapped, smap, dest_of, "recognizer"), "label")
 
 
 def run_recognizers(
@@ -275,7 +352,7 @@ def run_recognizers(
     """
     recognize.require_unique_names(recognizers)
     mapped = _checked_recordings(windows, recordings, smap)
-    keep = _carried(windows, *WINDOW_KEY)
+    keep = _carried(windows, *WINDOW_KEY, kind="recognizer")
     scored = recognize.score(windows, recognizers, keep, "embedding", min_score, activation)
     scored = written(scored)
     pairs = scored.select("recording_id", "classifier_name").distinct()
@@ -338,7 +415,8 @@ def model_windows(
     shards a call, padded; ``frames`` tells a shard's own frames (:func:`infer`).
     """
     shards = spread_shards(shard_recordings(recordings), partitions)
-    keys = ["recording_id", "source", "deployment", "shard_idx", "shard_offset_s"]
+    route = _route_columns(recordings)
+    keys = ["recording_id", "source", "deployment", "shard_idx", "shard_offset_s", *route]
     rows = infer(shard_samples(shards).select(*keys, "samples"), load_model, "samples", keys, with_logits,
                  batch_size=batch_size, frames=frames)
     per_shard = max(1, -int(-60.0 // hop_s))
@@ -353,6 +431,7 @@ def model_windows(
         (start + F.lit(float(window_s))).alias("end_s"),
         "embedding",
         *(["logits"] if with_logits else []),
+        *route,
     )
 
 
@@ -373,6 +452,9 @@ def analyze(
     store_root: str | None = None,
     duplicates: str = "error",
     stage: bool = True,
+    translate: Translation | None = None,
+    work: str | None = None,
+    resume: str | None = None,
 ) -> DataFrame:
     """Any of the three exports over one window table; returns the run summary.
 
@@ -382,6 +464,13 @@ def analyze(
     are a stored table already. With ``store_root`` the windows are added to
     that store; the embedding and recognizer tables then cover all of it, the
     classification only the windows of this run.
+
+    ``work`` is the folder for scratch tables (by default the session's
+    ``spark.checkpoint.dir``); those of this call are deleted at its end.
+    ``resume`` names the run's model and settings that the arguments don't show:
+    finished steps are then noted below ``work``, under a key made of it, the
+    tables and the options, and a repeated call after a failure does only the rest, on
+    the windows already staged, which stay in ``work`` until every step is done.
     """
     if embed is None and classification is None and recognition is None:
         raise ValueError("nothing to do: ask for embeddings, classification or recognizers")
@@ -389,21 +478,56 @@ def analyze(
         raise ValueError("classification needs the class list")
     if recognition is not None and recognizers is None:
         raise ValueError("recognition needs recognizers")
+    if resume is not None and work is None:
+        raise ValueError("a run that is to be resumed needs a work folder")
     began = time.monotonic()
     require_pattern_for_many(recordings.limit(2).count(), smap)
     store.require_unique_ids(recordings)
-    run = written(windows) if stage else windows
-    everything, everyone = run, recordings
-    if store_root is not None:
-        kept = store.WindowStore(spark, store_root)
-        kept.add(recordings, run.drop("logits"), duplicates)
-        everything, everyone = kept.windows, kept.recordings
-    if embed is not None:
-        export_embeddings(everything, everyone, embed, table_format, smap)
-    if recognition is not None:
-        run_recognizers(everything, everyone, recognizers, recognition, smap)
-    if classification is not None:
-        found = detections(run, classes, threshold, top_n, species)
-        export_classification(found, everyone, classification, smap)
-    audio_s = recordings.agg(F.coalesce(F.sum("duration_s"), F.lit(0.0))).first()[0]
-    return store.run_summary(run, audio_s, time.monotonic() - began)
+    ledger = NoLedger()
+    if resume is not None:
+        outputs = {k: o and asdict(o) for k, o in (("embed", embed), ("classify", classification), ("recognize", recognition))}
+        key = run_key(
+            resume=resume, outputs=outputs, table_format=table_format, threshold=threshold, top_n=top_n, store=store_root,
+            duplicates=duplicates, smap=smap and repr(smap), translate=translate and getattr(translate, "__qualname__", repr(type(translate))),
+            tables=[fingerprint(t) for t in (recordings, classes, species, recognizers)], stage=stage,
+        )
+        ledger = Ledger(spark, f"{work.rstrip('/')}/runs", key)
+        if (before := ledger.done("finished")) is not None:
+            return store.summary_of(recordings, before["n"], time.monotonic() - began)
+    with scratch_below(spark, work) as scratch:
+        staged = f"{ledger.folder}/windows-table" if resume is not None else f"{scratch}/windows"
+        if stage:
+            n = ledger.once("windows", lambda: {"n": written_counted(windows, staged)[1]})["n"]
+            run = spark.read.schema(windows.schema).parquet(staged)
+        else:
+            run, n = windows, windows.count()
+        everything, everyone = run, recordings
+        if store_root is not None:
+            kept = store.WindowStore(spark, store_root)
+            body = run.drop("logits", *_route_columns(run))
+
+            def addition() -> dict:
+                kept.add(recordings, body, duplicates, addition=ledger.key)
+                return {"version": kept.version()}
+
+            version = ledger.once("store", addition)["version"]
+            everything, everyone = kept.windows_at(version), kept.recordings_at(version)
+        if embed is not None:
+            ledger.once("embeddings", lambda: export_embeddings(everything, everyone, embed, table_format, smap))
+        if recognition is not None:
+            ledger.once("recognizers", lambda: run_recognizers(everything, everyone, recognizers, recognition, smap))
+        if classification is not None:
+
+            def classified() -> None:
+                found = detections(run, classes, threshold, top_n, species, translate)
+                export_classification(found, everyone, classification, smap)
+
+            ledger.once("classification", classified)
+        ledger.once("finished", lambda: {"n": n})
+        if resume is not None and stage:
+            shared.delete(spark, staged)
+    return store.summary_of(recordings, n, time.monotonic() - began)
+
+
+def _route_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "mapped_source" or c.startswith(("dest_", _EXTRA))]

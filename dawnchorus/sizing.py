@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from dawnchorus import shared
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -48,12 +53,31 @@ def broadcast_if_small(
     return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
+_ROOT: ContextVar[str | None] = ContextVar("scratch root", default=None)
+
+
+@contextmanager
+def scratch_below(spark: SparkSession, root: str | None) -> Iterator[str]:
+    """Scratch tables written inside go to a new folder below ``root``, which is deleted at the end.
+
+    Without ``root`` the folder is made where :func:`scratch_folder` makes its own.
+    Nothing that reads those tables may be handed out.
+    """
+    folder = f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}" if root else scratch_folder(spark)
+    token = _ROOT.set(folder)
+    try:
+        yield folder
+    finally:
+        _ROOT.reset(token)
+        shared.delete(spark, folder)
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the one in use (:func:`scratch_below`) or the cluster's shared checkpoint folder.
 
     Only a local session may go without that setting; it gets a temporary one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = _ROOT.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -88,6 +112,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df))
 
 
+def written_counted(df: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """Write ``df`` once to ``folder`` and read it back; its rows, counted while they were written."""
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.mode("overwrite").options(**parquet_options(df)).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get["n"]
+
+
 def write_scratch(df: DataFrame) -> str:
     """Write ``df`` to a new scratch folder; the folder."""
     folder = scratch_folder(df.sparkSession)
