@@ -18,7 +18,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ _CUT_A = re.compile(r"(?<=\S)(?=[ \n])")
 _CUT_B = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 #: How byte-level BPE cuts a text before merging. A fixed value.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_REMEMBERED = 200_000  # words of which the ids are kept
+_REMEMBERED = 150_000  # words of which the ids are kept, once and once more
 
 
 @functools.cache
@@ -77,8 +76,8 @@ def piece_model(path: str):
     """A sentencepiece file with byte fallback, which puts a space first: (space and text -> ids or None, bytes of every id).
 
     No piece holds a space after another character, so a text's ids are those
-    of its words one after the other, each with the spaces before it; frequent
-    words are remembered. None stands for a text that the ids don't spell.
+    of its words one after the other; frequent words are remembered. Texts with
+    spaces side by side are encoded whole. None stands for a text that the ids don't spell.
     """
     import sentencepiece
 
@@ -87,22 +86,38 @@ def piece_model(path: str):
     if any("▁" in p.lstrip("▁") for p in names):
         raise ValueError(f"{path} has pieces with a space inside")
     pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    known: dict[str, list[int] | None] = {}
+    young: dict[str, bytes] = {}  # ids of words as bytes
+    old: dict[str, bytes] = {}
+
+    def spelled(text: str, ids: list[int]) -> bytes:
+        """The ids, or -1 if they don't spell a space and the text."""
+        same = b"".join([pieces[i] for i in ids]) == b" " + text.encode()
+        return np.array(ids if same else [-1], np.int32).tobytes()
 
     def encode(text: str) -> np.ndarray | None:
-        words = _CUT_B.split(text)
-        fresh = [w for w in set(words) if w not in known] if len(words) > 1 else words
-        if len(words) > 1:
-            if len(known) + len(fresh) > _REMEMBERED:
-                known.clear()
-                fresh = list(set(words))
-            found = known
+        if not text:
+            return np.zeros(0, np.int32)
+        if "  " in text or text[-1] == " ":
+            found = spelled(text[1:], model.encode(text[1:]))
         else:
-            found = {}  # a long run without a space is not worth keeping
-        for w, ids in zip(fresh, model.encode([w[1:] for w in fresh], num_threads=1), strict=True):
-            found[w] = ids if b"".join([pieces[i] for i in ids]) == w.encode() else None
-        ids = [found[w] for w in words]
-        return None if None in ids else np.fromiter(chain.from_iterable(ids), np.int32)
+            words = text[1:].split(" ")
+            fresh = set(words).difference(young)
+            missed = []
+            for w in fresh:
+                ids = old.get(w)
+                if ids is None:
+                    missed.append(w)
+                else:
+                    young[w] = ids
+            for w, ids in zip(missed, model.encode(missed, num_threads=1), strict=True):
+                young[w] = spelled(w, ids)
+            found = b"".join(map(young.__getitem__, words))
+            if len(young) > _REMEMBERED:  # words not met since the last time are forgotten
+                old.clear()
+                old.update(young)
+                young.clear()
+        ids = np.frombuffer(found, np.int32)
+        return None if (ids < 0).any() else ids
 
     return encode, pieces
 
@@ -317,20 +332,24 @@ def links(found: Fragment, lengths_a: np.ndarray, lengths_b: np.ndarray) -> tupl
     return at_a, low[at_a] + np.arange(len(at_a)) - (np.cumsum(n) - n)[at_a]
 
 
-def groups_text(found: Fragment, texts_a: list[list[bytes]], texts_b: list[list[bytes]]) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids, groups in order. ``texts_*`` give an id's text inside and at the end of a run."""
+def id_texts(n_a: int, n_b: int) -> pa.Array:
+    """Decimal ids with the sign that follows: A's inside and at the end of a run, then B's likewise."""
+    return pa.array([f"{i}{sign}" for n, signs in ((n_a, ",|"), (n_b, ",;")) for sign in signs for i in range(n)])
+
+
+def groups_text(found: Fragment, texts: pa.Array, n_a: int, n_b: int) -> memoryview:
+    """``a1,a2|b1;a3|b2,b3``: decimal ids, groups in order."""
     sizes_a, sizes_b = found.sizes_a[:-1], found.sizes_b[:-1]
     before_a, before_b = np.cumsum(sizes_a) - sizes_a, np.cumsum(sizes_b) - sizes_b
-    place_a = np.arange(len(found.a)) + np.repeat(before_b, sizes_a)
-    place_b = np.arange(len(found.b)) + np.repeat(before_a + sizes_a, sizes_b)
-    out = np.empty(len(place_a) + len(place_b), dtype=object)
-    for place, ids, sizes, before, texts in (
-        (place_a, found.a, sizes_a, before_a, texts_a), (place_b, found.b, sizes_b, before_b, texts_b),
+    out = np.empty(len(found.a) + len(found.b), dtype=np.int32)
+    for ids, sizes, before, others, first, n in (
+        (found.a, sizes_a, before_a, before_b, 0, n_a), (found.b, sizes_b, before_b, before_a + sizes_a, 2 * n_a, n_b),
     ):
-        last = np.zeros(len(ids), dtype=bool)
-        last[before + sizes - 1] = True
-        out[place] = [texts[end][i] for end, i in zip(last.tolist(), ids.tolist(), strict=True)]
-    return b"".join(out)[:-1]
+        which = ids + np.int32(first)
+        which[before + sizes - 1] += n
+        out[np.arange(len(ids)) + np.repeat(others, sizes)] = which
+    body = texts.take(pa.array(out))
+    return memoryview(body.buffers()[2])[: int(np.frombuffer(body.buffers()[1], np.int32)[len(out)]) - 1]
 
 
 _DOCS = "block string, doc_id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, steps array<int>, times array<int>, pairs array<long>, docs array<long>"
@@ -364,8 +383,7 @@ def _blocks(path_a: str, path_b: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_a, pieces_b = byte_level(path_a)[1], piece_model(path_b)[1]
         lengths_a, lengths_b = _lengths(pieces_a), _lengths(pieces_b)
-        texts_a = [[b"%d%s" % (i, sep) for i in range(len(pieces_a))] for sep in (b",", b"|")]
-        texts_b = [[b"%d%s" % (i, sep) for i in range(len(pieces_b))] for sep in (b",", b";")]
+        texts = id_texts(len(pieces_a), len(pieces_b))
         held, n = [], 0
         nothing = np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -377,7 +395,7 @@ def _blocks(path_a: str, path_b: str, id_type: pa.DataType):
                     f = Fragment(*[_ints(batch.column(c), row) for c in ("a", "b", "sizes_a", "sizes_b")])
                     at_a, at_b = links(f, lengths_a, lengths_b)
                     pairs, times = np.unique(f.a[at_a].astype(np.int64) * len(pieces_b) + f.b[at_b], return_counts=True)
-                    digest = sha256(groups_text(f, texts_a, texts_b)).hexdigest()
+                    digest = sha256(groups_text(f, texts, len(pieces_a), len(pieces_b))).hexdigest()
                     held.append((doc, len(f.a), len(f.b), len(f.sizes_a) - 1, len(at_a), digest, pairs, times))
                     n += len(pairs)
                 if n >= BLOCK_LINKS or len(held) >= 10_000:
