@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dawnchorus.functions.text import window_key
-from dawnchorus.operators import classify, publish, store
+from dawnchorus.operators import classify, labels, publish, store
 from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.plans import jobs
 from dawnchorus.schemas import RESULTS
@@ -163,6 +163,39 @@ def classify_species_validated(spark, sf_dir):
     return found.select("recording_id", "offset_s", "species", b.score6())
 
 
+# A list of scientific and common names, one entry per nation: those of odd number are known to the taxonomy.
+@registry.add(
+    with_ctes(
+        """SELECT recording_id, offset_s, label AS species, round(score, 6) AS score
+           FROM top_rows JOIN classes USING (class_idx)""",
+        b.WINDOWS_SQL, b.CLASSES_SQL, EXPLODED,
+        """top_rows AS (
+  SELECT * FROM exploded
+  WHERE score >= -10.0 AND class_idx IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 1)
+  QUALIFY row_number() OVER (PARTITION BY recording_id, window_idx, channel
+                             ORDER BY score DESC, class_idx DESC) <= 3)""",
+    )
+)
+def classify_species_translated(spark, sf_dir):
+    """A species list of ``Scientific_Common`` entries, brought into the classes' names before the check."""
+    import warnings
+
+    windows, names = _logit_windows(spark, sf_dir), b.classes(spark, sf_dir)
+    nations = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("scientific"))
+    listed = nations.select(F.concat(F.initcap("scientific"), F.lit("_Common "), "key").alias("raw"), F.col("key").alias("item_ord"))
+    taxonomy = nations.where("key % 2 = 1").select(
+        F.col("scientific").alias("src"), F.concat(F.lit("class_"), "key").alias("dst"), F.col("key").alias("ord")
+    )
+
+    def translate(items):
+        return labels.translate_code_first(items, names.select("label"), taxonomy)
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = jobs.detections(windows, names, THRESHOLD, TOP, listed, translate)
+    return found.select("recording_id", "offset_s", "species", b.score6())
+
+
 @registry.add(
     with_ctes(
         "SELECT window_id, class_idx, round(score, 6) AS score FROM top_rows",

@@ -8,7 +8,7 @@ from dawnchorus.functions import text
 from dawnchorus.operators import framing, publish, routing, sourcemap, store
 from dawnchorus.operators.sourcemap import SOURCE_TEMPLATES, SourceMap
 from dawnchorus.sinks import tree as tree_sink
-from dawnchorus.sizing import scratch_folder
+from dawnchorus.sizing import scratch_folder, written_counted
 from dawnchorus.sources import audio_tree
 
 from . import bindings as b
@@ -101,16 +101,47 @@ def manifest_statistics(spark, sf_dir):
 
 @registry.add(
     with_ctes(
-        """SELECT count(*) AS windows, 7200.0::DOUBLE AS audio_s, 36.0::DOUBLE AS elapsed_s,
-                  18.0::DOUBLE AS elapsed_s_per_audio_hour
-           FROM (SELECT unnest(generate_series(0, greatest(1, CAST(floor(shard_len_s / 5) AS BIGINT)) - 1)) FROM shards)""",
+        """SELECT n AS windows, audio_s, 36.0::DOUBLE AS elapsed_s, 36.0::DOUBLE / (audio_s / 3600) AS elapsed_s_per_audio_hour
+           FROM (SELECT count(*) AS n FROM
+                   (SELECT unnest(generate_series(0, greatest(1, CAST(floor(shard_len_s / 5) AS BIGINT)) - 1)) FROM shards)),
+                (SELECT sum(duration_s) AS audio_s FROM line_recordings)""",
         b.LINE_RECORDINGS_SQL, SHARDS_SQL,
     )
 )
 def run_summary(spark, sf_dir):
-    """Windows of a run and its speed."""
-    windows = framing.window_shards(framing.shard_recordings(b.line_recordings(spark, sf_dir)))
-    return store.run_summary(windows, 7200.0, 36.0)
+    """Windows of a run, counted while they are written, the length of its audio, and its speed for a given time."""
+    recordings = b.line_recordings(spark, sf_dir)
+    windows = framing.window_shards(framing.shard_recordings(recordings))
+    _, n = written_counted(windows, scratch_folder(spark))
+    return store.summary_of(recordings, n, 36.0)
+
+
+@registry.add(
+    with_ctes(
+        """SELECT recording_id, mapped_source, audio_recording_id, parents || stem || '/embeddings.parquet' AS dest_embeddings,
+                  parents || 'classify_results.csv' AS dest_classify, '<' || stem || '.csv' AS dest_recognizer
+           FROM (SELECT recording_id, 'https://api.ecosounds.org/audio_recordings/' || recording_id || '/original' AS mapped_source,
+                        CAST(recording_id AS VARCHAR) AS audio_recording_id,
+                        CASE WHEN strpos(source, '/') > 0 THEN split_part(source, '/', 1) || '/' ELSE '' END AS parents,
+                        regexp_replace(string_split(source, '/')[-1], '\\.flac$', '') AS stem FROM audio_files)""",
+        b.AUDIO_FILES_SQL,
+    )
+)
+def routes_per_recording(spark, sf_dir):
+    """Published source, extra columns and destinations worked out once per recording."""
+    from dawnchorus.plans import jobs
+
+    smap = SourceMap(template=SOURCE_TEMPLATES["ecosounds_original"], pattern="canonical_filename")
+    out = jobs.routed(
+        b.audio_files(spark, sf_dir).select("recording_id", "source"), smap,
+        embed=jobs.Output("", "parquet", "{parents}/{filestem}/{analysis}{ext}"),
+        classification=jobs.Output("", "csv", layout="nested"),
+        recognition=jobs.Output("", "csv", "{classifier_name}{filestem}{ext}"),
+    )
+    return out.select(
+        "recording_id", "mapped_source", F.col("extra_audio_recording_id").alias("audio_recording_id"), "dest_embeddings", "dest_classify",
+        F.replace("dest_recognizer", F.lit("\x01"), F.lit("<")).alias("dest_recognizer"),
+    )
 
 
 # --- listings -------------------------------------------------------------

@@ -382,6 +382,60 @@ def window_store(spark, sf_dir):
     )
 
 
+def _two_additions(spark, sf_dir):
+    """A store whose first version holds one deployment, whose second everything."""
+    recs = b.recordings(spark, sf_dir).withColumn("deployment", F.split("source", "/")[0])
+    rows = store.windows_by_source(b.windows(spark, sf_dir).drop("label"), recs).drop("source")
+    kept = WindowStore(spark, scratch_folder(spark))
+    first = F.col("deployment") == "site0"
+    kept.add(recs.where(first), rows.where(first))
+    kept.add(recs, rows, duplicates="skip")
+    return kept, recs
+
+
+@registry.add(
+    with_ctes(
+        """SELECT 'site' || (recording_id % 3) AS deployment, recording_id, count(*) AS n_windows
+           FROM windows GROUP BY recording_id""",
+        b.WINDOWS_SQL,
+    )
+)
+def window_store_index(spark, sf_dir):
+    """Windows per recording from the store's index, no window read."""
+    return _two_additions(spark, sf_dir)[0].counts()
+
+
+@registry.add(
+    with_ctes(
+        """SELECT v AS version, 'site' || (recording_id % 3) AS deployment, count(*) AS n_windows,
+                  count(DISTINCT recording_id) AS n_recordings
+           FROM windows, (VALUES (1), (2)) x(v) WHERE v = 2 OR recording_id % 3 = 0 GROUP BY 1, 2""",
+        b.WINDOWS_SQL,
+    )
+)
+def window_store_versions(spark, sf_dir):
+    """Each version shows what it was made of, whatever came later."""
+    kept, _ = _two_additions(spark, sf_dir)
+    shown = [kept.windows_at(v).withColumn("version", F.lit(v)) for v in (1, kept.version())]
+    return shown[0].unionByName(shown[1]).groupBy("version", "deployment").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.count_distinct("recording_id").alias("n_recordings")
+    )
+
+
+@registry.add(
+    with_ctes(
+        """SELECT 'site' || (recording_id % 3) AS deployment, recording_id, window_idx, offset_s
+           FROM windows WHERE recording_id % 3 = 1 AND recording_id % 2 = 0""",
+        b.WINDOWS_SQL,
+    )
+)
+def window_store_lookup(spark, sf_dir):
+    """Stored windows of some recordings, read from their deployment alone."""
+    kept, recs = _two_additions(spark, sf_dir)
+    found = kept.windows_of(recs.where("recording_id % 3 = 1 AND recording_id % 2 = 0").select("recording_id"))
+    return found.select("deployment", "recording_id", "window_idx", "offset_s")
+
+
 @registry.add(
     with_ctes(
         """SELECT 'site' || (recording_id % 3) AS deployment, source, window_idx, offset_s,
