@@ -8,6 +8,9 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +29,10 @@ def deduplicate(rows: DataFrame, key: tuple[str, ...] | None = None) -> DataFram
     Copies collapse in the map-side half of the aggregate, so a row repeated
     very often doesn't travel. With ``key``, columns that tell most rows apart,
     the key columns alone are counted first: rows whose key doesn't repeat
-    can't have an equal and are spared that shuffle. If too many keys repeat to
-    be broadcast, all rows take part in the distinct.
+    can't have an equal and are spared that shuffle. Repeated keys are
+    broadcast where they are few, otherwise a filter of them
+    (:func:`maybe_among`): only copies, and one row in a hundred or so that the filter
+    takes for one, go through the distinct.
     """
     if key is None:
         return rows.dropDuplicates()
@@ -37,13 +42,61 @@ def deduplicate(rows: DataFrame, key: tuple[str, ...] | None = None) -> DataFram
     again = written(again)
     n, size = measured(again)
     if n > BROADCAST_ROWS or size > BROADCAST_BYTES:
-        return rows.dropDuplicates()
+        n = again.count()
+        if n > FILTER_BYTES * 8 // BITS_PER_KEY:
+            return rows.dropDuplicates()
+        copy = maybe_among(rows, again, key, n)
+        return rows.where(~copy).unionByName(rows.where(copy).dropDuplicates())
     left, right = rows.alias("l"), F.broadcast(again).alias("r")
     same = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key])
     single = left.join(right, same, "left_anti")
     return single.unionByName(left.join(right, same, "left_semi").dropDuplicates())
 
 
+FILTER_BYTES = 256 * 1024 * 1024  # what a task may hold of repeated keys: some 178 million
+BITS_PER_KEY, PROBES = 12, 6
+_SLOT_BITS = 23  # a slot of the filter is a megabyte
+
+
+def _probes(hashes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each hash, and its bits there."""
+    h = hashes.view(np.uint64)
+    spread = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    step = (spread >> np.uint64(32)) | np.uint64(1)
+    bits = (spread[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) & np.uint64((1 << _SLOT_BITS) - 1)
+    return (h >> np.uint64(11)) % np.uint64(slots), bits
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: tuple[str, ...], n: int) -> Column:
+    """A condition on ``rows``: true wherever the key is among ``keys``, and for about one other key in a hundred.
+
+    A Bloom filter of ``n`` keys, made slot by slot in tasks and broadcast; its size is ``n`` times ``BITS_PER_KEY``.
+    """
+    slots = max(1, -(-n * BITS_PER_KEY >> _SLOT_BITS))
+
+    def filled(table: pa.Table) -> pa.Table:
+        hashes = table["hash"].to_numpy()
+        mask = np.zeros(1 << _SLOT_BITS, dtype=bool)
+        mask[_probes(hashes, slots)[1].ravel().astype(np.int64)] = True
+        return pa.table([pa.array([table["slot"][0].as_py()], pa.int32()), pa.array([np.packbits(mask).tobytes()])], names=["slot", "bits"])
+
+    hashed = keys.select(F.xxhash64(*key).alias("hash"))
+    slot = F.pmod(F.shiftrightunsigned("hash", 11), F.lit(slots)).cast("int").alias("slot")
+    parts = hashed.select("hash", slot).groupBy("slot").applyInArrow(filled, "slot int, bits binary").toArrow()
+    held = np.zeros((slots, 1 << (_SLOT_BITS - 3)), dtype=np.uint8)
+    for at, bits in zip(parts["slot"].to_pylist(), parts["bits"], strict=True):
+        held[at] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def among(hashes: pd.Series) -> pd.Series:
+        where, bits = _probes(hashes.to_numpy(dtype=np.int64), slots)
+        words = shared.value[where.astype(np.int64)[:, None], (bits >> np.uint64(3)).astype(np.int64)]
+        return pd.Series(((words >> (7 - (bits & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1))
+
+    return among(F.xxhash64(*key))
+
+
 def repeated(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Keys that occur more than once; reads those columns only."""
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)

@@ -85,10 +85,31 @@ def test_key_check_spares_the_wide_distinct(spark):
     assert p.deduplicate(nulls, ("dest", "channel")).count() == 3
 
 
-def test_many_repeated_keys_take_the_full_distinct(spark, monkeypatch):
+def test_of_many_repeated_keys_only_copies_travel(spark, monkeypatch):
+    """600,000 rows with a repeated key among 1,400,000: the distinct sees them and about a hundredth of the others."""
     monkeypatch.setattr(p, "BROADCAST_ROWS", 10)
-    df = rows(spark, 100)
-    assert p.deduplicate(df, ("dest", "source", "channel", "offset")).count() == 100
+    once = spark.range(800_000).select((F.col("id") * 5.0).alias("offset"), F.concat(F.lit("s"), F.col("id") % 97).alias("source"), F.lit("v").alias("v"))
+    twice = once.where("offset < 1500000").withColumn("v", F.when(F.col("offset") % 10 == 0, "w").otherwise(F.col("v")))
+    df = once.unionByName(twice)
+    got = p.deduplicate(df, ("source", "offset"))
+    assert got.count() == 800_000 + 150_000 and got.distinct().count() == 950_000
+    again = p.repeated(df, ("source", "offset"))
+    n = again.count()
+    assert n == 300_000
+    copy = p.maybe_among(df, again, ("source", "offset"), n)
+    assert df.where(copy).where("offset < 1500000").count() == 600_000
+    assert df.where(copy).where("offset >= 1500000").count() < 0.02 * 500_000
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_too_many_repeated_keys_take_the_full_distinct(spark, monkeypatch):
+    monkeypatch.setattr(p, "BROADCAST_ROWS", 10)
+    df = rows(spark, 100).withColumn("source", F.when(F.col("offset") > 250, F.col("source")))
+    key = ("dest", "source", "channel", "offset")
+    assert p.deduplicate(df, key).count() == 100
+    monkeypatch.setattr(p, "FILTER_BYTES", 10)
+    assert p.deduplicate(df, key).count() == 100
 
 
 def test_csv_nulls_text_and_types(spark, tmp_path):
