@@ -6,7 +6,9 @@ same with either; before it stands a part of equal size, trained on pieces
 that mark toxic texts in the one, on ordinary words in the other. Each window
 of a text is compressed with both; the bytes that the toxic dictionary saves
 in the two best windows are turned into a score by a logistic curve fitted on
-labelled texts that the dictionaries have not seen.
+labelled texts that the dictionaries have not seen. What counts as a marking
+piece depends on how many texts there are: of the pairs of LEAST_TEXTS and
+LEAST_ODDS the one that explains those texts best is taken.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from dawnchorus.llm.common import documents_of
 
 WINDOW = 12  # words
 GRAM = 6  # bytes of a marking piece
-LEAST_TEXTS = 8  # toxic texts that must hold a marking piece
-LEAST_ODDS = 3.5  # log odds of a marking piece
+LEAST_TEXTS = (2, 4, 8)  # toxic texts that must hold a marking piece
+LEAST_ODDS = (1.5, 2.5, 3.5)  # log odds of a marking piece
 BASE_BYTES, PART_BYTES = 32768, 2048
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 24_000_000  # of each label: the bound of the fit
+BASE_WORDS = 1_000_000  # ordinary words, drawn from all of the sample, that the common part is trained on
 
 
 @dataclass(frozen=True)
@@ -127,26 +130,44 @@ def fit(texts: list[tuple[str, int]], rate: float) -> Model:
     def odds(g: bytes) -> float:
         return math.log((with_gram[g] + 0.5) / (len(toxic) + 1)) - math.log((without[g] + 0.5) / (len(ordinary) + 1))
 
-    marks = {g for g, n in with_gram.items() if n >= min(LEAST_TEXTS, len(toxic)) and odds(g) >= LEAST_ODDS}
+    plain = [w for words in ordinary for w in words]
+    few = np.sort(np.random.default_rng(1).permutation(len(plain))[:BASE_WORDS])  # from the whole sample
+    base = _dictionary(BASE_BYTES, [plain[i] for i in few])
+    y = np.array([float(v) for _, v in rest])
+    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
+    best, least_loss = Model(b"", b"", -20.0 if rate < 0.5 else 20.0, 0.0), math.inf
+    tried = set()
+    for least_texts in LEAST_TEXTS:
+        for least_odds in LEAST_ODDS:
+            marks = frozenset(g for g, n in with_gram.items() if n >= min(least_texts, len(toxic)) and odds(g) >= least_odds)
+            if not marks or marks in tried:
+                continue
+            tried.add(marks)
+            dictionaries = _pair(base, toxic, marks, plain)
+            if min(map(len, dictionaries)) < 8:
+                continue
+            scorer = Scorer(*dictionaries)
+            x = np.array([scorer.saved(t) for t, _ in rest])
+            offset, slope = _logistic(x, y, weight)
+            margin = np.clip(offset + slope * x, -30, 30)
+            loss = float((weight * np.logaddexp(0, np.where(y == 1, -margin, margin))).mean())
+            if loss < least_loss:
+                best, least_loss = Model(*dictionaries, offset, slope), loss
+    return best
+
+
+def _pair(base: bytes, toxic: list[list[bytes]], marks: frozenset[bytes], plain: list[bytes]) -> list[bytes]:
+    """The toxic and the ordinary dictionary, of one size."""
     pieces = []
     for words in toxic:
         for w in words:
             at = [i for i, g in enumerate(_grams(w)) if g in marks]
             if at:
                 pieces.append(_padded(w)[at[0] : at[-1] + GRAM].strip())
-    plain = [w for words in ordinary for w in words]
     chosen = np.random.default_rng(0).integers(0, len(plain), 3 * max(len(pieces), 500)) if plain else []
-    base = _dictionary(BASE_BYTES, plain[: 40 * BASE_BYTES])
     parts = [_dictionary(PART_BYTES, pieces), _dictionary(PART_BYTES, [plain[i] for i in chosen])]
     size = min(map(len, parts))
-    dictionaries = [p[len(p) - size :] + base for p in parts]
-    if min(map(len, dictionaries)) < 8:
-        return Model(b"", b"", -20.0 if rate < 0.5 else 20.0, 0.0)
-    scorer = Scorer(*dictionaries)
-    x = np.array([scorer.saved(t) for t, _ in rest])
-    y = np.array([float(v) for _, v in rest])
-    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
-    return Model(*dictionaries, *_logistic(x, y, weight))
+    return [p[len(p) - size :] + base for p in parts]
 
 
 def _scorer(model: Model):
@@ -165,30 +186,33 @@ def _scorer(model: Model):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str) -> tuple[list[tuple[str, int]], float]:
     """At most SAMPLE_ROWS texts and SAMPLE_BYTES of each label, by the order of a hash; share of label 1.
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and the label; the bounded list of ids is broadcast.
+    ``docs`` has doc_id and text, ``labels`` doc_id and the label; the bounded
+    list of ids is broadcast. A text that an id repeats counts once, whatever
+    the number of its rows, and no more rows or bytes than that reach the driver.
     """
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     rate = known.agg(F.avg("label")).first()[0]
     order = F.md5(F.col("doc_id").cast("string"))
     ids = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).select("doc_id", "label", order.alias("turn")).sort("turn", "doc_id").limit(SAMPLE_ROWS)
+        part = known.where(F.col("label") == label).select("doc_id", "label", order.alias("turn")).distinct()
+        part = part.sort("turn", "doc_id").limit(SAMPLE_ROWS)
         ids = part if ids is None else ids.unionByName(part)
-    sizes = docs.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(ids), "doc_id")
-    room = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}
-    chosen = []
-    for row in sizes.collect():
-        chosen.append((row.turn, row.doc_id, row.label, row.bytes))
+    digest = F.sha2("text", 256).alias("digest")
+    sizes = docs.select("doc_id", digest, F.octet_length("text").alias("bytes")).join(F.broadcast(ids), "doc_id").distinct()
     kept = []
-    for _, doc_id, label, size in sorted(chosen):
-        if size <= room[label]:
-            room[label] -= size
-            kept.append(doc_id)
+    for label in (0, 1):
+        room = SAMPLE_BYTES
+        for row in sizes.where(F.col("label") == label).sort("turn", "doc_id", "digest").limit(SAMPLE_ROWS).collect():
+            if row.bytes <= room:
+                room -= row.bytes
+                kept.append((row.doc_id, row.digest, label, row.turn))
     if not kept:
         return [], float(rate or 0.0)
-    picked = docs.sparkSession.createDataFrame([(d,) for d in sorted(set(kept))], docs.select("doc_id").schema)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").join(F.broadcast(ids), "doc_id")
-    rows = texts.select("turn", "doc_id", "text", "label").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    picked = docs.sparkSession.createDataFrame(kept, f"doc_id {kind}, digest string, label int, turn string")
+    texts = docs.select("doc_id", "text", digest).join(F.broadcast(picked), ["doc_id", "digest"])
+    rows = texts.dropDuplicates(["doc_id", "digest", "label"]).select("turn", "doc_id", "text", "label").collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.turn, r.doc_id, r.label, r.text))], float(rate)
 
 

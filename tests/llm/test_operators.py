@@ -263,6 +263,44 @@ def test_toxicity_of_odd_rows(docs, rows, labels, nothing):
     assert toxicity.toxicity_scores(nothing, labels).count() == 0
 
 
+def test_the_sample_is_bounded_by_bytes(spark, monkeypatch):
+    """One toxic id with 400 rows of 30 kB: its text counts once, and the bound holds."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    docs = spark.createDataFrame([(1, "x " * 15_000)] * 400 + [(1, f"other {i} " + "y" * 20_000) for i in range(20)] + [(i, "clean") for i in range(2, 30)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 30)] + [(1, 1)], "doc_id long, toxic int")
+    texts, _ = toxicity.labelled_sample(docs, marks, "toxic")
+    assert sum(len(t) for t, y in texts if y) <= 100_000 and sum(y for _, y in texts) == len({t for t, y in texts if y}) >= 3
+    assert sorted(t for t, y in texts if not y) == ["clean"] * 28
+
+
+def test_scores_follow_from_the_dictionaries(spark, sf_dir):
+    """Scores recomputed from the model: both dictionaries over every window, the two best gains, the curve."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    learned = labels.where("crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "toxic")
+    model = toxicity.fit(*toxicity.labelled_sample(docs.select("doc_id", "text"), learned, "toxic"))
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for row in docs.where("doc_id % 50 = 0").collect():
+        words, gains = row.text.lower().encode().split(), [0, 0]
+        for i in range(0, len(words), toxicity.WINDOW):
+            window = b" " + b" ".join(words[i : i + toxicity.WINDOW]) + b" "
+            sizes = []
+            for content in (model.ordinary, model.toxic):
+                parameters = zstandard.ZstdCompressionParameters(
+                    window_log=17, chain_log=16, hash_log=15, search_log=4, min_match=4, target_length=32,
+                    strategy=zstandard.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0,
+                )
+                held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                held.precompute_compress(compression_params=parameters)
+                packed = zstandard.ZstdCompressor(dict_data=held, compression_params=parameters).compress(window)
+                assert zstandard.ZstdDecompressor(dict_data=held).decompress(packed, max_output_size=len(window)) == window
+                sizes.append(len(packed))
+            gains.append(sizes[0] - sizes[1])
+        best = sum(sorted(gains)[-2:])
+        assert got[row.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(model.offset + model.slope * best, -30, 30))))
+
+
 def test_toxicity_learns(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxicity_scores(docs, labels).join(labels, "doc_id").where("held_out")
