@@ -26,10 +26,22 @@ HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your|xxxx|1234567)"
 KINDS = ("assign", "access", "hex", "owned")
+CHUNK = 256
 LEAST_VALUE = 6
 LEAST_CHARACTERS = 8
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(values: Column) -> Column:
+    """An array in pieces of ``CHUNK``: what grows by a piece at a time is copied once per piece, not once per element."""
+    last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(values, k * CHUNK + 1, CHUNK))
+
+
 def _placed(text: Column, pattern: str, group: int, kind: str) -> Column:
     """Matches with their places in code points, found between the pieces that the pattern splits the text into."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -48,8 +60,38 @@ def _placed(text: Column, pattern: str, group: int, kind: str) -> Column:
             F.struct(end.alias("at"), F.concat(state["found"], F.array(one.cast(span))).alias("found"))
         )
 
+    def moved(part: Column, by: Column) -> Column:
+        return F.transform(
+            part["found"], lambda s: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+        )
+
+    def joined(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.array(F.lit(0)), lambda held, p: F.concat(held, F.array(F.element_at(held, -1) + p["at"])))
+        return F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), moved)).cast(f"array<{span}>")
+
     first = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(matches, first, step, lambda s: s["found"])).otherwise(empty)
+    found = _let(matches, lambda ms: _let(F.transform(_chunks(ms), lambda c: F.aggregate(c, first, step)), joined))
+    return F.when(text.rlike(pattern), found).otherwise(empty)
+
+
+def _below(values: Column, condition) -> Column:
+    """How many leading elements of a sorted array meet the condition, by halving."""
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        above = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        below = F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(condition(F.get(values, middle)), above).otherwise(below)
+
+    whole = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+    steps = F.array_repeat(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    return F.aggregate(steps, whole, halved, lambda s: s["low"])
+
+
+def _meets(span: Column, spans: Column) -> Column:
+    """Whether a span overlaps any of sorted spans that don't overlap one another."""
+    before = F.get(spans, _below(spans, lambda b: b["start"] < span["end"]) - 1)
+    return F.coalesce(before["end"] > span["start"], F.lit(False))
 
 
 def _looks_random(value: Column) -> Column:
@@ -99,15 +141,19 @@ def secrets(
         _placed(text, OPAQUE, 0, "owned").alias("opaque"),
     )
     mixed = r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"
+    found = F.struct(*[F.col(k) for k in ("assign", "access", "hex", "opaque")])
+    outside = _let(
+        found,
+        lambda f: F.filter(
+            f["opaque"], lambda s: s["value"].rlike(mixed) & ~_meets(s, f["assign"]) & ~_meets(s, f["access"]) & ~_meets(s, f["hex"])
+        ),
+    )
     scanned = placed.select(
         "doc_id", "text_hash", "owner", "repository", F.concat("assign", "access", "hex").alias("base"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        F.filter("opaque", lambda s: s["value"].rlike(mixed)).alias("opaque"),
+        F.when(F.size("opaque") > 0, outside).otherwise(F.col("opaque")).alias("opaque"),
     )
-    outside = F.filter(
-        "opaque", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
-    scanned = stored(scanned.withColumn("opaque", outside), "scan")
+    scanned = stored(scanned, "scan")
 
     # who holds a value: distinct (value, owner, repository) first, so that copies never meet in one task
     held = scanned.select(
@@ -130,7 +176,14 @@ def secrets(
     )
     joined = join_same(scanned, per_text, ["doc_id", "text_hash"], "left")
     live = F.coalesce("live", F.array().cast("array<string>"))
-    added = F.filter("opaque", lambda s: F.array_contains(live, F.sha2(s["value"], 256)))
+    sought = F.struct(F.array_sort(live).alias("live"), F.col("opaque").alias("opaque"))
+
+    def among(values: Column, hash_: Column) -> Column:
+        return F.coalesce(F.get(values, _below(values, lambda h: h <= hash_) - 1) == hash_, F.lit(False))
+
+    added = F.when(
+        F.size("opaque") > 0, _let(sought, lambda f: F.filter(f["opaque"], lambda s: _let(F.sha2(s["value"], 256), lambda h: among(f["live"], h))))
+    ).otherwise(F.col("opaque"))
     return joined.select("doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base", added.alias("added"), F.size(live).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"), F.coalesce(F.array_sort("holders"), F.array().cast("array<struct<hash:string,n_owners:bigint,n_repositories:bigint>>")).alias("holders")).select(
         "*", _listed(F.col("base")).alias("base_list"), _listed(F.concat("base", "added")).alias("span_list")
     )
@@ -139,6 +192,7 @@ def secrets(
 def union_spans(spans: Column) -> Column:
     """Spans as ordered, non-overlapping (start, end) pairs."""
     pair = "struct<start:int,end:int>"
+    empty = F.array().cast(f"array<{pair}>")
 
     def step(state: Column, s: Column) -> Column:
         last = F.element_at(state, -1)
@@ -148,7 +202,18 @@ def union_spans(spans: Column) -> Column:
         meets = (F.size(state) > 0) & (s["start"] < F.get(state, F.size(state) - 1)["end"])
         return F.when(meets, F.concat(head, F.array(grown))).otherwise(F.concat(state, F.array(one)))
 
-    return F.aggregate(F.sort_array(spans), F.array().cast(f"array<{pair}>"), step)
+    def appended(state: Column, part: Column) -> Column:
+        """A later piece, in which the pairs don't overlap: those that meet the last pair so far become part of it."""
+        last = F.element_at(state, -1)
+        reach = F.greatest(last["end"], F.array_max(F.transform(F.filter(part, lambda p: p["start"] < last["end"]), lambda p: p["end"])))
+        grown = F.struct(last["start"].alias("start"), reach.alias("end")).cast(pair)
+        rest = F.filter(part, lambda p: p["start"] >= last["end"])
+        return F.when(F.size(state) == 0, part).otherwise(F.concat(F.slice(state, 1, F.size(state) - 1), F.array(grown), rest))
+
+    def merged(ordered: Column) -> Column:
+        return F.aggregate(F.transform(_chunks(ordered), lambda c: F.aggregate(c, empty, step)), empty, appended)
+
+    return F.when(F.size(spans) > 0, _let(F.sort_array(spans), merged)).when(spans.isNotNull(), empty)
 
 
 def redacted(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -165,8 +230,19 @@ def redacted(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_
     )
     joined = join_same(rows, spans, ["doc_id", "text_hash"], "left").select("doc", union_spans(F.col("spans")).alias("cuts"))
     text = F.col("doc")[text_col]
-    ends = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
-    starts = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text)))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(text, a + 1, b - a))
-    clean = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(pieces, mark))
+
+    def kept(cuts: Column) -> Column:
+        """The text between the cuts; places are sought within the stretch of a piece of cuts, not from the text's start."""
+        ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["end"]))
+        starts = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.length(text)))
+        between = F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+        def stretch(places: Column) -> Column:
+            first = F.element_at(places, 1)["start"]
+            body = F.substring(text, first + 1, F.element_at(places, -1)["end"] - first)
+            return _let(body, lambda b: F.array_join(F.transform(places, lambda p: F.substring(b, p["start"] - first + 1, p["end"] - p["start"])), mark))
+
+        return F.array_join(_let(between, lambda all_: F.transform(_chunks(all_), stretch)), mark)
+
+    clean = F.when(F.col("cuts").isNull(), text).otherwise(_let(F.col("cuts"), kept))
     return joined.select(*[(clean if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

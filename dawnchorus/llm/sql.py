@@ -1,6 +1,6 @@
 """SQL whose rows equal those of the registered queries, written from the contracts and not from the operators."""
 
-# A candidate's owner is its source; null counts as one owner.
+# A candidate's owner is its source, null being one owner, its repository the language within the source.
 OP1 = r"""
 WITH docs AS (
   SELECT doc_id, source, lang, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
@@ -26,10 +26,13 @@ opaque AS (
 held AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
 spread AS (
   SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners,
+         count(DISTINCT coalesce(source, chr(0)) || chr(1) || concat_ws('/', source, lang)) AS repositories,
          len(list_distinct(string_split(value, ''))) >= 8
            AND NOT regexp_matches(value, '(?i)(example|sample|dummy|changeme|placeholder|your|xxxx|1234567)') AS random
   FROM held JOIN docs USING (r) GROUP BY value),
-known AS (SELECT h.*, owners >= 3 AS copied, owners < 3 AND random AS live FROM held h JOIN spread USING (value)),
+known AS (
+  SELECT h.*, owners >= 3 OR repositories >= 4 AS copied, owners < 3 AND repositories < 4 AND random AS live
+  FROM held h JOIN spread USING (value)),
 counts AS (
   SELECT r, count(DISTINCT value) FILTER (live) AS n_live, count(DISTINCT value) FILTER (copied) AS n_copied,
          count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
