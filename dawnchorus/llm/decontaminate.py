@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dawnchorus.llm import words as W
-from dawnchorus.llm.common import documents_of
+from dawnchorus.llm.common import documents_of, drop_stored, stored
 
 PERMUTATIONS = 64
 BLOCK_BYTES = 8_000_000  # of item shingles that go to the tasks at a time
@@ -125,19 +125,27 @@ def _found(column: pa.Array, index: _Index, size: int, percent: int) -> Iterator
                 yield row + int(some[t]), item, shared
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> list[tuple[list, list[bytes]]]:
-    """Item ids and shingle sets, in blocks of about ``BLOCK_BYTES``: a stated query set."""
+def _item_blocks(
+    benchmark: DataFrame, item_col: str, text_col: str, size: int, block_bytes: int
+) -> Iterator[tuple[list, list[bytes], bool]]:
+    """Item ids and shingle sets of a stated query set, a block of about ``block_bytes`` at a time, and whether it is the only one.
+
+    The sets of several blocks are written to the shared folder, from which
+    the driver fetches one block after the other.
+    """
     items = documents_of(benchmark, item_col, text_col).withColumnRenamed("doc_id", "item_id")
     kind = items.schema["item_id"].dataType.simpleString()
     sets = items.mapInArrow(_item_shingles(size), f"item_id {kind}, shingles binary").where(F.length("shingles") > 0)
     total = sets.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0]
-    blocks = []
-    n = -(-total // BLOCK_BYTES)
+    n = -(-total // block_bytes)
+    if n > 1:
+        sets = stored(sets, "benchmark-sets")
     for b in range(n):
         rows = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(n)) == b).sort("item_id", "shingles").collect()
         if rows:
-            blocks.append(([r[0] for r in rows], [bytes(r[1]) for r in rows]))
-    return blocks
+            yield [r[0] for r in rows], [bytes(r[1]) for r in rows], n == 1
+    if n > 1:
+        drop_stored(sets)
 
 
 def _index(packed: bytes) -> _Index:
@@ -146,7 +154,7 @@ def _index(packed: bytes) -> _Index:
 
 def contained_items(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", words: int = 5, percent: int = 80,
+    item_col: str = "item_id", item_text_col: str = "text", words: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document row and benchmark item it contains: doc_id, item_id, n_item, n_shared, containment.
 
@@ -154,6 +162,8 @@ def contained_items(
     fewer words is one shingle, so a short item is found only as a whole
     text. Null, empty and blank texts and items contain nothing and are
     contained in nothing. Repeated rows are reported each. Ids may be null.
+    Items beyond one block of shingle sets are searched block by block when this is
+    called, each block's hits written before the next is fetched: the driver and a task hold one.
     """
     source = documents_of(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -183,18 +193,20 @@ def contained_items(
         return run
 
     out = source.sparkSession.createDataFrame([], schema)
-    for ids, sets in _item_blocks(benchmark, item_col, item_text_col, words):
-        out = out.unionByName(source.mapInArrow(searcher(ids, pickle.dumps(sets)), schema))
+    for ids, sets, only in _item_blocks(benchmark, item_col, item_text_col, words, block_bytes):
+        hits = source.mapInArrow(searcher(ids, pickle.dumps(sets)), schema)
+        out = out.unionByName(hits if only else stored(hits, "benchmark-hits"))
     return out
 
 
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_text_col: str = "text",
-    words: int = 5, percent: int = 80,
+    words: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Rows of ``docs``, all columns, that contain no benchmark item; nothing is shuffled.
 
-    Rows with null or blank text stay.
+    Rows with null or blank text stay. Items beyond one block are searched block
+    by block when this is called; what a block keeps is written and read by the next.
     """
 
     def keeper(packed: bytes):
@@ -209,6 +221,12 @@ def decontaminated(
         return run
 
     first = benchmark.withColumn("_none", F.lit(None).cast("long")).select("_none", F.col(f"`{item_text_col}`").alias("_text"))
-    for _, sets in _item_blocks(first, "_none", "_text", words):
-        docs = docs.mapInArrow(keeper(pickle.dumps(sets)), docs.schema)
-    return docs
+    kept = None
+    for _, sets, only in _item_blocks(first, "_none", "_text", words, block_bytes):
+        clean = (docs if kept is None else kept).mapInArrow(keeper(pickle.dumps(sets)), docs.schema)
+        if only:
+            return clean
+        before, kept = kept, stored(clean, "decontaminated")
+        if before is not None:
+            drop_stored(before)
+    return docs if kept is None else kept
