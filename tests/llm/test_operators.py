@@ -1,5 +1,6 @@
 """Each operator against its plain version, and on nulls, empty and long texts, repeats, clashing columns, empty tables."""
 
+import math
 import os
 import random
 import sys
@@ -237,6 +238,30 @@ def test_divergence_rejects_what_is_unlike_its_language(spark):
     assert found[102].kept and found[102].word_distance is not None
 
 
+def test_every_language_has_its_own_reference(spark):
+    rng = random.Random(4)
+
+    def text(lang, n):
+        return " ".join(f"{lang}{rng.randrange(5)}" if rng.random() < 0.5 else f"{rng.choice('abcdef')}{rng.choice('ghijk')}ter{rng.choice('lmn')}" for _ in range(n))
+
+    small = [f"x{chr(97 + i)}" for i in range(26)]  # each far below 10,000 words, beside a large one
+    rows = [(i, text("e", 300), "en") for i in range(60)] + [(100 + i, text(c, 120), c) for i, c in enumerate(small)]
+    rows.append((200, text("xc", 120), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = {r.lang: r for r in quality_rules.references(docs).collect()}
+    assert sorted(refs) == sorted(["en", *small])
+    found = {r.doc_id: r for r in quality_rules.quality(docs).collect()}
+    for i, t, c in rows:
+        words = t.split()
+        ref = refs[c or "xc"]
+        own = [words.count(w) / len(words) for w in ref["words"]]
+        own.append(1 - sum(own))
+        part = lambda p, q: p * math.log2(2 * p / (p + q)) if p > 1e-12 else 0.0
+        distance = math.sqrt(max(sum(part(p, q) + part(q, p) for p, q in zip(own, ref["shares"], strict=True)) / 2, 0))
+        assert found[i].word_distance == pytest.approx(distance, abs=1e-6)
+    assert all(found[i].kept for i, _, c in rows if c)
+
+
 def test_targets(spark):
     for sizes in ({"a": 10, "b": 1000, None: 5, "Z": 0}, {"a": 7}, {"a": 0}, {"a": 100, "b": 100, "c": 100, "d": 3}):
         df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
