@@ -29,7 +29,7 @@ from dawnchorus.llm.common import stored
 PART_CHARS = 1 << 16  # longer texts are encoded in parts
 FAN_IN = 8  # fragments composed at a time
 BLOCK_LINKS = 1 << 20  # distinct links of documents that share a list of pairs
-_ENCODE_CHARS = 1 << 20  # characters given to a tokenizer at a time
+_ENCODE_CHARS = 1 << 19  # characters of texts put together at a time
 
 # A tokenizer never joins a character that is no white space with white space that follows it,
 # so a text may be cut there: before a space or line end, or only before a space that something follows.
@@ -37,7 +37,8 @@ _CUT_A = re.compile(r"(?<=\S)(?=[ \n])")
 _CUT_B = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 #: How byte-level BPE cuts a text before merging. A fixed value.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_REMEMBERED = 150_000  # words of which the ids are kept, once and once more
+_REMEMBERED = 150_000  # words of which the ids are kept; beyond it the half met most often
+_SIDE_BY_SIDE = 2_000  # new words given to a tokenizer at a time
 
 
 @functools.cache
@@ -75,9 +76,7 @@ def byte_level(path: str):
 def piece_model(path: str):
     """A sentencepiece file with byte fallback, which puts a space first: (space and text -> ids or None, bytes of every id).
 
-    No piece holds a space after another character, so a text's ids are those
-    of its words one after the other; frequent words are remembered. Texts with
-    spaces side by side are encoded whole. None stands for a text that the ids don't spell.
+    No piece holds a space after another character. None stands for a text that the ids don't spell.
     """
     import sentencepiece
 
@@ -86,38 +85,12 @@ def piece_model(path: str):
     if any("▁" in p.lstrip("▁") for p in names):
         raise ValueError(f"{path} has pieces with a space inside")
     pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    young: dict[str, bytes] = {}  # ids of words as bytes
-    old: dict[str, bytes] = {}
-
-    def spelled(text: str, ids: list[int]) -> bytes:
-        """The ids, or -1 if they don't spell a space and the text."""
-        same = b"".join([pieces[i] for i in ids]) == b" " + text.encode()
-        return np.array(ids if same else [-1], np.int32).tobytes()
 
     def encode(text: str) -> np.ndarray | None:
         if not text:
             return np.zeros(0, np.int32)
-        if "  " in text or text[-1] == " ":
-            found = spelled(text[1:], model.encode(text[1:]))
-        else:
-            words = text[1:].split(" ")
-            fresh = set(words).difference(young)
-            missed = []
-            for w in fresh:
-                ids = old.get(w)
-                if ids is None:
-                    missed.append(w)
-                else:
-                    young[w] = ids
-            for w, ids in zip(missed, model.encode(missed, num_threads=1), strict=True):
-                young[w] = spelled(w, ids)
-            found = b"".join(map(young.__getitem__, words))
-            if len(young) > _REMEMBERED:  # words not met since the last time are forgotten
-                old.clear()
-                old.update(young)
-                young.clear()
-        ids = np.frombuffer(found, np.int32)
-        return None if (ids < 0).any() else ids
+        ids = model.encode(text[1:])
+        return np.array(ids, np.int32) if b"".join([pieces[i] for i in ids]) == text.encode() else None
 
     return encode, pieces
 
@@ -166,6 +139,112 @@ def _lengths(pieces: list[bytes]) -> np.ndarray:
     return np.array([len(p) for p in pieces], dtype=np.int64)
 
 
+def whole_fragment(text_a: str, text_b: str, path_a: str, path_b: str, shift: int = 0) -> Fragment | None:
+    """The fragment of a text, or of a part with its own range for either tokenizer; None if the tokens don't spell it."""
+    (encode_a, pieces_a), (encode_b, pieces_b) = byte_level(path_a), piece_model(path_b)
+    a, b = encode_a(text_a), encode_b(text_b)
+    if b is None or b"".join([pieces_a[i] for i in a.tolist()]) != text_a.encode():
+        return None
+    return cut(a, b, *_both_lengths(path_a, path_b), shift)
+
+
+@functools.cache
+def _both_lengths(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
+    return _lengths(byte_level(path_a)[1]), _lengths(piece_model(path_b)[1])
+
+
+class Words:
+    """Fragments of texts, put together from those of their words; frequent words are remembered.
+
+    Tokens of both end before a single space, unless white space stands on both of its sides, so a text's
+    ids and groups are those of its words, each with the space before it. Texts with
+    spaces side by side, at the end, or before other white space are encoded whole.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.paths = path_a, path_b
+        self.at: dict[str, int] = {}  # place of a word
+        self.met = np.zeros(0, np.int64)  # how often, of late
+        self.sizes = np.zeros((4, 0), np.int32)  # lengths of a word's a, b, sizes_a, sizes_b; none of a word that can't be put together
+        self.lists = [np.zeros(0, np.int32)] * 4  # those of all words, one after the other
+
+    def fragments(self, texts: list[str]) -> list[Fragment | None]:
+        """Of texts that begin with a space; None for those that the tokens don't spell."""
+        plain = [None if "  " in t or t[-1:] in ("", " ") else t[1:].split(" ") for t in texts]
+        words = [w for ws in plain if ws is not None for w in ws]
+        if not words:
+            return [whole_fragment(t, t, *self.paths) for t in texts]
+        self._learn([*set(words).difference(self.at)])
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([len(ws) for ws in plain if ws is not None])
+        self.met += np.bincount(at, minlength=len(self.met))
+        starts = np.cumsum(self.sizes, axis=1, dtype=np.int64) - self.sizes
+        joined, upto = [], []
+        for values, first, size in zip(self.lists, starts, self.sizes, strict=True):
+            n = size[at].astype(np.int64)
+            total = np.cumsum(n)
+            joined.append(values[np.repeat(first[at] - (total - n), n) + np.arange(total[-1])])
+            upto.append([0, *total[ends - 1].tolist()])
+        bad = np.concatenate([[0], np.cumsum(self.sizes[0][at] == 0)])[[0, *ends]]
+        out, k = [], 0
+        for text, own in zip(texts, plain, strict=True):
+            k += own is not None
+            if own is None or bad[k] > bad[k - 1]:
+                out.append(whole_fragment(text, text, *self.paths))
+            else:
+                a, b, sizes_a, sizes_b = (x[u[k - 1] : u[k]] for x, u in zip(joined, upto, strict=True))
+                out.append(Fragment(a, b, np.append(sizes_a, np.int32(0)), np.append(sizes_b, np.int32(0))))
+        self._forget()
+        return out
+
+    def _forget(self) -> None:
+        """Only the words met most often are kept when there are too many."""
+        if len(self.at) <= _REMEMBERED:
+            return
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: _REMEMBERED // 2])
+        place = np.full(len(self.met), -1)
+        place[kept] = np.arange(len(kept))
+        self.at = {w: k for w, i in self.at.items() if (k := int(place[i])) >= 0}
+        self.lists = [x[np.repeat(place >= 0, n)] for x, n in zip(self.lists, self.sizes, strict=True)]
+        self.sizes, self.met = self.sizes[:, kept], self.met[kept] // 2
+
+    def _learn(self, words: list[str]) -> None:
+        learned = [x for low in range(0, len(words), _SIDE_BY_SIDE) for x in self._encoded(words[low : low + _SIDE_BY_SIDE])]
+        if not learned:
+            return
+        for words, _, _ in learned:
+            self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.sizes = np.concatenate([self.sizes, *(n for _, n, _ in learned)], axis=1)
+        self.met = np.concatenate([self.met, np.zeros(len(self.at) - len(self.met), np.int64)])
+        self.lists = [np.concatenate([x, *(y[k] for _, _, y in learned)]) for k, x in enumerate(self.lists)]
+
+    def _encoded(self, words: list[str]) -> list[tuple[list[str], np.ndarray, list[np.ndarray]]]:
+        """Words with their sizes and lists, encoded side by side as one text; where that fails, in halves."""
+        odd = [w for w in words if w[0].isspace()]
+        words = [w for w in words if not w[0].isspace()]
+        text = " " + " ".join(words)
+        found = whole_fragment(text, text, *self.paths) if words else None
+        if found is None and len(words) > 1:
+            half = len(words) // 2
+            return [*self._encoded(words[:half]), *self._encoded(words[half:] + odd)]
+        nothing = [np.zeros(0, np.int32)] * 4
+        if found is None:
+            return [(odd + words, np.zeros((4, len(odd + words)), np.int32), nothing)]
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        lengths = _both_lengths(*self.paths)
+        ends_a, ends_b = np.cumsum(lengths[0][found.a]), np.cumsum(lengths[1][found.b])
+        sizes_a, sizes_b = found.sizes_a[:-1].astype(np.int32), found.sizes_b[:-1].astype(np.int32)
+        groups = np.searchsorted(ends_a[np.cumsum(sizes_a) - 1], ends, "right")  # a word's end is a group's end
+        upto = np.stack([np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right"), groups, groups])
+        sizes = np.diff(upto, axis=1, prepend=0).astype(np.int32)
+        return [(words, sizes, [found.a, found.b, sizes_a, sizes_b]), (odd, np.zeros((4, len(odd)), np.int32), nothing)]
+
+
+@functools.cache
+def _words(path_a: str, path_b: str) -> Words:
+    return Words(path_a, path_b)
+
+
 def _fields(id_type: str) -> str:
     return (
         f"key string, doc_id {id_type}, part int, parts int, valid boolean, shift long, "
@@ -214,8 +293,7 @@ def _encoded(path_a: str, path_b: str):
     """Fragments of texts or of parts of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, pieces_a), (encode_b, pieces_b) = byte_level(path_a), piece_model(path_b)
-        lengths_a, lengths_b = _lengths(pieces_a), _lengths(pieces_b)
+        memory = _words(path_a, path_b)
         for batch in batches:
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             group = (np.cumsum(sizes) - sizes) // _ENCODE_CHARS  # runs of rows of about that many characters
@@ -224,16 +302,21 @@ def _encoded(path_a: str, path_b: str):
                 if low == high:
                     continue
                 rows = batch.slice(low, high - low)
-                where = [rows.column(c).to_pylist() for c in ("text", "a_from", "a_to", "b_from", "b_to", "shift")]
-                found = []
-                for text, a_from, a_to, b_from, b_to, shift in zip(*where, strict=True):
-                    a, b = encode_a(text[a_from:a_to]), encode_b(text[b_from:b_to])
-                    same = b is not None and b"".join([pieces_a[i] for i in a.tolist()]) == text[a_from:a_to].encode()
-                    if not same:
-                        a = b = np.zeros(0, np.int32)
-                    found.append((same, cut(a, b, lengths_a, lengths_b, shift)))
+                texts, *ranges = [rows.column(c).to_pylist() for c in ("text", "a_from", "a_to", "b_from", "b_to", "shift")]
+                found: list[Fragment | None] = [None] * len(texts)
+                same = []  # rows of which both tokenizers take one range that begins with a space
+                for k, (text, a_from, a_to, b_from, b_to, shift) in enumerate(zip(texts, *ranges, strict=True)):
+                    if (a_from, a_to) == (b_from, b_to) and shift == 0 and text[a_from : a_from + 1] == " ":
+                        same.append((k, text[a_from:a_to]))
+                    else:
+                        found[k] = whole_fragment(text[a_from:a_to], text[b_from:b_to], path_a, path_b, shift)
+                for (k, _), f in zip(same, memory.fragments([t for _, t in same]), strict=True):
+                    found[k] = f
+                # what can't be spelled is an empty run
+                none = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int32)
                 keep = [rows.column(c) for c in ("key", "doc_id", "part", "parts")]
-                yield _batch(keep, [v for v, _ in found], [f for _, f in found])
+                shown = [f or Fragment(*none, shift) for f, shift in zip(found, ranges[-1], strict=True)]
+                yield _batch(keep, [f is not None for f in found], shown)
 
     return run
 

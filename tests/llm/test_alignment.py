@@ -97,6 +97,32 @@ def test_aligned_tokens_spell_the_text(spark):
             assert not texts[r["doc_id"]] or "▁" in texts[r["doc_id"]]
 
 
+def test_words_put_together_equal_whole_texts(monkeypatch):
+    rng = random.Random(5)
+    words = ["plain", "wörter", "it's", "a\nb", "\nline", "end\n", "\t", "▁x", "日本語", "🦜", "nul\x00l", "12,5", "</s>", "...", "\u3000y", "e\u0301"]
+    texts = [" " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    texts += ["", " ", " a  b", " a ", "  a", " a \n b", " a\n \n b", *(f" {w}" for w in words)]
+    for remembered in (150_000, 5):
+        monkeypatch.setattr(al, "_REMEMBERED", remembered)
+        memory = al.Words(A, B)
+        for low in range(0, len(texts), 7):
+            for t, f in zip(texts[low : low + 7], memory.fragments(texts[low : low + 7]), strict=True):
+                want = al.whole_fragment(t, t, A, B)
+                assert (f is None) == (want is None), t
+                if f is not None:
+                    assert [getattr(f, c).tolist() for c in ("a", "b", "sizes_a", "sizes_b")] == [
+                        getattr(want, c).tolist() for c in ("a", "b", "sizes_a", "sizes_b")
+                    ], t
+
+
+def test_a_word_is_encoded_once(monkeypatch):
+    memory, real, seen = al.Words(A, B), al.whole_fragment, []
+    monkeypatch.setattr(al, "whole_fragment", lambda a, b, *rest: seen.append(a) or real(a, b, *rest))
+    for _ in range(3):
+        memory.fragments([" few words come again and again" * 50, " again few"])
+    assert len(seen) == 1 and sorted(seen[0].split()) == sorted({"few", "words", "come", "again", "and"})
+
+
 def test_empty_table(spark):
     assert al.alignment_report(spark.createDataFrame([], SCHEMA), A, B).count() == 0
 
