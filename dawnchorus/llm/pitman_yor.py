@@ -32,7 +32,8 @@ from dawnchorus.llm.words import mixed, text_slices, words_of
 BUCKET_TOKENS, LEAST_BUCKETS = 1 << 21, 32
 BLOCK_TOKENS = 1 << 21
 HOT_SHARE = 2000  # contexts above this part of all tokens are dealt out by word
-BURN_IN, SAMPLES, STEPS = 2, 2, 3  # sweeps, samples, customers of each word taken up in a sweep
+BURN_IN, SAMPLES = 2, 2  # sweeps, samples
+ROUNDS = 24  # of a sweep, which takes up every customer in one of them
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.65, 1.0
 FIRST_GUESS = (0.75, 10.0)  # discount and strength of the contexts in the first seating
 #: Discounts and strengths among which the leave-one-out likelihood of all training tokens chooses.
@@ -200,31 +201,37 @@ class Seating:
         mine = np.bincount(self.owner, minlength=len(self.many))
         return self.fixed + np.bincount(self.room[self.many], weights=mine, minlength=len(self.fixed))
 
-    def _drawn(self, weights: np.ndarray) -> np.ndarray:
-        """One table of every word, by weight."""
+    def _drawn(self, weights: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Customers that come to each table: of every word ``times``, by weight."""
         upto = np.cumsum(weights)
         last = np.searchsorted(self.owner, np.arange(len(self.many)), "right") - 1
         end = upto[last]
         start = np.concatenate([[0.0], end[:-1]])
-        return np.minimum(np.searchsorted(upto, start + self.rng.random(len(end)) * (end - start), "right"), last)
+        word = np.repeat(np.arange(len(self.many)), times)
+        at = np.searchsorted(upto, start[word] + self.rng.random(len(word)) * (end - start)[word], "right")
+        return np.bincount(np.minimum(at, last[word]), minlength=len(weights))
 
-    def sweep(self, base: np.ndarray, discount: float, strength: float, steps: int = STEPS) -> None:
-        """Take one customer of every word from its seat and seat it again, ``steps`` times."""
+    def sweep(self, base: np.ndarray, discount: float, strength: float) -> None:
+        """Take every customer from its seat once and seat it again; a round's customers of one word go together."""
         if not len(self.many):
             return
         room, base, customers = self.room[self.many], base[self.many], self.customers[self.many]
-        for _ in range(steps):
-            self.size[self._drawn(self.size.astype(np.float64))] -= 1
+        left = self.size.copy()  # customers that were not taken up yet
+        for r in range(ROUNDS, 0, -1):
+            taken = self.rng.binomial(left, 1 / r)
+            n = np.bincount(self.owner, weights=taken, minlength=len(self.many)).astype(np.int64)
+            self.size, left = self.size - taken, left - taken
             kept = self.size > 0
-            self.owner, self.size = self.owner[kept], self.size[kept]
+            self.owner, self.size, left = self.owner[kept], self.size[kept], left[kept]
             tables = np.bincount(self.owner, minlength=len(self.many))
             new = (strength + discount * self.per_room()[room]) * base
-            old = customers - 1 - discount * tables
-            fresh = self.rng.random(len(new)) * (new + old) < new
-            self.size[self._drawn(self.size - discount)[~fresh]] += 1
-            opened = np.flatnonzero(fresh)
-            at = np.searchsorted(self.owner, opened, "right")
-            self.owner, self.size = np.insert(self.owner, at, opened), np.insert(self.size, at, 1)
+            first = (tables == 0) & (n > 0)  # no table is left: one opens, and the others may join it
+            old = customers - n - discount * tables + np.maximum(n - 1, 0) / 2
+            opened = first + self.rng.binomial(n - first, new / (new + old))
+            at = np.searchsorted(self.owner, np.repeat(np.arange(len(n)), opened), "right")
+            self.owner = np.insert(self.owner, at, np.repeat(np.arange(len(n)), opened))
+            self.size, left = np.insert(self.size, at, 1), np.insert(left, at, 0)
+            self.size = self.size + self._drawn(self.size - discount, n - opened)
 
 
 def predictive(customers, tables, base, room_customers, room_tables, discount, strength):

@@ -213,5 +213,29 @@ def test_probabilities_sum_to_one():
     assert abs(p.sum() + rest - 1) < 1e-9
 
 
+def test_a_sweep_takes_up_every_customer():
+    n, base, d, s = 3000, 0.3, 0.75, 1000.0
+    rng, held = random.Random(3), [3000]
+    for _ in range(4 * n):  # one customer at a time
+        x = rng.randrange(n)
+        k = int(np.searchsorted(np.cumsum(held), x, "right"))
+        held[k] -= 1
+        if not held[k]:
+            del held[k]
+        new, old = (s + d * len(held)) * base, n - 1 - d * len(held)
+        if rng.random() * (new + old) < new:
+            held.append(1)
+        else:
+            held[rng.choices(range(len(held)), [y - d for y in held])[0]] += 1
+    got = []
+    for seed in range(5):
+        seating = py.Seating(np.array([n]), np.zeros(1, dtype=np.int64), 1, np.random.default_rng(seed))
+        for _ in range(4):
+            seating.sweep(np.array([base]), d, s)
+        assert seating.size.sum() == n and (seating.size > 0).all()
+        got.append(len(seating.size))
+    assert abs(np.mean(got) / len(held) - 1) < 0.35, (got, len(held))
+
+
 def test_empty_table(spark):
     assert py.scores(spark.createDataFrame([], SCHEMA)).count() == 0
