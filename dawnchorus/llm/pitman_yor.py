@@ -62,6 +62,26 @@ def _un(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of the keys, and every key's rank among them (faster than ``np.unique``)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    opens = np.ones(len(keys), dtype=bool)
+    opens[1:] = keys[1:] != keys[:-1]
+    del keys
+    rank = np.empty_like(order)
+    rank[order] = np.cumsum(opens)
+    rank -= 1
+    return order[opens], rank
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), dtype=bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
 def _tokens(batch: pa.RecordBatch):
     """Runs of whole texts: (row, end row, tokens, contexts, first token of each text and the end)."""
     for row, end, data, offsets in text_slices(batch.column("text")):
@@ -87,23 +107,40 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(contexts: np.ndarray, words: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    key = np.where(np.isin(contexts, hot), mixed(contexts ^ mixed(words, 5), 6), mixed(contexts, 7))
+    key = np.where(_among(contexts, hot), mixed(contexts ^ mixed(words, 5), 6), mixed(contexts, 7))
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
+def _pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    keys = contexts * np.uint64(0x9E3779B97F4A7C15)
+    keys += words
+    return mixed(keys, 3)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], hot: np.ndarray, buckets: int):
     """Blocks of whole texts: ids, held out, tokens per text, tokens' places among the pairs, the pairs by bucket."""
 
-    def block(held):
+    def block(held):  # which it empties; arrays are dropped as soon as they can be, as a block's are large
         ids, out, tokens, before, sizes = ([x for h in held for x in h[0]], *(np.concatenate([h[k] for h in held]) for k in range(1, 5)))
-        keys, at, place = np.unique(mixed(before * np.uint64(0x9E3779B97F4A7C15) + tokens, 3), return_index=True, return_inverse=True)
+        held.clear()
+        at, place = _distinct(_pair_keys(before, tokens))
         contexts, words = before[at], tokens[at]
+        del before, tokens, at
+        learned = np.bincount(place[np.repeat(~out, sizes)], minlength=len(words))
         bucket = _dealt(contexts, words, hot, buckets)
-        order = np.lexsort((keys, contexts, bucket))
+        bits = np.uint64(buckets.bit_length())
+        _, order = _distinct(bucket.astype(np.uint64) << (np.uint64(64) - bits) | contexts >> bits)
+        order <<= 32
+        order |= np.arange(len(order))
+        order.sort()  # no ties: both readings number the pairs alike
+        order &= 0xFFFFFFFF
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        learned = np.bincount(place, weights=np.repeat(~out, sizes), minlength=len(keys)).astype(np.int64)
-        return ids, out, sizes, rank[place], contexts[order], words[order], learned[order], bucket[order]
+        place = rank[place]
+        del rank
+        contexts, words = contexts[order], words[order]
+        learned, bucket = learned[order], bucket[order]
+        return ids, out, sizes, place, contexts, words, learned, bucket
 
     held, n = [], 0
     for batch in batches:
@@ -132,7 +169,10 @@ def _sender(hot, buckets):
     """A block's pairs, a row for each bucket that gets any."""
 
     def run(batches):
-        for k, (_, _, _, _, contexts, words, learned, bucket) in enumerate(_blocks(batches, hot, buckets)):
+        k = -1
+        for *_, contexts, words, learned, bucket in _blocks(batches, hot, buckets):  # enumerate would hold all columns
+            del _
+            k += 1
             name = _name(k)
             for b, low, high in _groups(bucket):
                 c, runs = _runs(contexts[low:high])
@@ -161,11 +201,15 @@ def _documents(hot, buckets, id_type):
     """A row per block: its documents, and their tokens as places among the block's pairs."""
 
     def run(batches):
-        for k, (ids, out, sizes, place, *_) in enumerate(_blocks(batches, hot, buckets)):
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            place = place[np.lexsort((place, doc))]  # sorted within a document, whose steps are small
-            steps = np.diff(place, prepend=0)
-            columns = [[_name(k)], [ids], [out.tolist()], [sizes.tolist()], [_z(steps, np.int32)]]
+        k = -1
+        for ids, out, sizes, place, *_ in _blocks(batches, hot, buckets):
+            del _
+            k += 1
+            place |= np.repeat(np.arange(len(ids)) << 32, sizes)
+            place.sort()  # within a document, whose steps are small
+            place &= 0xFFFFFFFF
+            place[1:] -= place[:-1].copy()
+            columns = [[_name(k)], [ids], [out.tolist()], [sizes.tolist()], [_z(place, np.int32)]]
             types = [pa.string(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "ids", "held_out", "sizes", "steps"]
@@ -201,37 +245,90 @@ class Seating:
         mine = np.bincount(self.owner, minlength=len(self.many))
         return self.fixed + np.bincount(self.room[self.many], weights=mine, minlength=len(self.fixed))
 
-    def _drawn(self, weights: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Customers that come to each table: of every word ``times``, by weight."""
+    def _drawn(self, weights: np.ndarray, slots: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Customers that come to each table: of every word, whose tables are its next ``slots``, ``times``, by weight."""
         upto = np.cumsum(weights)
-        last = np.searchsorted(self.owner, np.arange(len(self.many)), "right") - 1
+        last = np.cumsum(slots) - 1
         end = upto[last]
         start = np.concatenate([[0.0], end[:-1]])
-        word = np.repeat(np.arange(len(self.many)), times)
+        word = np.repeat(np.arange(len(slots)), times)
         at = np.searchsorted(upto, start[word] + self.rng.random(len(word)) * (end - start)[word], "right")
         return np.bincount(np.minimum(at, last[word]), minlength=len(weights))
 
+    def _rounds(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each round the tables, ascending, that lose customers, and how many; every customer draws its round."""
+        large = self.size > 2 * ROUNDS  # drawn as a whole, so that nothing here is as long as a word's customers
+        few, many = np.flatnonzero(~large), np.flatnonzero(large)
+        key = np.repeat(few, self.size[few])
+        key += self.rng.integers(0, ROUNDS, len(key)) * len(large)
+        key.sort()
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        amount = np.diff(at, append=len(key))
+        key = key[at]
+        if len(many):
+            drawn = self.rng.multinomial(self.size[many], np.full(ROUNDS, 1 / ROUNDS))
+            some = np.nonzero(drawn)
+            key = np.concatenate([key, many[some[0]] + some[1] * len(large)])
+            order = np.argsort(key)
+            key, amount = key[order], np.concatenate([amount, drawn[some]])[order]
+        edges = np.searchsorted(key, np.arange(ROUNDS + 1) * len(large)).tolist()
+        for r, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+            if low < high:
+                yield key[low:high] - r * len(large), amount[low:high]
+
     def sweep(self, base: np.ndarray, discount: float, strength: float) -> None:
-        """Take every customer from its seat once and seat it again; a round's customers of one word go together."""
+        """Take every customer from its seat once and seat it again; a round's customers of one word go together.
+
+        Every customer draws its round first, so that a round looks at no words but its customers' own.
+        """
         if not len(self.many):
             return
         room, base, customers = self.room[self.many], base[self.many], self.customers[self.many]
-        left = self.size.copy()  # customers that were not taken up yet
-        for r in range(ROUNDS, 0, -1):
-            taken = self.rng.binomial(left, 1 / r)
-            n = np.bincount(self.owner, weights=taken, minlength=len(self.many)).astype(np.int64)
-            self.size, left = self.size - taken, left - taken
-            kept = self.size > 0
-            self.owner, self.size, left = self.owner[kept], self.size[kept], left[kept]
-            tables = np.bincount(self.owner, minlength=len(self.many))
-            new = (strength + discount * self.per_room()[room]) * base
-            first = (tables == 0) & (n > 0)  # no table is left: one opens, and the others may join it
-            old = customers - n - discount * tables + np.maximum(n - 1, 0) / 2
+        tables = np.bincount(self.owner, minlength=len(self.many))
+        in_room = self.per_room()
+        # A word has slots for its tables and for some to come; a table without customers keeps its slot during the sweep.
+        slots = tables + np.minimum(customers, 4 * tables + 50)
+        begin = np.cumsum(slots) - slots
+        used = tables.copy()
+        slot = np.arange(len(self.owner)) + (begin - (np.cumsum(tables) - tables))[self.owner]
+        size = np.zeros(int(slots.sum()), dtype=np.int64)
+        size[slot] = self.size
+        for table, amount in self._rounds():
+            word, at = self.owner[table], slot[table]
+            opens = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            word, n = word[opens], np.add.reduceat(amount, opens)
+            size[at] -= amount
+            closed = np.add.reduceat((size[at] == 0).astype(np.int64), opens)
+            tables[word] -= closed
+            np.subtract.at(in_room, room[word], closed.astype(np.float64))
+            new = (strength + discount * in_room[room[word]]) * base[word]
+            first = tables[word] == 0  # no table is left: one opens, and the others may join it
+            old = customers[word] - n - discount * tables[word] + (n - 1) / 2
             opened = first + self.rng.binomial(n - first, new / (new + old))
-            at = np.searchsorted(self.owner, np.repeat(np.arange(len(n)), opened), "right")
-            self.owner = np.insert(self.owner, at, np.repeat(np.arange(len(n)), opened))
-            self.size, left = np.insert(self.size, at, 1), np.insert(left, at, 0)
-            self.size = self.size + self._drawn(self.size - discount, n - opened)
+            if (used[word] + opened > slots[word]).any():
+                more = np.where(2 * used > slots, np.minimum(2 * slots, used + customers), slots)
+                more[word] = np.maximum(more[word], 2 * (used[word] + opened))
+                moved = np.cumsum(more) - more
+                grown = np.zeros(int(more.sum()), dtype=np.int64)
+                grown[_spread(moved, used)] = size[_spread(begin, used)]
+                slot += (moved - begin)[self.owner]
+                slots, begin, size = more, moved, grown
+            size[_spread(begin[word] + used[word], opened)] = 1
+            used[word] += opened
+            tables[word] += opened
+            np.add.at(in_room, room[word], opened.astype(np.float64))
+            joins = np.flatnonzero(n > opened)
+            if len(joins):
+                word, n = word[joins], (n - opened)[joins]
+                at = _spread(begin[word], used[word])
+                size[at] += self._drawn(np.maximum(size[at] - discount, 0), used[word], n)
+        kept = np.flatnonzero(size)
+        self.owner, self.size = np.repeat(np.arange(len(self.many)), slots)[kept], size[kept]
+
+
+def _spread(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all runs: ``lengths`` of them from ``begin`` on."""
+    return np.arange(int(lengths.sum())) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
 
 
 def predictive(customers, tables, base, room_customers, room_tables, discount, strength):
@@ -245,8 +342,8 @@ def _bucket(sent: pa.Table):
              _un(r["word_at"], np.uint32), _un(r["learned"], np.uint32)) for r in sent.to_pylist()]
     contexts = np.concatenate([np.repeat(c, n) for _, c, n, _, _, _ in rows])
     words = np.concatenate([w[at] for _, _, _, w, at, _ in rows])
-    keys, at, place = np.unique(mixed(contexts * np.uint64(0x9E3779B97F4A7C15) + words, 3), return_index=True, return_inverse=True)
-    learned = np.bincount(place, weights=np.concatenate([r[5] for r in rows]), minlength=len(keys)).astype(np.int64)
+    at, place = _distinct(_pair_keys(contexts, words))
+    learned = np.bincount(place, weights=np.concatenate([r[5] for r in rows]), minlength=len(at)).astype(np.int64)
     ends = np.cumsum([len(r[4]) for r in rows])
     blocks = [(r[0], place[end - len(r[4]) : end]) for r, end in zip(rows, ends, strict=True)]
     return contexts[at], words[at], learned, blocks

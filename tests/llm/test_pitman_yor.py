@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -237,5 +238,88 @@ def test_a_sweep_takes_up_every_customer():
     assert abs(np.mean(got) / len(held) - 1) < 0.35, (got, len(held))
 
 
+class CountingDraws:
+    """A generator that counts the numbers it drew."""
+
+    def __init__(self, seed):
+        self.rng, self.drawn = np.random.default_rng(seed), 0
+
+    def __getattr__(self, name):
+        def draw(*args):
+            out = getattr(self.rng, name)(*args)
+            self.drawn += np.size(out)
+            return out
+
+        return draw
+
+
+def test_a_sweep_looks_at_the_words_of_its_customers_only():
+    customers = np.random.default_rng(5).integers(2, 6, 5000)
+    room, rng = np.arange(5000) % 700, CountingDraws(6)
+    seating = py.Seating(customers, room, 700, rng)
+    for _ in range(3):
+        rng.drawn = 0
+        seating.sweep(np.full(5000, 1e-3), 0.75, 10.0)
+        assert rng.drawn <= 3 * customers.sum()  # a round, whether a table opens, and the table to join
+        assert (np.bincount(seating.owner, weights=seating.size, minlength=5000) == customers).all()
+        assert (seating.size > 0).all() and (np.diff(seating.owner) >= 0).all()
+
+
+def test_a_sweep_holds_no_array_of_all_customers():
+    n = 4_000_000
+    seating = py.Seating(np.array([n, 3, 900]), np.zeros(3, dtype=np.int64), 1, np.random.default_rng(1))
+    tracemalloc.start()
+    try:
+        for _ in range(2):
+            seating.sweep(np.array([0.3, 0.1, 0.2]), 0.75, 1000.0)
+        assert tracemalloc.get_traced_memory()[1] < 8 * n
+    finally:
+        tracemalloc.stop()
+    assert np.bincount(seating.owner, weights=seating.size).tolist() == [n, 3, 900]
+    assert len(seating.size) > 400
+
+
+def test_few_customers_sit_as_one_at_a_time():
+    words, d, s, base = 6000, 0.75, 10.0, 0.02
+    customers, room = np.tile([2, 3, 4], words // 3), np.arange(words) // 3
+    got, want = [], []
+    seating = py.Seating(customers, room, words // 3, np.random.default_rng(8))
+    rng, held, rooms = random.Random(9), [[int(c)] for c in customers], [3] * (words // 3)
+    for k in range(6):
+        seating.sweep(np.full(words, base), d, s)
+        for w in range(words):
+            for _ in range(customers[w]):
+                x = rng.choices(range(len(held[w])), held[w])[0]
+                held[w][x] -= 1
+                if not held[w][x]:
+                    del held[w][x]
+                    rooms[room[w]] -= 1
+                weights = [y - d for y in held[w]] + [(s + d * rooms[room[w]]) * base]
+                x = rng.choices(range(len(weights)), weights)[0]
+                if x == len(held[w]):
+                    held[w].append(0)
+                    rooms[room[w]] += 1
+                held[w][x] += 1
+        if k >= 3:
+            got.append([seating.tables()[customers == c].mean() for c in (2, 3, 4)])
+            want.append([np.mean([len(h) for h, n in zip(held, customers, strict=True) if n == c]) for c in (2, 3, 4)])
+    assert np.abs(np.mean(got, axis=0) / np.mean(want, axis=0) - 1).max() < 0.04, (got, want)
+
+
+def test_pairs_of_a_block_are_numbered_by_bucket_and_context():
+    rows = [(k, x) for k, x in enumerate(chain_texts(60))]
+    batch = py.pa.RecordBatch.from_arrays([py.pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "text"])
+    hot = np.sort(next(py._tokens(batch))[2][:3])
+    (ids, _, sizes, place, contexts, words, learned, bucket), *more = py._blocks(iter([batch]), hot, 5)
+    assert ids == [k for k, _ in rows] and not more and set(bucket.tolist()) == set(range(5))
+    assert (np.diff(bucket) >= 0).all() and (bucket == py._dealt(contexts, words, hot, 5)).all()
+    seen = [c for b, low, high in py._groups(bucket) for c in py._runs(contexts[low:high])[0].tolist()]
+    assert len(seen) == len({(int(b), int(c)) for b, c in zip(bucket, contexts, strict=True)})
+    tokens_, before = (np.concatenate([x[k] for x in py._tokens(batch)]) for k in (2, 3))
+    assert (words[place] == tokens_).all() and (contexts[place] == before).all()
+    trained = np.bincount(place, weights=np.repeat([not out(i) for i in ids], sizes), minlength=len(words))
+    assert (learned == trained).all() and len(words) == len(set(zip(contexts.tolist(), words.tolist(), strict=True)))
+
+
 def test_empty_table(spark):
     assert py.scores(spark.createDataFrame([], SCHEMA)).count() == 0
